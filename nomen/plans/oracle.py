@@ -43,6 +43,11 @@ def _marked_alt(words) -> str:
     return " || '|' || ".join(parts)
 
 
+def upper(x: str) -> str:
+    """Upper case as Java and Python do it (DuckDB maps ß to ẞ, they to SS)."""
+    return f"upper(replace({x}, 'ß', 'SS'))"
+
+
 def py_strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
@@ -147,7 +152,7 @@ def abbreviation(x: str) -> str:
 
 
 def classify_rule(name: str, min_len: int = 3) -> str:
-    u = py_strip(f"upper({name})")
+    u = py_strip(upper(name))
     w = py_split(u)
     dig = r"regexp_full_match({x}, '[0-9]+')"
     isd = lambda x: dig.format(x=x)
@@ -173,7 +178,7 @@ def classify_rule(name: str, min_len: int = 3) -> str:
 
 
 def exclusion_reason(name: str, keep: str) -> str:
-    return (f"CASE WHEN {keep} THEN NULL WHEN contains(upper({name}), 'LTD') OR contains(upper({name}), 'LIMITED') "
+    return (f"CASE WHEN {keep} THEN NULL WHEN contains({upper(name)}, 'LTD') OR contains({upper(name)}, 'LIMITED') "
             f"THEN 'LTD/LIMITED' ELSE 'OTHER' END")
 
 
@@ -194,7 +199,7 @@ COMPANY_FORMS_SQL = [
 
 
 def _forms(forms, base, key) -> str:
-    b = f"upper({base})"
+    b = upper(base)
     arms = " ".join(f"WHEN {i} THEN {f.format(b=b, k=key)}" for i, f in enumerate(forms))
     return f"CASE (({key}) % {len(forms)} + {len(forms)}) % {len(forms)} {arms} END"
 

@@ -80,3 +80,33 @@ def q_normalize_name(spark, sf):
         N.set_key(p["terms"]).alias("terms"), p["coop"].alias("coop"),
         N.normalize_words("name").alias("words"), N.normalize_name_simple("name").alias("simple"),
         N.abbreviation(N.normalize_name_simple("name")).alias("abbr"))
+
+
+# ---------------------------------------------------------------------------
+# match joins: search names (documents, words 1-3) against a registry
+# (documents, words 2-4 in registry spellings)
+
+from nomen.operators import match as M  # noqa: E402
+
+_S_PROFILE = Q.profile_select(
+    f"SELECT DISTINCT search_name AS owner FROM ({Q.search_names()}) WHERE search_name IS NOT NULL", "owner")
+_C_PROFILE = Q.profile_select(
+    f"SELECT DISTINCT company_name AS company FROM ({Q.registry_names()}) WHERE company_name IS NOT NULL", "company")
+_BEST_SQL = f"""
+WITH s AS ({_S_PROFILE}), c AS ({_C_PROFILE}),
+p AS (SELECT s.owner, c.company, {Q.tier_sql('s.vars', 's.terms', 's.coop', 'c.vars', 'c.terms', 'c.coop')} AS conf
+      FROM s CROSS JOIN c),
+r AS (SELECT owner, company, conf, row_number() OVER (PARTITION BY owner ORDER BY conf DESC, company) AS rn FROM p)
+SELECT owner, CASE WHEN conf > 0 THEN company END AS matched_name, CAST(conf AS DOUBLE) AS confidence,
+       {Q.tier_name('conf')} AS tier, conf > 0 AS is_match
+FROM r WHERE rn = 1
+"""
+
+
+@register("match_join_best", _BEST_SQL)
+def q_match_join_best(spark, sf):
+    """Flagship: blocked owner x registry match, one best company per owner
+    (match_join_direct + match_join_terms + match_join_substring + best_match).
+    The oracle is the brute-force cross join of all pairs."""
+    return M.best_match(I.search_names(spark, sf), I.registry_names(spark, sf),
+                        owner_col="search_name", company_col="company_name")

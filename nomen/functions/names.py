@@ -96,18 +96,21 @@ def name_words(norm) -> Column:
     return F.filter(F.split(_c(norm), " "), lambda w: F.length(w) > 1)
 
 
-def name_variations(norm) -> Column:
+def name_variations(norm, ws=None, kept=None, acronym=None) -> Column:
     """Set of variations of a *normalised* name (array, distinct, no NULLs).
 
     full; hyphens as spaces; acronym of >=2 letters; first two initials; first
     word; first two words; without stop words (only when some were dropped);
     reversed when exactly two words. Empty name -> empty array.
+
+    ``ws`` / ``kept`` / ``acronym`` may name already computed columns (see
+    ``with_name_profile``) so the expression tree stays small.
     """
     n = _c(norm)
-    ws = name_words(n)
+    ws = _c(ws) if ws is not None else name_words(n)
     nw = F.size(ws)
-    acronym = F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
-    kept = F.filter(ws, lambda w: ~w.isin(*STOP_WORDS))
+    acronym = _c(acronym) if acronym is not None else name_acronym(ws)
+    kept = _c(kept) if kept is not None else name_kept(ws)
     cand = F.array(
         n,
         F.replace(n, F.lit("-"), F.lit(" ")),
@@ -122,6 +125,30 @@ def name_variations(norm) -> Column:
         F.array_distinct(F.array_compact(cand)))
 
 
+def name_acronym(ws) -> Column:
+    return F.array_join(F.transform(_c(ws), lambda w: F.substring(w, 1, 1)), "")
+
+
+def name_kept(ws) -> Column:
+    return F.filter(_c(ws), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def with_name_profile(df, col: str, prefix: str = ""):
+    """Add ``{prefix}norm, vars, terms, coop`` for ``col`` as staged
+    projections: each stage reads the previous stage's column, so no
+    sub-expression is evaluated twice (Catalyst keeps expensive projections
+    apart instead of inlining them)."""
+    p = prefix
+    keep = [F.col(c) for c in df.columns]
+    d = df.select(*keep, normalize_name(col).alias(p + "norm"))
+    d = d.select("*", name_words(p + "norm").alias(p + "_ws"))
+    d = d.select("*", name_kept(p + "_ws").alias(p + "_kept"), name_acronym(p + "_ws").alias(p + "_acr"))
+    d = d.select("*", name_variations(p + "norm", p + "_ws", p + "_kept", p + "_acr").alias(p + "vars"))
+    d = d.drop(p + "_ws", p + "_kept", p + "_acr")
+    d = d.select("*", name_terms(p + "vars").alias(p + "terms"))
+    return d.select("*", coop_flag(p + "terms").alias(p + "coop"))
+
+
 def name_terms(variations) -> Column:
     """Distinct tokens of all variations that are longer than two characters."""
     toks = F.flatten(F.transform(_c(variations), lambda v: F.split(v, " ")))

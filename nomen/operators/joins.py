@@ -20,6 +20,10 @@ MIN_HOT_ROWS = 10_000          # ... and above this absolute count
 MAX_HOT_KEYS = 50_000          # broadcast bound for the hot-key list
 
 
+def _has_ckpt(df: DataFrame) -> bool:
+    return bool(df.sparkSession.sparkContext.getCheckpointDir())
+
+
 def hot_keys(probe: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
     return (probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") >= min_rows).select(*keys))
@@ -34,11 +38,14 @@ def lookup_join(probe: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     retries, unlike ``rand()``); default: all probe columns.
     """
     if min_hot_rows is None:
-        if probe_rows is None:
-            probe_rows = probe.count()
-        min_hot_rows = max(MIN_HOT_ROWS, int(probe_rows * DEFAULT_HOT_FRACTION))
-    hot = hot_keys(probe, keys, min_hot_rows)
-    n_hot = hot.count()  # at most probe_rows / min_hot_rows rows
+        min_hot_rows = MIN_HOT_ROWS
+        if probe_rows is not None:
+            min_hot_rows = max(MIN_HOT_ROWS, int(probe_rows * DEFAULT_HOT_FRACTION))
+    # one job: keys above the threshold, at most probe_rows / min_hot_rows of
+    # them; the bound is checked before anything is broadcast
+    hot = hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1).checkpoint(eager=True) \
+        if _has_ckpt(probe) else hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1)
+    n_hot = hot.count()
     if n_hot == 0 or n_hot > MAX_HOT_KEYS:
         return probe.join(lookup, keys, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))

@@ -60,7 +60,9 @@ def part_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_words(text, start: int, n: int) -> F.Column:
     """Words ``start .. start+n-1`` (1-based) of a text, split on white space."""
-    ws = F.split(F.trim(text), r"\s+")
+    # split with a limit: only the first start+n pieces are cut, the rest of a
+    # long text stays in one (dropped) piece
+    ws = F.split(F.trim(text), r"\s+", start + n)
     return F.array_join(F.slice(ws, start, n), " ")
 
 

@@ -136,3 +136,30 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(", ", F.col("n_name"), F.col("r_name"), F.lit("Canada")).alias("address"),
         F.date_format(F.col("o_orderdate"), "MMMM dd, yyyy").alias("registration_date"),
     )
+
+
+PAGE_SIZE = 50  # records per synthetic result page (bounded groups)
+
+
+def search_label(name, business_type) -> F.Column:
+    """``prefix (type)``: the search a record is found by (first letter)."""
+    return F.concat(F.lower(F.substring(name, 1, 1)), F.lit(" ("), business_type, F.lit(")"))
+
+
+def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages rendered from ``registry_records``: one page per
+    ``(search, record_id div 50)``, so every page holds at most 50 blocks
+    (a bounded ``collect_list``), blocks in record order."""
+    from nomen.operators.pages import render_page, render_result_block
+    r = registry_records(spark, sf_dir)
+    blk = render_result_block(F.col("company_name"), F.col("corporation_number"), F.col("registry_type"),
+                              F.col("status"), F.col("business_type"), F.col("registration_date"),
+                              F.col("address"))
+    b = r.select(search_label(F.col("company_name"), F.col("business_type")).alias("search"),
+                 F.floor(F.col("record_id") / PAGE_SIZE).alias("page_no"),
+                 F.struct("record_id", blk.alias("block")).alias("rb"))
+    g = b.groupBy("search", "page_no").agg(F.array_sort(F.collect_list("rb")).alias("rbs"))
+    return g.select(
+        F.concat("search", F.lit("#"), F.col("page_no").cast("string")).alias("page_key"),
+        "search",
+        render_page(F.transform("rbs", lambda x: x["block"]), F.size("rbs")).alias("html"))

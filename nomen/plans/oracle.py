@@ -215,3 +215,47 @@ def search_names() -> str:
 def registry_names() -> str:
     return (f"SELECT doc_id AS company_id, {_forms(COMPANY_FORMS_SQL, first_words('text', 2, 3), 'doc_id')}"
             f" AS company_name FROM documents")
+
+
+STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'Active' WHEN 'O' THEN 'Inactive' WHEN 'P' THEN 'Refer to Ministry' END"
+
+
+def registry_records() -> str:
+    from nomen.plans.inputs import BUSINESS_TYPES, REGISTRY_TYPES
+    bt = in_list(BUSINESS_TYPES)
+    return f"""SELECT p.p_partkey AS record_id,
+      concat_ws(' ', {upper('p.p_name')}, {upper('p.p_type')}, CAST(p.p_partkey AS VARCHAR)) AS company_name,
+      CAST(1000000 + p.p_partkey AS VARCHAR) AS corporation_number,
+      CASE WHEN p.p_partkey % 5 = 0 THEN {q(REGISTRY_TYPES[1])} ELSE {q(REGISTRY_TYPES[0])} END AS registry_type,
+      {STATUS_SQL} AS status,
+      ({bt})[(o.o_custkey % {len(BUSINESS_TYPES)}) + 1] AS business_type,
+      concat_ws(', ', g.n_name, g.r_name, 'Canada') AS address,
+      strftime(o.o_orderdate, '%B %d, %Y') AS registration_date,
+      CAST(o.o_orderdate AS DATE) AS registration_day
+    FROM part p JOIN orders o ON p.p_partkey = o.o_orderkey
+    LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+    LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) g
+      ON c.c_nationkey = g.n_nationkey"""
+
+
+def element_text(x: str) -> str:
+    from nomen.functions.text import ENTITIES
+    v = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for ent, ch in ENTITIES:
+        v = f"replace({v}, {q(ent)}, {q(ch)})"
+    return rf"regexp_replace(regexp_replace({v}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def format_percent(conf: str) -> str:
+    return f"CAST(CAST(round({conf} * 100) AS INTEGER) AS VARCHAR) || '%'"
+
+
+def debug_variations(ns: str) -> str:
+    w = f"string_split({ns}, ' ')"
+    return (f"CASE WHEN len({w}) >= 2 AND {w}[1] <> '' THEN list_distinct([array_to_string({w}, ' '), "
+            f"array_to_string(list_reverse({w}), ' '), {w}[1] || ' ' || left({w}[2], 1), "
+            f"left({w}[1], 1) || left({w}[2], 1)]) ELSE []::VARCHAR[] END")
+
+
+def page_key(name: str, btype: str, rid: str) -> str:
+    return f"lower(left({name}, 1)) || ' (' || {btype} || ')' || '#' || CAST({rid} // 50 AS VARCHAR)"

@@ -110,3 +110,108 @@ def q_match_join_best(spark, sf):
     The oracle is the brute-force cross join of all pairs."""
     return M.best_match(I.search_names(spark, sf), I.registry_names(spark, sf),
                         owner_col="search_name", company_col="company_name")
+
+
+# ---------------------------------------------------------------------------
+# 1:1 scores (zip_results: each search name with its own registry name)
+
+from nomen.functions import text as T  # noqa: E402
+from nomen.operators import pages as P  # noqa: E402
+from nomen.operators import reports as R  # noqa: E402
+from nomen.operators import windows as W  # noqa: E402
+
+_PAIRS_SQL = (f"SELECT s.doc_id, s.search_name, c.company_name FROM ({Q.search_names()}) s "
+              f"JOIN ({Q.registry_names()}) c ON s.doc_id = c.company_id")
+_SC_S = Q.profile_select(_PAIRS_SQL, "search_name")
+_SC_SC = ("SELECT doc_id, search_name, company_name, vars AS s_vars, terms AS s_terms, coop AS s_coop "
+          f"FROM ({_SC_S})")
+_SC_ALL = Q.profile_select(_SC_SC, "company_name")
+_SW = "list_distinct(list_filter(string_split(sn, ' '), lambda w: w <> ''))"
+_CW = "list_distinct(list_filter(string_split(cn, ' '), lambda w: w <> ''))"
+_OVER = f"len(list_intersect({_SW}, {_CW})) / len({_SW})"
+_NS, _NC = Q.normalize_name_simple("search_name"), Q.normalize_name_simple("company_name")
+_SCORES_SQL = f"""
+SELECT doc_id, search_name, company_name, CAST(conf AS DOUBLE) AS confidence, {Q.tier_name('conf')} AS tier,
+       CASE WHEN sn <> '' AND cn <> '' AND (contains(cn, sn) OR contains(sn, cn)) THEN 1.0
+            WHEN len({_SW}) > 0 AND {_OVER} >= 0.7 THEN {_OVER} ELSE 0.0 END AS overlap_confidence,
+       coalesce(ns <> '' AND nc <> '' AND (
+         len(list_filter(string_split(ns, ' '), lambda w: NOT list_contains(string_split(nc, ' '), w))) = 0
+         OR len(list_filter(string_split(nc, ' '), lambda w: NOT list_contains(string_split(ns, ' '), w))) = 0
+         OR contains({Q.abbreviation('nc')}, {Q.abbreviation('ns')}) OR contains({Q.abbreviation('ns')}, {Q.abbreviation('nc')})
+         OR len(list_filter(string_split(ns, ' '), lambda w: contains(nc, w))) > 0
+         OR len(list_filter(string_split(nc, ' '), lambda w: contains(ns, w))) > 0), false) AS loose_match
+FROM (SELECT *, {Q.tier_sql('s_vars', 's_terms', 's_coop', 'vars', 'terms', 'coop')} AS conf,
+             {Q.normalize_words('search_name')} AS sn, {Q.normalize_words('company_name')} AS cn,
+             {_NS} AS ns, {_NC} AS nc FROM ({_SC_ALL}))
+"""
+
+
+@register("match_scores_1to1", _SCORES_SQL)
+def q_match_scores(spark, sf):
+    """zip_results + match_score + match_score_overlap + match_loose: each
+    document's search name against its own registry spelling."""
+    pairs = I.search_names(spark, sf).join(I.registry_names(spark, sf),
+                                           F.col("doc_id") == F.col("company_id")).drop("company_id")
+    scored = M.score_pairs(pairs, "search_name", "company_name")
+    ov = S.match_score_overlap(F.col("search_name"), F.col("company_name"))
+    return scored.select("doc_id", "search_name", "company_name", "confidence", "tier",
+                         ov["confidence"].alias("overlap_confidence"),
+                         S.match_loose(F.col("search_name"), F.col("company_name")).alias("loose_match"))
+
+
+# ---------------------------------------------------------------------------
+# page extraction on result pages rendered from the registry (src oracle)
+
+_REG = Q.registry_records()
+
+
+@register("extract_listing",
+          f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, "
+          f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+def q_extract_listing(spark, sf):
+    """split_result_blocks + extract_listing over rendered result pages."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    return P.extract_listing(blocks).select("business_name", "business_type", "inc_date", "location", "status")
+
+
+@register("extract_details",
+          f"SELECT company_name, corporation_number, registry_type, status, address, business_type, "
+          f"registration_date AS incorporation_date, registration_day AS incorporation_day FROM ({_REG})")
+def q_extract_details(spark, sf):
+    """extract_details (name without number, number, registry, status,
+    address, type, date and DATE) over rendered result pages."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    return P.extract_details(blocks).drop("page_key", "pos")
+
+
+@register("count_results",
+          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, count(*) AS n_results, "
+          f"false AS saturated FROM ({_REG}) GROUP BY 1")
+def q_count_results(spark, sf):
+    """count_results + saturated_page per rendered page."""
+    pg = I.registry_pages(spark, sf)
+    return pg.select("page_key", P.count_results("html").alias("n_results"),
+                     P.saturated_page("html").alias("saturated"))
+
+
+_CANDS = " || ".join(f"regexp_extract_all(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)" for t in ["h3", "h2", "h1", "strong", "b", "a"])
+_CANDS = f"list_filter(list_transform(flatten([{', '.join(f'regexp_extract_all(html, {chr(39)}(?is)<{t}\\b[^>]*>(.*?)</{t}>{chr(39)}, 1)' for t in ['h3', 'h2', 'h1', 'strong', 'b', 'a'])}]), lambda x: {Q.element_text('x')}), lambda x: length(x) BETWEEN 3 AND 100 AND lower(x) NOT IN ('view', 'details', 'more'))"
+_PAGES_SQL = f"""
+SELECT page_id, length(html) AS page_size,
+  {Q.element_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+  {Q.element_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1,
+  len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS n_items,
+  len(regexp_extract_all(html, '(?i)<a\\s')) AS n_links,
+  coalesce(regexp_matches(html, '(?i)no results found|no matches'), false) AS no_results,
+  length(CASE WHEN length(html) > 2000 THEN left(html, 2000) || '...' ELSE html END) AS raw_len,
+  CASE WHEN len({_CANDS}) = 0 THEN NULL ELSE list_reduce({_CANDS}, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END) END AS best_candidate
+FROM pages
+"""
+
+
+@register("page_features", _PAGES_SQL)
+def q_page_features(spark, sf):
+    """page_size, title/h1 text, item and link counts, no_results_flag,
+    truncate_raw, extract_company_candidates on the pages table."""
+    return P.page_features(I.table(spark, sf, "pages"))

@@ -215,3 +215,85 @@ def q_page_features(spark, sf):
     """page_size, title/h1 text, item and link counts, no_results_flag,
     truncate_raw, extract_company_candidates on the pages table."""
     return P.page_features(I.table(spark, sf, "pages"))
+
+
+# ---------------------------------------------------------------------------
+# lookup report: owners (part) with their first registry result, rendered,
+# cut back into entries and parsed (src oracle: the same facts from the rows)
+
+from nomen.plans import pipelines as PL  # noqa: E402
+
+
+def _report_parsed(spark, sf):
+    owners = _owners(spark, sf)
+    raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    entries = PL.owner_pipeline(owners, res)
+    return PL.parsed_report(entries)
+
+
+_OWN_ALL = f"SELECT owner_id, {Q.py_strip('raw_owner')} AS owner FROM ({Q.part_owners()})"
+_ENTRY_SRC = f"""
+SELECT n.lookup_number, n.owner, r.* FROM
+  (SELECT owner, row_number() OVER (ORDER BY owner) AS lookup_number
+     FROM (SELECT DISTINCT owner FROM ({_OWN_ALL}) WHERE owner <> '')) n
+  JOIN (SELECT owner, min(owner_id) AS rid FROM ({_OWN_ALL}) GROUP BY owner) f ON n.owner = f.owner
+  JOIN ({_REG}) r ON r.record_id = f.rid
+WHERE length(n.owner) >= 3
+"""
+_E1 = Q.profile_select(_ENTRY_SRC, "owner")
+_E2 = ("SELECT lookup_number, owner, company_name, corporation_number, registry_type, status, address, "
+       "business_type, registration_date, vars AS s_vars, terms AS s_terms, coop AS s_coop FROM (" + _E1 + ")")
+_E3 = Q.profile_select(_E2, "company_name")
+_DIRECT = (f"len(list_filter({Q.debug_variations(Q.normalize_words('owner'))}, "
+           f"lambda v: contains({Q.normalize_words('lower(company_name)')}, v))) > 0")
+_PARSED_SRC = f"""
+SELECT lookup_number, owner AS search_name, company_name, business_type, status, address,
+       CASE WHEN conf > 0 THEN 'YES' ELSE 'NO' END AS match_found,
+       CASE WHEN conf > 0 THEN {Q.format_percent('conf')} END AS confidence,
+       CASE WHEN conf > 0 THEN company_name END AS closest_match,
+       (conf > 0 AND {_DIRECT}) AS direct_match,
+       (company_name IS NOT NULL)::INT + (corporation_number IS NOT NULL)::INT + (registry_type IS NOT NULL)::INT
+       + (status IS NOT NULL)::INT + (address IS NOT NULL)::INT + (business_type IS NOT NULL)::INT
+       + (registration_date IS NOT NULL)::INT AS n_detail
+FROM (SELECT *, {Q.tier_sql('s_vars', 's_terms', 's_coop', 'vars', 'terms', 'coop')} AS conf FROM ({_E3}))
+"""
+
+
+@register("lookup_report_parse",
+          "SELECT lookup_number, search_name, company_name AS company, business_type, match_found, confidence, "
+          f"closest_match, direct_match, n_detail FROM ({_PARSED_SRC})")
+def q_lookup_report_parse(spark, sf):
+    """owner_pipeline -> render_lookup_report -> report files ->
+    split_report_entries -> parse_entry_direct (round trip)."""
+    p = _report_parsed(spark, sf)
+    d = F.col("detail")
+    return p.select("lookup_number", "search_name", d["COMPANY NAME"].alias("company"),
+                    d["BUSINESS TYPE"].alias("business_type"), "match_found", "confidence", "closest_match",
+                    "direct_match", F.size("detail").alias("n_detail"))
+
+
+@register("filter_business_type",
+          "SELECT row_number() OVER (ORDER BY lookup_number) AS i, search_name, "
+          "coalesce(company_name, search_name, 'Unknown') AS company_display, coalesce(status, 'Unknown') AS status_display, "
+          f"coalesce(address, 'Unknown') AS address_display FROM ({_PARSED_SRC}) "
+          "WHERE lower(trim(coalesce(business_type, ''))) = lower('Not-for-Profit Corporation')")
+def q_filter_business_type(spark, sf):
+    """filter_business_type (default type) + numbered summary (number_rows)."""
+    return PL.business_type_report(_report_parsed(spark, sf)).drop("line")
+
+
+@register("filter_unmatched",
+          "SELECT row_number() OVER (ORDER BY lookup_number) AS i, search_name, "
+          "coalesce(company_name, closest_match, 'Unknown') AS found, coalesce(match_found, 'Unknown') AS match_found, "
+          f"coalesce(confidence, 'N/A') AS confidence FROM ({_PARSED_SRC}) WHERE NOT coalesce(direct_match, false)")
+def q_filter_unmatched(spark, sf):
+    """filter_unmatched (no direct match in the debug section) + numbering."""
+    return PL.unmatched_report(_report_parsed(spark, sf)).drop("original_entry")
+
+
+@register("available_types",
+          f"SELECT DISTINCT business_type FROM ({_PARSED_SRC}) WHERE business_type IS NOT NULL")
+def q_available_types(spark, sf):
+    """available_types over all entries (limit=None)."""
+    return R.available_types(_report_parsed(spark, sf), limit=None)

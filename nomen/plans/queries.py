@@ -297,3 +297,137 @@ def q_filter_unmatched(spark, sf):
 def q_available_types(spark, sf):
     """available_types over all entries (limit=None)."""
     return R.available_types(_report_parsed(spark, sf), limit=None)
+
+
+# ---------------------------------------------------------------------------
+# search report (prefix searches) -> blocks -> distinct -> pairs -> records
+
+@register("search_report_records",
+          f"SELECT DISTINCT company_name || ' (' || corporation_number || ')' AS business_name, "
+          f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+def q_search_report_records(spark, sf):
+    """render search-report sections per page -> split_search_blocks ->
+    keep_data_blocks -> dedupe_blocks -> parse_pairs_strict -> records."""
+    return PL.search_report_to_json(PL.search_sections(I.registry_pages(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# search-log statistics on events (error = failed search, value = seconds)
+
+from nomen.operators import stats as ST  # noqa: E402
+
+
+def search_log(spark, sf):
+    """``events`` as a search log (F6 shape)."""
+    e = I.table(spark, sf, "events")
+    return e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("business_name"),
+                    F.col("props").alias("html_content"),
+                    (F.col("event_type") != "error").alias("success"),
+                    F.when(F.col("event_type") == "error", F.lit("search failed")).alias("error_message"),
+                    F.col("value").alias("search_time"),
+                    F.length("props").cast("long").alias("response_size"),
+                    "user_id", "event_type", "ts")
+
+
+_LOG_SQL = ("SELECT 'user ' || CAST(user_id AS VARCHAR) AS business_name, event_type <> 'error' AS success, "
+            "value AS search_time, user_id FROM events")
+
+
+@register("lookup_stats",
+          "SELECT user_id, count(*) AS n_searches, count_if(success) AS n_success, round(sum(search_time), 6) AS total_seconds, "
+          "round(sum(search_time) / count(*), 6) AS avg_seconds, round(count(*) / sum(search_time), 6) AS per_second, "
+          "round(count(*) * 10.0 / sum(search_time), 6) AS speedup, "
+          "round(CASE WHEN sum(search_time) / count(*) > 0 THEN (sum(search_time) / count(*) - "
+          "sum(CASE WHEN success THEN search_time END) / count_if(success)) / (sum(search_time) / count(*)) * 100 END, 6) AS gain_pct "
+          f"FROM ({_LOG_SQL}) GROUP BY user_id")
+def q_lookup_stats(spark, sf):
+    """lookup_stats + relative_gain per user of the search log."""
+    return ST.lookup_stats(search_log(spark, sf), ["user_id"])
+
+
+@register("search_success_counts",
+          "SELECT count(*) AS n_searches, count_if(success) AS n_success, round(sum(search_time) / count(*), 6) AS avg_seconds "
+          f"FROM ({_LOG_SQL})")
+def q_search_success_counts(spark, sf):
+    return ST.search_success_counts(search_log(spark, sf))
+
+
+@register("results_per_search",
+          f"SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS search, count(*) AS n_results "
+          f"FROM ({_REG}) GROUP BY 1")
+def q_results_per_search(spark, sf):
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key", "search"))
+    return ST.results_per_search(blocks)
+
+
+# ---------------------------------------------------------------------------
+# prefix partition of registry names per business type (cap 20, depth 4)
+
+PREFIX_CAP, PREFIX_DEPTH = 20, 4
+
+
+def _prefix_sql(cap=PREFIX_CAP, depth=PREFIX_DEPTH):
+    base = f"SELECT business_type, lower(company_name) AS nm FROM ({_REG}) WHERE company_name IS NOT NULL AND company_name <> ''"
+    arms = []
+    for k in range(1, depth + 1):
+        if k == 1:
+            src = f"SELECT business_type, nm FROM ({base})"
+        else:
+            src = (f"SELECT business_type, nm FROM (SELECT business_type, nm, count(*) OVER "
+                   f"(PARTITION BY business_type, left(nm, {k - 1})) AS pc FROM ({base})) "
+                   f"WHERE pc >= {cap} AND length(left(nm, {k - 1})) = {k - 1} AND {k - 1} < {depth}")
+        arms.append(f"SELECT business_type, left(nm, {k}) AS prefix, {k} AS depth, count(*) AS n_names FROM ({src}) "
+                    f"GROUP BY 1, 2 HAVING count(*) < {cap} OR length(left(nm, {k})) < {k} OR {k} = {depth}")
+    return " UNION ALL ".join(arms)
+
+
+@register("prefix_partition", _prefix_sql())
+def q_prefix_partition(spark, sf):
+    """prefix_partition: leaf name prefixes with < cap names per business type."""
+    r = I.registry_records(spark, sf)
+    return ST.prefix_partition(r, "company_name", ["business_type"], cap=PREFIX_CAP, max_depth=PREFIX_DEPTH) \
+        .select("business_type", "prefix", "depth", "n_names")
+
+
+# ---------------------------------------------------------------------------
+# owner lists, numbering, batches, lanes, counts
+
+@register("owner_lists",
+          f"SELECT row_number() OVER (PARTITION BY keep ORDER BY owner) AS i, owner, keep, reason FROM ({_CLASSIFIED_SQL})")
+def q_owner_lists(spark, sf):
+    """write_owner_lists as a table: split_owners -> sort_owners ->
+    number_rows per list (kept / excluded)."""
+    kept, skipped = O.split_owners(O.classify_owners(_owners(spark, sf)))
+    k = W.number_rows(kept, ["owner"], "i")
+    s = W.number_rows(skipped, ["owner"], "i")
+    return k.unionByName(s).select("i", "owner", "keep", "reason")
+
+
+@register("rule_trace", f"SELECT owner FROM ({_CLASSIFIED_SQL}) WHERE rule NOT IN ('empty', 'short', 'ltd')")
+def q_rule_trace(spark, sf):
+    return O.rule_trace(O.classify_owners(_owners(spark, sf)))
+
+
+@register("batch_lanes",
+          "SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, (n - 1) % 2 AS lane, owner "
+          f"FROM (SELECT owner, row_number() OVER (ORDER BY owner) AS n FROM ({_OWNERS_SQL}))")
+def q_batch_lanes(spark, sf):
+    """batch_number (batches of 5) and round_robin (2 lanes) over numbered owners."""
+    n = W.number_rows(_owners(spark, sf).distinct(), ["owner"], "n")
+    return n.select("n", W.batch_number(F.col("n"), 5).alias("batch"), W.batch_position(F.col("n"), 5).alias("batch_pos"),
+                    W.round_robin(F.col("n"), 2).alias("lane"), "owner")
+
+
+@register("match_counts", f"SELECT count_if(is_match) AS n_matched, count(*) AS n_total FROM ({_BEST_SQL})")
+def q_match_counts(spark, sf):
+    """match_counts over the flagship best-match result."""
+    return ST.match_counts(q_match_join_best(spark, sf))
+
+
+@register("owners_matched",
+          f"SELECT owner FROM ({_BEST_SQL}) WHERE is_match")
+def q_owners_matched(spark, sf):
+    """owners_matched: left_semi join of owners with their matches."""
+    owners = I.search_names(spark, sf).select(F.col("search_name").alias("owner")).distinct()
+    return M.owners_matched(owners, q_match_join_best(spark, sf))

@@ -431,3 +431,44 @@ def q_owners_matched(spark, sf):
     """owners_matched: left_semi join of owners with their matches."""
     owners = I.search_names(spark, sf).select(F.col("search_name").alias("owner")).distinct()
     return M.owners_matched(owners, q_match_join_best(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Python fallback parser (mapInPandas) and the streaming path
+
+import uuid  # noqa: E402
+
+from nomen.operators import udf as U  # noqa: E402
+from nomen.session import checkpoint_dir  # noqa: E402
+from nomen.streaming import search_log as SL  # noqa: E402
+
+_FIRST_PER_PAGE = f"""
+SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS business_name, true AS success,
+       NULL::VARCHAR AS error_message, company_name || ' (' || corporation_number || ')' AS company_name,
+       status, business_type, registration_date AS incorporation_date, address AS location
+FROM ({_REG}) r
+WHERE record_id = (SELECT min(record_id) FROM ({_REG}) r2
+                   WHERE {Q.page_key('r2.company_name', 'r2.business_type', 'r2.record_id')}
+                       = {Q.page_key('r.company_name', 'r.business_type', 'r.record_id')})
+"""
+
+
+@register("parse_pages_python", _FIRST_PER_PAGE)
+def q_parse_pages_python(spark, sf):
+    """parse_pages_with(parse_business_details): the standard-library HTML
+    parser in mapInPandas, first result block of every page."""
+    return U.parse_pages_with(I.registry_pages(spark, sf))
+
+
+@register("stream_listing",
+          f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, "
+          f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+def q_stream_listing(spark, sf):
+    """stream_search_log: pages written as files are parsed by a streaming
+    query (availableNow) and appended; the appended table is returned."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    I.registry_pages(spark, sf).write.parquet(f"{base}/src")
+    q = SL.stream_listing(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("business_name", "business_type", "inc_date", "location", "status")

@@ -124,34 +124,48 @@ def saturated_page(html, cap: str = "200") -> Column:
     return F.array_contains(F.split(banner, " "), cap)
 
 
+def extract_fields(blocks: DataFrame, specs, block: str = "block", keep_block: bool = False) -> DataFrame:
+    """Leaf values of ``specs`` as columns (NULL when absent).
+
+    Two projections: the raw texts first, then empty -> NULL, so every
+    regular expression runs once per block (Catalyst keeps the stages apart
+    instead of inlining the expensive extraction twice)."""
+    b = F.col(block)
+    keep = [c for c in blocks.columns if keep_block or c != block]
+    raw = blocks.select(*keep, *[T.element_text(F.regexp_extract(b, s.pattern(), 1)).alias("_r_" + s.name)
+                                 for s in specs])
+    return raw.select(*keep, *[F.when(F.col("_r_" + s.name) != "", F.col("_r_" + s.name)).alias(s.name)
+                               for s in specs])
+
+
 def extract_listing(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Five listing fields per block, ``N/A`` when missing."""
-    b = F.col(block)
-    cols = [F.coalesce(c, F.lit(NOT_AVAILABLE)).alias(s.name)
-            for c, s in zip([s.column(b) for s in LISTING_FIELDS], LISTING_FIELDS)]
-    return blocks.select(*[c for c in blocks.columns if c != block], *cols)
+    d = extract_fields(blocks, LISTING_FIELDS, block)
+    keep = [c for c in blocks.columns if c != block]
+    return d.select(*keep, *[F.coalesce(F.col(s.name), F.lit(NOT_AVAILABLE)).alias(s.name) for s in LISTING_FIELDS])
 
 
 def extract_details(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Detail fields: name without the trailing ``(digits)``, corporation
-    number (within the block), registry type, status, address, business type,
-    incorporation date and its DATE value."""
-    b = F.col(block)
-    raw_name = LISTING_FIELDS[0].column(b)
-    inc = LISTING_FIELDS[2].column(b)
-    cols = [
-        T.strip_number(raw_name).alias("company_name"),
-        F.coalesce(T.trailing_number(raw_name),
-                   F.when(F.regexp_extract(b, r"\((\d+)\)", 1) != "", F.regexp_extract(b, r"\((\d+)\)", 1))
-                   ).alias("corporation_number"),
-        REGISTRY_FIELD.column(b).alias("registry_type"),
-        LISTING_FIELDS[4].column(b).alias("status"),
-        LISTING_FIELDS[3].column(b).alias("address"),
-        LISTING_FIELDS[1].column(b).alias("business_type"),
-        inc.alias("incorporation_date"),
-        T.to_date_any(inc).alias("incorporation_day"),
-    ]
-    return blocks.select(*[c for c in blocks.columns if c != block], *cols)
+    number (from the name, else the first ``(digits)`` within the block),
+    registry type, status, address, business type, incorporation date and
+    its DATE value."""
+    keep = [c for c in blocks.columns if c != block]
+    d = extract_fields(blocks, LISTING_FIELDS + [REGISTRY_FIELD], block, keep_block=True)
+    any_num = F.regexp_extract(F.col(block), r"\((\d+)\)", 1)
+    d = d.select(*keep, "business_name", "business_type", "inc_date", "location", "status", "registry_type",
+                 F.when(any_num != "", any_num).alias("_num_any"))
+    return d.select(
+        *keep,
+        T.strip_number(F.col("business_name")).alias("company_name"),
+        F.coalesce(T.trailing_number(F.col("business_name")), F.col("_num_any")).alias("corporation_number"),
+        "registry_type",
+        "status",
+        F.col("location").alias("address"),
+        "business_type",
+        F.col("inc_date").alias("incorporation_date"),
+        T.to_date_any(F.col("inc_date")).alias("incorporation_day"),
+    )
 
 
 def extract_previous_names(block) -> Column:

@@ -74,12 +74,11 @@ def q_normalize_name(spark, sf):
     """normalize_name, name_variations, name_terms, coop_flag, normalize_words,
     normalize_name_simple and abbreviation on every distinct search name."""
     names = I.search_names(spark, sf).select(F.col("search_name").alias("name")).distinct()
-    p = S.name_profile("name")
-    return names.select(
-        "name", p["norm"].alias("norm"), N.set_key(p["vars"]).alias("variations"),
-        N.set_key(p["terms"]).alias("terms"), p["coop"].alias("coop"),
-        N.normalize_words("name").alias("words"), N.normalize_name_simple("name").alias("simple"),
-        N.abbreviation(N.normalize_name_simple("name")).alias("abbr"))
+    p = N.with_name_profile(names, "name")
+    p = p.select("*", N.normalize_name_simple("name").alias("simple"))
+    return p.select(
+        "name", "norm", N.set_key("vars").alias("variations"), N.set_key("terms").alias("terms"), "coop",
+        N.normalize_words("name").alias("words"), "simple", N.abbreviation("simple").alias("abbr"))
 
 
 # ---------------------------------------------------------------------------
@@ -153,10 +152,14 @@ def q_match_scores(spark, sf):
     pairs = I.search_names(spark, sf).join(I.registry_names(spark, sf),
                                            F.col("doc_id") == F.col("company_id")).drop("company_id")
     scored = M.score_pairs(pairs, "search_name", "company_name")
-    ov = S.match_score_overlap(F.col("search_name"), F.col("company_name"))
-    return scored.select("doc_id", "search_name", "company_name", "confidence", "tier",
+    staged = scored.select("*", N.normalize_words("search_name").alias("_sn"),
+                           N.normalize_words("company_name").alias("_cn"),
+                           N.normalize_name_simple("search_name").alias("_ns"),
+                           N.normalize_name_simple("company_name").alias("_nc"))
+    ov = S.match_score_overlap(F.col("search_name"), F.col("company_name"), "_sn", "_cn")
+    return staged.select("doc_id", "search_name", "company_name", "confidence", "tier",
                          ov["confidence"].alias("overlap_confidence"),
-                         S.match_loose(F.col("search_name"), F.col("company_name")).alias("loose_match"))
+                         S.match_loose(F.col("search_name"), F.col("company_name"), "_ns", "_nc").alias("loose_match"))
 
 
 # ---------------------------------------------------------------------------

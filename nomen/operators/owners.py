@@ -82,7 +82,7 @@ def exclusion_reason(name, keep) -> Column:
 def project_owner(features: DataFrame, owner_field: str = "OWNERNAME") -> DataFrame:
     """``trim(properties.<owner_field>)`` of each feature; NULL and empty
     names are skipped (the original aborts the whole file on a NULL)."""
-    owner = py_strip(F.col("properties").getField(owner_field))
+    owner = py_strip(F.col("properties")[owner_field])
     return features.select(owner.alias("owner")).where(F.col("owner").isNotNull() & (F.col("owner") != ""))
 
 

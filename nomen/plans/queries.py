@@ -475,3 +475,98 @@ def q_stream_listing(spark, sf):
     q = SL.stream_listing(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("business_name", "business_type", "inc_date", "location", "status")
+
+
+# ---------------------------------------------------------------------------
+# cleaned results per page, registry filter, search status, JSON, dates
+
+_FIRST_REC = f"""
+SELECT r.* FROM ({_REG}) r
+WHERE record_id = (SELECT min(record_id) FROM ({_REG}) r2
+                   WHERE {Q.page_key('r2.company_name', 'r2.business_type', 'r2.record_id')}
+                       = {Q.page_key('r.company_name', 'r.business_type', 'r.record_id')})
+"""
+
+
+@register("cleaned_results",
+          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, "
+          f"company_name || ' (' || corporation_number || ')' AS company, status, "
+          f"replace(registration_date, ',', '') AS incorporation_date, 6 AS n_keys, company_name AS first_name "
+          f"FROM ({_FIRST_REC})")
+def q_cleaned_results(spark, sf):
+    """extract fields per block -> min_fields -> number_valid_results ->
+    render_cleaned_results per page -> parse_result_sections (RESULT #1) +
+    parse_first_name; standardize_date on date labels."""
+    pages = I.registry_pages(spark, sf)
+    blocks = P.split_result_blocks(pages, keys=("page_key",))
+    f = P.extract_fields(blocks, P.LISTING_FIELDS + [P.REGISTRY_FIELD])
+    pairs = F.filter(F.array(
+        F.struct(F.lit("COMPANY NAME").alias("k"), F.col("business_name").alias("v")),
+        F.struct(F.lit("REGISTRY TYPE").alias("k"), F.col("registry_type").alias("v")),
+        F.struct(F.lit("STATUS").alias("k"), F.col("status").alias("v")),
+        F.struct(F.lit("ADDRESS").alias("k"), F.col("location").alias("v")),
+        F.struct(F.lit("BUSINESS TYPE").alias("k"), F.col("business_type").alias("v")),
+        F.struct(F.lit("INCORPORATION DATE").alias("k"), T.standardize_date(F.col("inc_date")).alias("v"))),
+        lambda e: e["v"].isNotNull())
+    per_page = (f.select("page_key", F.struct("pos", pairs.alias("kv")).alias("x"))
+                .groupBy("page_key").agg(F.array_sort(F.collect_list("x")).alias("xs")))
+    text = R.render_cleaned_results(F.transform("xs", lambda x: x["kv"]))
+    d = per_page.select("page_key", text.alias("t")).select("page_key", R.parse_result_sections("t").alias("m"),
+                                                          R.parse_first_name("t").alias("first_name"))
+    return d.select("page_key", F.col("m")["COMPANY NAME"].alias("company"), F.col("m")["STATUS"].alias("status"),
+                    F.col("m")["INCORPORATION DATE"].alias("incorporation_date"), F.size("m").alias("n_keys"),
+                    "first_name")
+
+
+_NFP_TYPES = ["Co-operative Non-Share", "Co-operative with Share", "Not-for-Profit Corporation"]
+
+
+@register("filter_registry",
+          f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, business_type, status "
+          f"FROM ({_REG}) WHERE business_type IN ({', '.join(Q.q(t) for t in _NFP_TYPES)}) AND status = 'Active'")
+def q_filter_registry(spark, sf):
+    """filter_registry: business type in the three non-profit types, Active."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    return P.filter_registry(P.extract_listing(blocks), _NFP_TYPES).select("business_name", "business_type", "status")
+
+
+@register("search_status",
+          "SELECT CASE WHEN event_type = 'error' THEN 'Error' WHEN contains(props, 'No results found') THEN 'No Data' "
+          "ELSE 'Found' END AS status, count(*) AS n FROM events GROUP BY 1")
+def q_search_status(spark, sf):
+    """search_status (Found / No Data / Error) + filter_success counts."""
+    log = search_log(spark, sf)
+    return log.groupBy(P.search_status(F.col("success"), F.col("html_content")).alias("status")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("parse_json_props",
+          "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def q_parse_json_props(spark, sf):
+    """parse_json: JSON text of the search log -> typed column."""
+    e = I.table(spark, sf, "events")
+    return e.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@register("registry_dates",
+          f"SELECT record_id, replace(registration_date, ',', '') AS std_date, registration_day AS day_from_std, "
+          f"registration_day AS day_from_text, "
+          f"CAST(round(1.0 * count(*) OVER () * 7 / (5 * 2) / 60, 6) AS DOUBLE) AS planned_minutes FROM ({_REG})")
+def q_registry_dates(spark, sf):
+    """standardize_date, to_date in both spellings, expected_minutes."""
+    r = I.registry_records(spark, sf)
+    std = T.standardize_date(F.col("registration_date"))
+    n = r.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated by Spark
+    return r.select("record_id", std.alias("std_date"), T.to_date_any(std).alias("day_from_std"),
+                    T.to_date_any(F.col("registration_date")).alias("day_from_text"),
+                    F.round(T.expected_minutes(n, 5, 2), 6).alias("planned_minutes"))
+
+
+@register("lookup_status_counts",
+          f"SELECT 'scored' AS status, count(*) AS n FROM ({_ENTRY_SRC})")
+def q_lookup_status_counts(spark, sf):
+    """lookup_status / owners_with_outcome: outcome per owner, counted."""
+    owners = _owners(spark, sf)
+    raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    return PL.owner_pipeline(owners, res).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -117,3 +117,23 @@ def expected_minutes(rows, batch: int, lanes: int, seconds_per_row: float = 7.0)
 
 def lookup_default(*cols, default: str = "Unknown") -> Column:
     return F.coalesce(*[_c(c) for c in cols], F.lit(default))
+
+
+DATE_IN_TEXT_RE = r"(?i)(incorporation|amalgamation).*?(\w+\s+\d{1,2},?\s+\d{4})"
+
+
+def extract_date(text) -> Column:
+    """``Month d, yyyy`` after Incorporation / Amalgamation -> struct of the
+    two dates (the word decides the column; NULL when absent)."""
+    t = _c(text)
+    kind = F.upper(F.regexp_extract(t, DATE_IN_TEXT_RE, 1))
+    val = F.regexp_extract(t, DATE_IN_TEXT_RE, 2)
+    return F.struct(F.when(kind == "INCORPORATION", val).alias("incorporation_date"),
+                    F.when(kind == "AMALGAMATION", val).alias("amalgamation_date"))
+
+
+def split_search_label(label) -> Column:
+    """``prefix (type)`` -> struct(prefix, business_type)."""
+    t = _c(label)
+    return F.struct(F.regexp_extract(t, r"^(.*?) \((.*)\)$", 1).alias("prefix"),
+                    F.regexp_extract(t, r"^(.*?) \((.*)\)$", 2).alias("business_type"))

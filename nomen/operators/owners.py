@@ -130,3 +130,11 @@ def split_owners(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rule_trace(classified: DataFrame) -> DataFrame:
     """Names that passed the LTD/LIMITED rule (the debug side file)."""
     return classified.where(~F.col("rule").isin("empty", "short", "ltd")).select("owner")
+
+
+def sample_owners(classified: DataFrame, k: int = 5, keep: bool = True) -> tuple[DataFrame, Column]:
+    """First ``k`` names in sort order (a top-k report: ``orderBy.limit`` is
+    the feature, planned as TakeOrdered) and the "... and n more" count."""
+    d = classified.where(F.col("keep") == keep)
+    more = F.greatest(d.agg(F.count(F.lit(1))).scalar() - k, F.lit(0))
+    return d.orderBy("owner").limit(k), more

@@ -282,3 +282,61 @@ def render_page(blocks, n_results) -> Column:
         F.array_join(blocks, ""),
         F.when(n_results == 0, F.lit("<p>No results found</p>")).otherwise(F.lit("")),
         F.lit("</body></html>"))
+
+
+# ---------------------------------------------------------------------------
+# smaller extractors of the other page flows
+
+LABEL_MAX, VALUE_MAX, ROW_MIN, ROW_MAX = 50, 200, 10, 1000
+# Status / type / location patterns of the concurrent flow.
+CONCURRENT_STATUS_RE = r"Active|Inactive|Refer to Ministry"
+CONCURRENT_TYPE_RE = r"Co-operative|Corporation|Credit Union"
+
+
+def extract_label_value(row) -> Column:
+    """``label: value`` (ASCII or full-width colon) or ``<b>label</b> value``
+    of one mark-up row -> struct(label upper-cased, value), NULL outside the
+    limits (row 10-1000 chars, label < 50, value < 200)."""
+    r = row if isinstance(row, Column) else F.col(row)
+    colon = r"(?is)^(.*?)[:：]\s*(.*)$"
+    bold = r"(?is)<b>(.*?)</b>\s*(.*?)(?=<br|<p|$)"
+    has_colon = r.rlike(colon)
+    lbl = F.upper(F.trim(F.when(has_colon, F.regexp_extract(r, colon, 1)).otherwise(F.regexp_extract(r, bold, 1))))
+    val = F.trim(F.when(has_colon, F.regexp_extract(r, colon, 2)).otherwise(F.regexp_extract(r, bold, 2)))
+    ok = ((F.length(r) >= ROW_MIN) & (F.length(r) <= ROW_MAX) & (lbl != "") & (val != "")
+          & (F.length(lbl) < LABEL_MAX) & (F.length(val) < VALUE_MAX))
+    return F.when(ok, F.struct(lbl.alias("label"), val.alias("value")))
+
+
+def longest_address(addresses) -> Column:
+    """Longest non-empty text of an address array (first wins ties)."""
+    a = F.filter(addresses, lambda x: x.isNotNull() & (x != ""))
+    return F.aggregate(a, F.lit(None).cast("string"),
+                       lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc)), x).otherwise(acc))
+
+
+def extract_concurrent_fields(html, search_name) -> Column:
+    """First ``NAME (digits)`` link text -> name, number; status, type, date
+    and location by text patterns; a no-results page gives the placeholder."""
+    h = html if isinstance(html, Column) else F.col(html)
+    link = r">([^<]+?)\s*\((\d+)\)\s*</a>"
+    span = r"(?s)>([^<]+?)\s*\((\d+)\)\s*</span>"
+    has_link = h.rlike(link)
+    name = F.trim(F.when(has_link, F.regexp_extract(h, link, 1)).otherwise(F.regexp_extract(h, span, 1)))
+    num = F.when(has_link, F.regexp_extract(h, link, 2)).otherwise(F.regexp_extract(h, span, 2))
+    status = F.regexp_extract(h, r'<span class="' + VALUE_CLASS + r'">\s*(' + CONCURRENT_STATUS_RE + r')\s*<', 1)
+    btype = F.regexp_extract(h, r"<span[^>]*>\s*([^<]*(?:" + CONCURRENT_TYPE_RE + r")[^<]*?)\s*<", 1)
+    date = F.regexp_extract(h, r"<span[^>]*>\s*(\w+ \d{1,2}, \d{4})\s*<", 1)
+    loc = F.regexp_extract(h, r'<div class="' + ADDRESS_VALUE_CLASS + r'">\s*([^<]*Ontario[^<]*Canada)\s*<', 1)
+
+    def na(x):
+        return F.when(x != "", x).otherwise(F.lit(NOT_AVAILABLE))
+    found = F.struct(name.alias("company_name"),
+                     F.when(has_link, F.when(status != "", status).otherwise(F.lit("Active")))
+                      .otherwise(F.lit("Found")).alias("status"),
+                     F.when(has_link, na(btype)).otherwise(F.lit(NOT_AVAILABLE)).alias("business_type"),
+                     F.when(has_link, na(date)).otherwise(F.lit(NOT_AVAILABLE)).alias("incorporation_date"),
+                     F.when(has_link, na(loc)).otherwise(F.lit(NOT_AVAILABLE)).alias("location"),
+                     num.alias("corporation_number"))
+    return (F.when(T.no_results_flag(h), no_results_record(search_name))
+            .when(num != "", found))

@@ -14,16 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nomen.session import materialize
+
 DEFAULT_SALT = 32
 DEFAULT_HOT_FRACTION = 0.002   # a key is hot above this share of probe rows
 MIN_HOT_ROWS = 10_000          # ... and above this absolute count
 MAX_HOT_KEYS = 50_000          # broadcast bound for the hot-key list
 
 
-def _has_ckpt(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
-
-
 def hot_keys(probe: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
     return (probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") >= min_rows).select(*keys))
@@ -43,8 +41,7 @@ def lookup_join(probe: DataFrame, lookup: DataFrame, keys: list[str], how: str =
             min_hot_rows = max(MIN_HOT_ROWS, int(probe_rows * DEFAULT_HOT_FRACTION))
     # one job: keys above the threshold, at most probe_rows / min_hot_rows of
     # them; the bound is checked before anything is broadcast
-    hot = hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1).checkpoint(eager=True) \
-        if _has_ckpt(probe) else hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1)
+    hot = materialize(hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1), "hot-keys")
     n_hot = hot.count()
     if n_hot == 0 or n_hot > MAX_HOT_KEYS:
         return probe.join(lookup, keys, how)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nomen.session import checkpoint_dir
+from nomen.session import materialize as materialize_table
 
 LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | local index
 
@@ -23,13 +23,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def number_rows(df: DataFrame, order: list, name: str = "n", materialize: bool = True) -> DataFrame:
-    """Global 1-based row number by ``order`` (two passes, no single task)."""
+def number_rows(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """Global 1-based row number by ``order`` (two passes, no single task).
+
+    The sorted rows with their partition-local ids are always written once
+    (``materialize``): both passes must see the same partitioning, which a
+    recomputed sort does not promise."""
     s = df.orderBy(*order)
     s = s.withColumn("_mid", F.monotonically_increasing_id())
-    if materialize:
-        checkpoint_dir(df.sparkSession)
-        s = s.checkpoint(eager=True)
+    s = materialize_table(s, "sorted")
     s = s.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS)) \
          .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -63,3 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "t"):
+    """Write ``df`` once as a parquet table under the session's checkpoint
+    folder and read it back: one computation (``Dataset.checkpoint`` runs the
+    plan twice unless persisted), reliable shared storage, lineage cut, and
+    column pruning / predicate pushdown on the re-read."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/nomen-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -3,10 +3,11 @@
 ``lookup_join`` joins a large, possibly skewed *probe* side to a *lookup* side
 holding at most one row per key. Keys that hold many probe rows (a third of
 all rows, say) would land in one task; they are found by a map-side combined
-count, and only those keys are salted: their probe rows spread over
-``n_salt`` buckets and their (single) lookup row is copied into each bucket.
-The hot-key list is broadcast only after its size is checked; above the bound
-the join falls back to AQE's skew-join splitting.
+count, and only those keys are salted: their probe rows spread over a
+number of buckets that grows with the key's row count, and their (single)
+lookup row is copied into each bucket. The hot-key list is the top
+``MAX_HOT_KEYS`` by count, so its broadcast size has a fixed bound; keys below
+the cut still get AQE's skew-join splitting.
 """
 
 from __future__ import annotations
@@ -16,43 +17,51 @@ from pyspark.sql import functions as F
 
 from nomen.session import materialize
 
-DEFAULT_SALT = 32
-DEFAULT_HOT_FRACTION = 0.002   # a key is hot above this share of probe rows
-MIN_HOT_ROWS = 10_000          # ... and above this absolute count
-MAX_HOT_KEYS = 50_000          # broadcast bound for the hot-key list
+DEFAULT_SALT = 32               # minimum buckets for a hot key
+TARGET_ROWS_PER_BUCKET = 1_000_000  # a hot key gets ceil(rows / this) buckets ...
+MAX_SALT = 4096                  # ... up to this many
+MIN_HOT_ROWS = 10_000            # a key is hot from this many probe rows
+MAX_HOT_KEYS = 50_000            # the heaviest keys kept: the broadcast bound
 
 
 def hot_keys(probe: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
     return (probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") >= min_rows).select(*keys))
+            .where(F.col("_n") >= min_rows))
 
 
 def lookup_join(probe: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
                 salt_by: str | None = None, n_salt: int = DEFAULT_SALT,
-                min_hot_rows: int | None = None, probe_rows: int | None = None) -> DataFrame:
+                min_hot_rows: int | None = None,
+                rows_per_bucket: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
     """Join ``probe`` to ``lookup`` (unique on ``keys``) with hot keys salted.
 
-    ``salt_by`` names a probe column hashed into the salt (stable across task
-    retries, unlike ``rand()``); default: all probe columns.
+    Hot keys: at least ``min_hot_rows`` probe rows (map-side combined count),
+    at most the ``MAX_HOT_KEYS`` heaviest (a top-k, so the broadcast list has
+    a fixed bound). Each hot key is split into ``max(n_salt, ceil(rows /
+    rows_per_bucket))`` buckets (capped at ``MAX_SALT``): its probe rows are
+    spread by a hash of ``salt_by`` (stable across task retries, unlike
+    ``rand()``), its single lookup row is copied into each bucket. Cold keys
+    join as usual; AQE's skew split remains as a second line.
     """
     if min_hot_rows is None:
         min_hot_rows = MIN_HOT_ROWS
-        if probe_rows is not None:
-            min_hot_rows = max(MIN_HOT_ROWS, int(probe_rows * DEFAULT_HOT_FRACTION))
-    # one job: keys above the threshold, at most probe_rows / min_hot_rows of
-    # them; the bound is checked before anything is broadcast
-    hot = materialize(hot_keys(probe, keys, min_hot_rows).limit(MAX_HOT_KEYS + 1), "hot-keys")
-    n_hot = hot.count()
-    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
+    hot = (hot_keys(probe, keys, min_hot_rows).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS)
+           .select(*keys, F.least(F.lit(MAX_SALT),
+                                  F.greatest(F.lit(n_salt), F.ceil(F.col("_n") / rows_per_bucket))
+                                  ).cast("int").alias("_buckets")))
+    hot = materialize(hot, "hot-keys")
+    if hot.isEmpty():
         return probe.join(lookup, keys, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot)
     salt_src = [F.col(salt_by)] if salt_by else [F.col(c) for c in probe.columns]
     p = (probe.join(hot, keys, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_src), F.lit(n_salt)))
-                     .otherwise(F.lit(0)))
-         .drop("_hot"))
+         .withColumn("_salt", F.when(F.col("_buckets").isNotNull(),
+                                     F.pmod(F.xxhash64(*salt_src), F.col("_buckets")))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop("_buckets"))
     lk = (lookup.join(hot, keys, "left")
-          .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n_salt - 1)))
+          .withColumn("_salt", F.explode(F.when(F.col("_buckets").isNotNull(),
+                                                F.sequence(F.lit(0), F.col("_buckets") - 1))
                                          .otherwise(F.array(F.lit(0)))))
-          .drop("_hot"))
+          .drop("_buckets"))
     return p.join(lk, keys + ["_salt"], how).drop("_salt")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import text as T
+from nomen.session import materialize
 
 SEQUENTIAL_SECONDS = 10.0  # assumed time of one sequential search (speed-up base)
 
@@ -72,6 +73,8 @@ def prefix_partition(names: DataFrame, name: str = "name", group=(), cap: int =
     """
     g = list(group)
     base = names.select(*g, F.lower(F.col(name)).alias("_nm")).where(F.col("_nm").isNotNull() & (F.col("_nm") != ""))
+    # every level reads the names again: write the projected column once
+    base = materialize(base, "prefix-names")
     leaves = None
     open_ = None  # saturated prefixes of the previous level
     for k in range(1, max_depth + 1):

@@ -119,7 +119,8 @@ def owner_pipeline_overlap(owners: DataFrame, results: DataFrame, batch: int = 5
     numbered = W.number_rows(o, ["owner"], "n")
     first = M.first_per_group(results, "owner", [order_col])
     j = numbered.join(first, "owner", "left")
-    sc = S.match_score_overlap(F.col("owner"), F.col("company_name"))
+    j = j.select("*", N.normalize_words("owner").alias("_sn"), N.normalize_words("company_name").alias("_cn"))
+    sc = S.match_score_overlap(F.col("owner"), F.col("company_name"), "_sn", "_cn")
     return j.select("n", W.batch_number(F.col("n"), batch).alias("batch"),
                     W.batch_position(F.col("n"), batch).alias("batch_pos"),
                     "owner", "company_name", sc["is_match"].alias("is_match"),

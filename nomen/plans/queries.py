@@ -570,3 +570,33 @@ def q_lookup_status_counts(spark, sf):
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
     res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
     return PL.owner_pipeline(owners, res).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_OV_SN = Q.normalize_words("owner")
+_OV_CN = Q.normalize_words("company_name")
+_OV_SW = f"list_distinct(list_filter(string_split({_OV_SN}, ' '), lambda w: w <> ''))"
+_OV_CW = f"list_distinct(list_filter(string_split({_OV_CN}, ' '), lambda w: w <> ''))"
+_OV_R = f"len(list_intersect({_OV_SW}, {_OV_CW})) / len({_OV_SW})"
+_OVERLAP_SQL = f"""
+SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, owner, company_name,
+  CASE WHEN company_name IS NULL OR company_name = '' THEN false
+       WHEN {_OV_SN} <> '' AND {_OV_CN} <> '' AND (contains({_OV_CN}, {_OV_SN}) OR contains({_OV_SN}, {_OV_CN})) THEN true
+       WHEN len({_OV_SW}) > 0 AND {_OV_R} >= 0.7 THEN true ELSE false END AS is_match,
+  CASE WHEN company_name IS NULL OR company_name = '' THEN 0.0
+       WHEN {_OV_SN} <> '' AND {_OV_CN} <> '' AND (contains({_OV_CN}, {_OV_SN}) OR contains({_OV_SN}, {_OV_CN})) THEN 1.0
+       WHEN len({_OV_SW}) > 0 AND {_OV_R} >= 0.7 THEN {_OV_R} ELSE 0.0 END AS confidence
+FROM (SELECT o.owner, row_number() OVER (ORDER BY o.owner) AS n, r.company_name
+      FROM (SELECT DISTINCT owner FROM ({_OWN_ALL}) WHERE owner <> '') o
+      JOIN (SELECT owner, min(owner_id) AS rid FROM ({_OWN_ALL}) GROUP BY owner) f ON o.owner = f.owner
+      JOIN ({_REG}) r ON r.record_id = f.rid)
+"""
+
+
+@register("owner_pipeline_overlap", _OVERLAP_SQL)
+def q_owner_pipeline_overlap(spark, sf):
+    """owner_pipeline_overlap: numbered owners in batches of 5, each scored
+    with the overlap matcher against its first registry result."""
+    owners = _owners(spark, sf)
+    raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    return PL.owner_pipeline_overlap(owners, res)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import text as T
-from nomen.session import materialize
 
 SEQUENTIAL_SECONDS = 10.0  # assumed time of one sequential search (speed-up base)
 
@@ -61,33 +60,32 @@ def filtered_total(df: DataFrame) -> DataFrame:
 def prefix_partition(names: DataFrame, name: str = "name", group=(), cap: int = 200,
                      max_depth: int = 6) -> DataFrame:
     """Leaf prefixes of a name column such that each holds fewer than
-    ``cap`` names (the adaptive prefix walk re-aimed as level-wise
-    aggregation).
-
-    Level k groups by the first k characters (lower case); prefixes below
-    ``cap`` are leaves, the rest are expanded to level k+1 with a semi join.
-    Names no longer than a saturated prefix stay under it; ``max_depth``
-    bounds the walk (prefixes still saturated there are returned as they
-    are). Returns ``group..., prefix, depth, n_names``. Driver work: one
-    small loop over levels, no data.
+    ``cap`` names (the adaptive prefix walk, re-aimed as one aggregation).
+
+    The walk deepens a prefix while it holds ``cap`` names or more; a prefix
+    is a leaf when it holds fewer, when a name ends there (it cannot be
+    deepened) or at ``max_depth``. Because a prefix's count does not depend on
+    the walk, all levels are counted in one pass: every name is exploded into
+    its prefixes of depth 1 .. min(len + 1, max_depth) (at depth len + 1 the
+    "prefix" is the whole, shorter name), counted per ``(group, depth,
+    prefix)`` with map-side combining, and a prefix is kept when it is a leaf
+    and its parent (depth - 1) was saturated. The parent lookup is a join of
+    the count table with itself (fan-out bounded by the alphabet).
+    Returns ``group..., prefix, depth, n_names``; no driver loop, no data on
+    the driver.
     """
     g = list(group)
-    base = names.select(*g, F.lower(F.col(name)).alias("_nm")).where(F.col("_nm").isNotNull() & (F.col("_nm") != ""))
-    # every level reads the names again: write the projected column once
-    base = materialize(base, "prefix-names")
-    leaves = None
-    open_ = None  # saturated prefixes of the previous level
-    for k in range(1, max_depth + 1):
-        cur = base
-        if open_ is not None:
-            cur = (base.withColumn("_p", F.substring("_nm", 1, k - 1))
-                   .join(open_.withColumnRenamed("prefix", "_p"), g + ["_p"], "left_semi").drop("_p"))
-        lvl = (cur.groupBy(*g, F.substring("_nm", 1, k).alias("prefix"))
-               .agg(F.count(F.lit(1)).alias("n_names"))
-               .withColumn("depth", F.lit(k)))
-        # a prefix shorter than k cannot be deepened: it is a leaf
-        done = (F.col("n_names") < cap) | (F.length("prefix") < k) | F.lit(k == max_depth)
-        leaf = lvl.where(done).select(*g, "prefix", "depth", "n_names")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        open_ = lvl.where(~done).select(*g, "prefix")
-    return leaves
+    nm = F.lower(F.col(name))
+    base = names.select(*g, nm.alias("_nm")).where(F.col("_nm").isNotNull() & (F.col("_nm") != ""))
+    depths = F.sequence(F.lit(1), F.least(F.length("_nm") + 1, F.lit(max_depth)))
+    pref = base.select(*g, F.inline(F.transform(depths, lambda k: F.struct(
+        k.alias("depth"), F.substring(F.col("_nm"), 1, k).alias("prefix")))))
+    counts = pref.groupBy(*g, "depth", "prefix").agg(F.count(F.lit(1)).alias("n_names"))
+    parents = counts.select(*g, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_parent"),
+                            ((F.col("n_names") >= cap) & (F.length("prefix") == F.col("depth"))
+                             & (F.col("depth") < max_depth)).alias("_open"))
+    leaf = (F.col("n_names") < cap) | (F.length("prefix") < F.col("depth")) | (F.col("depth") == max_depth)
+    child = counts.where(leaf).withColumn("_parent", F.expr("substring(prefix, 1, depth - 1)"))
+    j = child.join(parents, g + ["depth", "_parent"], "left")
+    keep = (F.col("depth") == 1) | F.coalesce(F.col("_open"), F.lit(False))
+    return j.where(keep).select(*g, "prefix", "depth", "n_names")

@@ -29,7 +29,11 @@ def number_rows(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     The sorted rows with their partition-local ids are always written once
     (``materialize``): both passes must see the same partitioning, which a
     recomputed sort does not promise."""
-    s = df.orderBy(*order)
+    # tie-breaks spread rows with equal sort keys over the range partitions
+    # (a key held by a third of all rows would otherwise fill one task);
+    # rows equal in every column are interchangeable, so their order is free
+    hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    s = df.orderBy(*order, *([F.xxhash64(*hashable)] if hashable else []), F.rand(17))
     s = s.withColumn("_mid", F.monotonically_increasing_id())
     s = materialize_table(s, "sorted")
     s = s.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS)) \

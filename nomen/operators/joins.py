@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomen.session import materialize
 
 DEFAULT_SALT = 32               # minimum buckets for a hot key
 TARGET_ROWS_PER_BUCKET = 1_000_000  # a hot key gets ceil(rows / this) buckets ...
@@ -49,10 +48,12 @@ def lookup_join(probe: DataFrame, lookup: DataFrame, keys: list[str], how: str =
            .select(*keys, F.least(F.lit(MAX_SALT),
                                   F.greatest(F.lit(n_salt), F.ceil(F.col("_n") / rows_per_bucket))
                                   ).cast("int").alias("_buckets")))
-    hot = materialize(hot, "hot-keys")
-    if hot.isEmpty():
+    # bounded (top MAX_HOT_KEYS rows of keys + one int): fetched in one job and
+    # broadcast back; the probe and lookup sides never pass the driver
+    rows = hot.collect()
+    if not rows:
         return probe.join(lookup, keys, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(probe.sparkSession.createDataFrame(rows, hot.schema))
     salt_src = [F.col(salt_by)] if salt_by else [F.col(c) for c in probe.columns]
     p = (probe.join(hot, keys, "left")
          .withColumn("_salt", F.when(F.col("_buckets").isNotNull(),

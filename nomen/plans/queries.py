@@ -53,8 +53,8 @@ def q_owner_counts(spark, sf):
 
 
 @register("reason_counts",
-          f"SELECT count_if(keep) AS n_kept, count_if(NOT keep) AS n_excluded, "
-          f"count_if(reason = 'LTD/LIMITED') AS n_ltd_limited FROM ({_CLASSIFIED_SQL})")
+          f"SELECT CAST(count_if(keep) AS BIGINT) AS n_kept, CAST(count_if(NOT keep) AS BIGINT) AS n_excluded, "
+          f"CAST(count_if(reason = 'LTD/LIMITED') AS BIGINT) AS n_ltd_limited FROM ({_CLASSIFIED_SQL})")
 def q_reason_counts(spark, sf):
     return O.reason_counts(O.classify_owners(_owners(spark, sf)))
 
@@ -189,7 +189,7 @@ def q_extract_details(spark, sf):
 
 
 @register("count_results",
-          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, count(*) AS n_results, "
+          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, CAST(count(*) AS INTEGER) AS n_results, "
           f"false AS saturated FROM ({_REG}) GROUP BY 1")
 def q_count_results(spark, sf):
     """count_results + saturated_page per rendered page."""
@@ -201,13 +201,13 @@ def q_count_results(spark, sf):
 _CANDS = " || ".join(f"regexp_extract_all(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)" for t in ["h3", "h2", "h1", "strong", "b", "a"])
 _CANDS = f"list_filter(list_transform(flatten([{', '.join(f'regexp_extract_all(html, {chr(39)}(?is)<{t}\\b[^>]*>(.*?)</{t}>{chr(39)}, 1)' for t in ['h3', 'h2', 'h1', 'strong', 'b', 'a'])}]), lambda x: {Q.element_text('x')}), lambda x: length(x) BETWEEN 3 AND 100 AND lower(x) NOT IN ('view', 'details', 'more'))"
 _PAGES_SQL = f"""
-SELECT page_id, length(html) AS page_size,
+SELECT page_id, CAST(length(html) AS INTEGER) AS page_size,
   {Q.element_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
   {Q.element_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1,
-  len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS n_items,
-  len(regexp_extract_all(html, '(?i)<a\\s')) AS n_links,
+  CAST(len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS INTEGER) AS n_items,
+  CAST(len(regexp_extract_all(html, '(?i)<a\\s')) AS INTEGER) AS n_links,
   coalesce(regexp_matches(html, '(?i)no results found|no matches'), false) AS no_results,
-  length(CASE WHEN length(html) > 2000 THEN left(html, 2000) || '...' ELSE html END) AS raw_len,
+  CAST(length(CASE WHEN length(html) > 2000 THEN left(html, 2000) || '...' ELSE html END) AS INTEGER) AS raw_len,
   CASE WHEN len({_CANDS}) = 0 THEN NULL ELSE list_reduce({_CANDS}, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END) END AS best_candidate
 FROM pages
 """
@@ -264,7 +264,7 @@ FROM (SELECT *, {Q.tier_sql('s_vars', 's_terms', 's_coop', 'vars', 'terms', 'coo
 
 
 @register("lookup_report_parse",
-          "SELECT lookup_number, search_name, company_name AS company, business_type, match_found, confidence, "
+          "SELECT CAST(lookup_number AS INTEGER) AS lookup_number, search_name, company_name AS company, business_type, match_found, confidence, "
           f"closest_match, direct_match, n_detail FROM ({_PARSED_SRC})")
 def q_lookup_report_parse(spark, sf):
     """owner_pipeline -> render_lookup_report -> report files ->
@@ -338,7 +338,7 @@ _LOG_SQL = ("SELECT 'user ' || CAST(user_id AS VARCHAR) AS business_name, event_
 
 
 @register("lookup_stats",
-          "SELECT user_id, count(*) AS n_searches, count_if(success) AS n_success, round(sum(search_time), 6) AS total_seconds, "
+          "SELECT user_id, count(*) AS n_searches, CAST(count_if(success) AS BIGINT) AS n_success, round(sum(search_time), 6) AS total_seconds, "
           "round(sum(search_time) / count(*), 6) AS avg_seconds, round(count(*) / sum(search_time), 6) AS per_second, "
           "round(count(*) * 10.0 / sum(search_time), 6) AS speedup, "
           "round(CASE WHEN sum(search_time) / count(*) > 0 THEN (sum(search_time) / count(*) - "
@@ -350,7 +350,7 @@ def q_lookup_stats(spark, sf):
 
 
 @register("search_success_counts",
-          "SELECT count(*) AS n_searches, count_if(success) AS n_success, round(sum(search_time) / count(*), 6) AS avg_seconds "
+          "SELECT count(*) AS n_searches, CAST(count_if(success) AS BIGINT) AS n_success, round(sum(search_time) / count(*), 6) AS avg_seconds "
           f"FROM ({_LOG_SQL})")
 def q_search_success_counts(spark, sf):
     return ST.search_success_counts(search_log(spark, sf))
@@ -413,7 +413,7 @@ def q_rule_trace(spark, sf):
 
 
 @register("batch_lanes",
-          "SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, (n - 1) % 2 AS lane, owner "
+          "SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, CAST((n - 1) % 2 AS INTEGER) AS lane, owner "
           f"FROM (SELECT owner, row_number() OVER (ORDER BY owner) AS n FROM ({_OWNERS_SQL}))")
 def q_batch_lanes(spark, sf):
     """batch_number (batches of 5) and round_robin (2 lanes) over numbered owners."""
@@ -422,7 +422,7 @@ def q_batch_lanes(spark, sf):
                     W.round_robin(F.col("n"), 2).alias("lane"), "owner")
 
 
-@register("match_counts", f"SELECT count_if(is_match) AS n_matched, count(*) AS n_total FROM ({_BEST_SQL})")
+@register("match_counts", f"SELECT CAST(count_if(is_match) AS BIGINT) AS n_matched, count(*) AS n_total FROM ({_BEST_SQL})")
 def q_match_counts(spark, sf):
     """match_counts over the flagship best-match result."""
     return ST.match_counts(q_match_join_best(spark, sf))

@@ -58,6 +58,16 @@ def duck(sf_dir):
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+def type_mismatches(df, rel):
+    st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [(c, st[c], dt.get(c)) for c in st if SPARK_TO_DUCK.get(st[c], st[c]) != dt.get(c)]
+
+
 def compare(spark, sf_dir, names=None, verbose=True):
     import __spark_entry__ as E
     qs, os_ = E.queries(), E.oracle_sql()
@@ -82,6 +92,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
             continue
         try:
             r = con.sql(os_[name])
+            tbad = type_mismatches(df, r)
             dcols = r.columns
             drows = r.fetchall()
         except Exception as e:  # noqa: BLE001
@@ -92,7 +103,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         t2 = time.time()
         sc, sl, sh = canon(scols, srows)
         dc, dl, dh = canon(dcols, drows)
-        ok = sc == dc and len(sl) == len(dl) and sh == dh
+        ok = sc == dc and len(sl) == len(dl) and sh == dh and not tbad
         out[name] = ("OK" if ok else "MISMATCH", len(srows), len(drows))
         if verbose:
             print(f"{name}: {'OK' if ok else 'MISMATCH'} spark={len(srows)} duck={len(drows)} "
@@ -100,6 +111,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
             if not ok:
                 if sc != dc:
                     print("   columns", sc, dc)
+                if tbad:
+                    print("   types", tbad)
                 a, b = set(sl), set(dl)
                 for x in sorted(a - b)[:5]:
                     print("   spark-only:", x[:400])

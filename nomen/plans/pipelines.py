@@ -86,6 +86,7 @@ def unmatched_report(parsed: DataFrame) -> DataFrame:
     d = F.col("detail")
     return n.select("i", "search_name",
                     T.lookup_default(d["COMPANY NAME"], F.col("closest_match")).alias("found"),
+                    d["STATUS"].alias("status"), d["ADDRESS"].alias("address"),
                     T.lookup_default(F.col("match_found")).alias("match_found"),
                     T.lookup_default(F.col("confidence"), default="N/A").alias("confidence"),
                     "original_entry")

@@ -292,7 +292,7 @@ def q_filter_business_type(spark, sf):
           f"coalesce(confidence, 'N/A') AS confidence FROM ({_PARSED_SRC}) WHERE NOT coalesce(direct_match, false)")
 def q_filter_unmatched(spark, sf):
     """filter_unmatched (no direct match in the debug section) + numbering."""
-    return PL.unmatched_report(_report_parsed(spark, sf)).drop("original_entry")
+    return PL.unmatched_report(_report_parsed(spark, sf)).drop("original_entry", "status", "address")
 
 
 @register("available_types",

@@ -50,3 +50,39 @@ def write_per_record(df: DataFrame, path: str, name_col: str = "business_name",
 def append_search_report(sections: DataFrame, path: str, value: str = "value") -> None:
     """Append sections to the report folder (one write per batch)."""
     sections.select(F.col(value).alias("value")).write.mode("append").text(path)
+
+
+def write_ordered_text(header: DataFrame, lines: DataFrame, path: str, order: str = "i", mode: str = "overwrite") -> None:
+    """A text report as one ordered, distributed write: the header row
+    (order 0) and the numbered lines, range-partitioned by their number."""
+    h = header.select(F.lit(0).cast("long").alias("_o"), F.col("value"))
+    body = lines.select(F.col(order).cast("long").alias("_o"), F.col("value"))
+    (h.unionByName(body).repartitionByRange("_o").sortWithinPartitions("_o").select("value")
+        .write.mode(mode).text(path))
+
+
+def write_filtered_report(summary: DataFrame, path: str, business_type: str, source: str = "",
+                          generated: str = "1970-01-01 00:00:00") -> None:
+    """Business-type report: header with the total, then ``i. company`` lines
+    (``summary`` from ``pipelines.business_type_report``)."""
+    from nomen.operators import reports as R
+    header = summary.agg(F.count(F.lit(1)).alias("n")).select(
+        R.filtered_report_header(F.col("n"), business_type, source, generated).alias("value"))
+    write_ordered_text(header, summary.select("i", F.col("line").alias("value")), path, "i")
+
+
+def write_unmatched_report(unmatched: DataFrame, path: str, source: str = "",
+                           generated: str = "1970-01-01 00:00:00") -> None:
+    """Unmatched report: header, numbered summaries, then the original
+    entries in the same order (``unmatched`` from
+    ``pipelines.unmatched_report``)."""
+    from nomen.operators import reports as R
+    n = unmatched.agg(F.count(F.lit(1)).alias("n"))
+    header = n.select(R.unmatched_report_header(F.col("n"), source, generated).alias("value"))
+    lines = unmatched.select("i", R.render_unmatched_line(
+        F.col("i"), F.col("search_name"), F.col("found"), F.coalesce(F.col("status"), F.lit("Unknown")),
+        F.coalesce(F.col("address"), F.lit("Unknown")), F.col("match_found"), F.col("confidence")).alias("value"))
+    # the detailed entries follow all summary lines: their order key is shifted
+    detail = unmatched.select((F.col("i") + F.lit(1 << 40)).alias("i"),
+                              F.concat(F.col("original_entry"), F.lit("\n\n")).alias("value"))
+    write_ordered_text(header, lines.unionByName(detail), path, "i")

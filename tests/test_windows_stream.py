@@ -45,3 +45,15 @@ def test_stream_equals_batch(spark, tmpdir_path):
     h = SL.on_result(d, lambda b, i: seen.append(b.count()), os.path.join(tmpdir_path, "ck2"))
     h.awaitTermination()
     assert sum(seen) == want.select("business_name").distinct().count()
+
+
+def test_stream_dedupe_within_watermark(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "ev")
+    ev = I.table(spark, SF_SMALL, "events").select("ts", "user_id", "event_type")
+    ev.unionByName(ev).write.parquet(src)                       # every event twice
+    s = spark.readStream.schema(ev.schema).parquet(src)
+    d = SL.stream_dedupe(s, ["user_id", "event_type", "ts"], event_time="ts", watermark="1 day")
+    seen = []
+    h = SL.on_result(d, lambda b, i: seen.append(b.count()), os.path.join(tmpdir_path, "ck3"))
+    h.awaitTermination()
+    assert sum(seen) == ev.distinct().count()

@@ -82,3 +82,18 @@ def test_writers(spark, tmpdir_path):
     Wr.write_json_records(recs, os.path.join(tmpdir_path, "json"))
     back = spark.read.json(os.path.join(tmpdir_path, "json")).collect()
     assert {r.business_name for r in back} == {"A", "B"}
+
+
+def test_per_record_and_append(spark, tmpdir_path):
+    recs = spark.createDataFrame([(f"name {i}", f"<html>{i}</html>") for i in range(40)],
+                                 "business_name string, html_content string")
+    out = os.path.join(tmpdir_path, "per_record")
+    Wr.write_per_record(recs, out, buckets=4)
+    back = spark.read.parquet(out)
+    assert back.count() == 40 and back.select("bucket").distinct().count() <= 4
+    assert {r.file_label for r in back.collect()} >= {"name_0", "name_39"}
+    rep = os.path.join(tmpdir_path, "rep")
+    sec = spark.createDataFrame([("SEARCH: a (t)\n",)], "value string")
+    Wr.append_search_report(sec, rep)
+    Wr.append_search_report(sec, rep)
+    assert spark.read.text(rep).count() == 2

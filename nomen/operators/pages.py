@@ -340,3 +340,70 @@ def extract_concurrent_fields(html, search_name) -> Column:
                      num.alias("corporation_number"))
     return (F.when(T.no_results_flag(h), no_results_record(search_name))
             .when(num != "", found))
+
+
+LABEL_CLASS = "appMinimalLabel"
+ATTR_ROW_RE = (r'(?s)<div[^>]*class="[^"]*(?<=["\s])appMinimalAttr(?=["\s])[^"]*"[^>]*>\s*'
+               r'<span[^>]*class="[^"]*(?<=["\s])appMinimalLabel(?=["\s])[^"]*"[^>]*>([^<]*)</span>\s*'
+               r'<span[^>]*class="[^"]*(?<=["\s])appMinimalValue(?=["\s])[^"]*"[^>]*>([^<]*)</span>')
+
+
+def _first_wins(entries: Column) -> Column:
+    """Keep the first entry of every key (array<struct<k,v>>)."""
+    return F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), F.greatest(i, F.lit(1))),
+                                                    lambda y: (y["k"] == x["k"]) & (i > 0)))
+
+
+def extract_company_fields(blocks: DataFrame, block: str = "block") -> DataFrame:
+    """The full field map of a result block as ``info MAP<STRING,STRING>``.
+
+    In order, a key set earlier is never overwritten: COMPANY NAME (view
+    link, white space collapsed) and CORPORATION NUMBER (its trailing
+    digits), REGISTRY TYPE, STATUS, ADDRESS (longest address text), PREVIOUS
+    NAMES (joined by "; "), then every label/value row (label upper-cased,
+    ':' stripped; values of date labels lose their commas), BUSINESS TYPE
+    from the sub-type attribute and INCORPORATION DATE from the registration
+    attribute when still absent; aliases are renamed; the number is removed
+    from the name. Staged projections: each regular expression runs once.
+    """
+    from nomen.operators import reports as R
+    keep = [c for c in blocks.columns if c != block]
+    b = F.col(block)
+    addr_re = (r'(?s)<div[^>]*class="[^"]*(?<=["\s])' + ADDRESS_CLASSES[0] + r'(?=["\s])[^"]*"[^>]*>(.*?)</div>\s*</div>')
+    d = blocks.select(
+        *keep,
+        LISTING_FIELDS[0].column(b).alias("_name"),
+        REGISTRY_FIELD.column(b).alias("_reg"),
+        LISTING_FIELDS[4].column(b).alias("_status"),
+        F.transform(F.regexp_extract_all(b, F.lit(addr_re), 1), lambda x: T.element_text(x)).alias("_addrs"),
+        extract_previous_names(b).alias("_prev"),
+        F.regexp_extract_all(b, F.lit(ATTR_ROW_RE), 1).alias("_labels"),
+        F.regexp_extract_all(b, F.lit(ATTR_ROW_RE), 2).alias("_values"),
+        LISTING_FIELDS[1].column(b).alias("_subtype"),
+        LISTING_FIELDS[2].column(b).alias("_regdate"),
+    )
+    pairs = F.transform(F.arrays_zip("_labels", "_values"), lambda z: F.struct(
+        F.upper(F.regexp_replace(T.element_text(z["_labels"]), r"^:+|:+$", "")).alias("k"),
+        F.when(F.lower(T.element_text(z["_labels"])).contains("date"),
+               F.replace(T.element_text(z["_values"]), F.lit(","), F.lit("")))
+         .otherwise(T.element_text(z["_values"])).alias("v")))
+    num = T.trailing_number(F.col("_name"))
+
+    def kv(k, v):
+        return F.struct(F.lit(k).alias("k"), v.alias("v"))
+    entries = F.concat(
+        F.array(kv("COMPANY NAME", F.col("_name")), kv("CORPORATION NUMBER", num),
+                kv("REGISTRY TYPE", F.col("_reg")), kv("STATUS", F.col("_status")),
+                kv("ADDRESS", longest_address(F.col("_addrs"))),
+                kv("PREVIOUS NAMES", F.when(F.size("_prev") > 0, F.array_join("_prev", "; ")))),
+        pairs,
+        F.array(kv("BUSINESS TYPE", F.col("_subtype")),
+                kv("INCORPORATION DATE", F.when(~F.col("_regdate").startswith("Incorporation"), F.col("_regdate")))))
+    d = d.select(*keep, F.filter(entries, lambda e: e["k"].isNotNull() & (e["k"] != "")
+                                 & e["v"].isNotNull() & (e["v"] != "")).alias("_e"))
+    d = d.select(*keep, F.map_from_entries(_first_wins(F.col("_e"))).alias("_m"))
+    d = d.select(*keep, R.standardize_fields(F.col("_m")).alias("_m"))
+    clean = T.strip_number(F.col("_m")["COMPANY NAME"])
+    return d.select(*keep, F.when(F.col("_m")["COMPANY NAME"].isNull(), F.col("_m")).otherwise(
+        F.map_concat(F.map_filter("_m", lambda k, v: k != "COMPANY NAME"),
+                     F.create_map(F.lit("COMPANY NAME"), clean))).alias("info"))

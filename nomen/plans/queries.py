@@ -600,3 +600,18 @@ def q_owner_pipeline_overlap(spark, sf):
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
     res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
     return PL.owner_pipeline_overlap(owners, res)
+
+
+@register("extract_company_fields",
+          f"SELECT company_name AS company, corporation_number AS number, registry_type, status, address, "
+          f"business_type AS type, business_type, replace(registration_date, ',', '') AS incorporation_date, "
+          f"8 AS n_keys FROM ({_REG})")
+def q_extract_company_fields(spark, sf):
+    """extract_company_fields: the full first-wins field map of every block."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    m = F.col("info")
+    return P.extract_company_fields(blocks).select(
+        m["COMPANY NAME"].alias("company"), m["CORPORATION NUMBER"].alias("number"),
+        m["REGISTRY TYPE"].alias("registry_type"), m["STATUS"].alias("status"), m["ADDRESS"].alias("address"),
+        m["TYPE"].alias("type"), m["BUSINESS TYPE"].alias("business_type"),
+        m["INCORPORATION DATE"].alias("incorporation_date"), F.size(m).alias("n_keys"))

@@ -73,3 +73,31 @@ def test_previous_names_and_first_block(spark):
                               P.first_result_block(F.lit('<p>x</p><div class="result-item">R</div>')).alias("f")).first()
     assert r.p == ["OLD NAME", "OTHER"]
     assert r.f.startswith('<div class="result-item">')
+
+
+def test_extract_company_fields_map(spark):
+    blk = ('<div class="registerItemSearch-results-page-line appMinimalBox ItemBox">'
+           '<div class="registerItemSearch-results-page-line-ItemBox-resultLeft-viewMenu"><a class="viewMenu">'
+           '<span class="left"></span><span>ACME  FOODS (42)</span><span class="right"></span></a></div>'
+           '<div class="registerItemSearch-results-page-line-item1 registryInfo">Corporation</div>'
+           '<div class="appMinimalAttr Status"><span class="appMinimalLabel">Status:</span>'
+           '<span class="appMinimalValue">Active</span></div>'
+           '<div class="appMinimalAttr Other"><span class="appMinimalLabel">Status</span>'
+           '<span class="appMinimalValue">Ignored</span></div>'
+           '<div class="appMinimalAttr X"><span class="appMinimalLabel">CompanyName</span>'
+           '<span class="appMinimalValue">ALIAS</span></div>'
+           '<div class="appMinimalAttr RegistrationDate"><span class="appMinimalLabel">Amalgamation Date</span>'
+           '<span class="appMinimalValue">May 05, 2001</span></div>'
+           '<div class="appMinimalBox addressSearchResultBox"><div class="appAttrValue">1 Road</div></div>'
+           '<div class="appMinimalBox addressSearchResultBox"><div class="appAttrValue">1 Long Road, Town</div></div>'
+           '<div class="previousNameSearchResult"><div><span class="appMinimalValue">OLD ONE</span>'
+           '<span class="appMinimalValue">OLD TWO</span></div></div></div>')
+    df = spark.createDataFrame([(1, blk)], "page_key int, block string")
+    m = P.extract_company_fields(df).first().info
+    assert m["COMPANY NAME"] == "ACME FOODS" and m["CORPORATION NUMBER"] == "42"
+    assert m["STATUS"] == "Active"                    # first wins
+    assert m["ADDRESS"] == "1 Long Road, Town"        # longest address
+    assert m["PREVIOUS NAMES"] == "OLD ONE; OLD TWO"
+    assert m["AMALGAMATION DATE"] == "May 05 2001"    # date label: commas removed
+    assert m["INCORPORATION DATE"] == "May 05, 2001"  # registration attribute fallback
+    assert "COMPANYNAME" in m                         # alias kept: canonical key already present

@@ -20,7 +20,6 @@ from nomen.functions import names as N
 from nomen.functions import score as S
 from nomen.functions import text as T
 from nomen.operators import match as M
-from nomen.operators import owners as O
 from nomen.operators import pages as P
 from nomen.operators import reports as R
 from nomen.operators import stats as ST
@@ -134,4 +133,4 @@ def lookup_stats_pipeline(log: DataFrame) -> DataFrame:
 
 __all__ = ["owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",
            "search_sections", "search_report_to_json", "single_lookup", "owner_pipeline_overlap",
-           "lookup_stats_pipeline", "O", "N"]
+           "lookup_stats_pipeline"]

@@ -3,7 +3,6 @@ statement of the matcher (Python ``re``, Unicode word boundaries)."""
 
 import random
 
-from pyspark.sql import functions as F
 
 from nomen.functions import names as N
 from nomen.operators import match as M

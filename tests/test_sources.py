@@ -2,7 +2,6 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
 
 from nomen.operators import reports as R
 from nomen.sinks import writers as Wr

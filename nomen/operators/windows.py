@@ -4,8 +4,9 @@
 single-partition window: the data is range-partitioned by the sort (one
 shuffle), each partition numbers its rows locally
 (``monotonically_increasing_id`` holds the partition id and the local index),
-the per-partition counts — one row per partition, a bounded table — give each
-partition its offset, joined back as a broadcast. The sorted data is
+the per-partition counts — one row per partition, a bounded table, fetched
+once as ``zipWithIndex`` does — give each partition its offset, joined back as
+a broadcast of a literal table. The sorted data is
 materialised first so both passes see the same partitioning.
 """
 
@@ -38,10 +39,16 @@ def number_rows(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     s = materialize_table(s, "sorted")
     s = s.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS)) \
          .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: a running sum over a table of bounded size
-    offs = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
-    out = s.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + F.col("_loc") + 1)
+    # one row per partition (bounded by the partition count, as in
+    # zipWithIndex): fetched once, offsets summed, broadcast back as a literal
+    # table, so every later use of the result is a broadcast hash join
+    counts = sorted((r[0], r[1]) for r in s.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    offs, acc = [], 0
+    for pid, cnt in counts:
+        offs.append((pid, acc))
+        acc += cnt
+    offs_df = df.sparkSession.createDataFrame(offs or [(0, 0)], "_pid long, _off long")
+    out = s.join(F.broadcast(offs_df), "_pid").withColumn(name, F.col("_off") + F.col("_loc") + 1)
     return out.drop("_mid", "_pid", "_loc", "_off")
 
 

@@ -137,3 +137,13 @@ def split_search_label(label) -> Column:
     t = _c(label)
     return F.struct(F.regexp_extract(t, r"^(.*?) \((.*)\)$", 1).alias("prefix"),
                     F.regexp_extract(t, r"^(.*?) \((.*)\)$", 2).alias("business_type"))
+
+
+def to_json_record(*cols) -> Column:
+    """A record as JSON text (NULL fields dropped, non-ASCII kept)."""
+    return F.to_json(F.struct(*[_c(c) for c in cols]), {"ignoreNullFields": "true"})
+
+
+def parse_json(text, schema: str) -> Column:
+    """JSON text -> typed struct by a DDL schema."""
+    return F.from_json(_c(text), schema)

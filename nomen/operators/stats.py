@@ -89,3 +89,11 @@ def prefix_partition(names: DataFrame, name: str = "name", group=(), cap: int =
     j = child.join(parents, g + ["depth", "_parent"], "left")
     keep = (F.col("depth") == 1) | F.coalesce(F.col("_open"), F.lit(False))
     return j.where(keep).select(*g, "prefix", "depth", "n_names")
+
+
+def union_batches(*batches: DataFrame) -> DataFrame:
+    """Concatenate batch results by column name."""
+    out = batches[0]
+    for b in batches[1:]:
+        out = out.unionByName(b, allowMissingColumns=True)
+    return out

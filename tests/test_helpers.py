@@ -53,3 +53,15 @@ def test_maps_and_samples(spark):
     top, more = O.sample_owners(cl, 5)
     assert [x.owner for x in top.collect()] == [f"ANN LEE{c}" for c in "ABCDE"]
     assert spark.range(1).select(more.alias("m")).first().m == 2
+
+
+def test_union_and_json(spark):
+    from nomen.operators import stats as ST
+    a = spark.createDataFrame([("x", 1)], "name string, n int")
+    b = spark.createDataFrame([("y",)], "name string")
+    u = ST.union_batches(a, b)
+    assert sorted((r.name, r.n) for r in u.collect()) == [("x", 1), ("y", None)]
+    r = u.select(T.to_json_record("name", "n").alias("j")).orderBy("j").collect()
+    assert [x.j for x in r] == ['{"name":"x","n":1}', '{"name":"y"}']
+    back = spark.range(1).select(T.parse_json(F.lit('{"k": 5, "s": "é"}'), "k INT, s STRING").alias("p")).first().p
+    assert (back.k, back.s) == (5, "é")

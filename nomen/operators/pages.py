@@ -210,20 +210,43 @@ def filter_registry(listing: DataFrame, types=None, status: str = "Active") -> D
 # generic page features (the driver's ``pages`` table)
 
 
-def tag_texts(html, tag: str) -> Column:
-    """Texts of all closed ``<tag>`` elements, in page order."""
+# Name-candidate selectors in order, as (tag, attribute, substring);
+# the positional ``:first-child`` selectors are not expressible this way and
+# are left out.
+CANDIDATE_SELECTORS = [
+    ("a", "class", "viewMenu"), ("div", "class", "name"), ("h3", None, None), ("h2", None, None),
+    ("h1", None, None), ("span", "class", "title"), ("div", "class", "title"), ("a", "href", "view"),
+    ("strong", None, None), ("b", None, None),
+]
+NAV_WORDS = ["view", "details", "more"]
+
+
+def selector_regex(tag: str, attr: str | None, sub: str | None) -> str:
+    a = f'[^>]*\\b{attr}="[^"]*{sub}[^"]*"' if attr else ""
+    return f"(?is)<{tag}\\b{a}[^>]*>(.*?)</{tag}>"
+
+
+def stripped_text(x) -> Column:
+    """Text of a fragment as a stripped ``get_text`` gives it: text pieces
+    trimmed and glued without separators, entities decoded."""
+    v = F.regexp_replace(x if isinstance(x, Column) else F.col(x), r"\s*<[^>]+>\s*", "")
+    return F.trim(T.unescape(v))
+
+
+def tag_texts(html, tag: str, attr: str | None = None, sub: str | None = None) -> Column:
+    """Texts of all closed matching elements, in page order."""
     h = html if isinstance(html, Column) else F.col(html)
-    raw = F.regexp_extract_all(h, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), 1)
-    return F.transform(raw, lambda x: T.element_text(x))
+    raw = F.regexp_extract_all(h, F.lit(selector_regex(tag, attr, sub)), 1)
+    return F.transform(raw, lambda x: stripped_text(x))
 
 
 def extract_company_candidates(html) -> Column:
-    """Name candidates by tag in order (h3, h2, h1, strong, b, a), ordered
-    distinct, 3-100 characters, not a navigation word; the longest wins and
-    the first wins ties."""
-    cands = F.array_distinct(F.concat(*[tag_texts(html, t) for t in ["h3", "h2", "h1", "strong", "b", "a"]]))
+    """Name candidates by the ordered selector list, ordered distinct, not
+    a navigation word, 3-100 characters; the longest wins, the first wins
+    ties."""
+    cands = F.array_distinct(F.concat(*[tag_texts(html, t, a, v) for t, a, v in CANDIDATE_SELECTORS]))
     cands = F.filter(cands, lambda x: (F.length(x) >= 3) & (F.length(x) <= 100)
-                     & ~F.lower(x).isin("view", "details", "more"))
+                     & ~F.lower(x).isin(*NAV_WORDS))
     best = F.aggregate(cands, F.lit(None).cast("string"),
                        lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc)), x).otherwise(acc))
     return best

@@ -198,8 +198,21 @@ def q_count_results(spark, sf):
                      P.saturated_page("html").alias("saturated"))
 
 
-_CANDS = " || ".join(f"regexp_extract_all(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)" for t in ["h3", "h2", "h1", "strong", "b", "a"])
-_CANDS = f"list_filter(list_transform(flatten([{', '.join(f'regexp_extract_all(html, {chr(39)}(?is)<{t}\\b[^>]*>(.*?)</{t}>{chr(39)}, 1)' for t in ['h3', 'h2', 'h1', 'strong', 'b', 'a'])}]), lambda x: {Q.element_text('x')}), lambda x: length(x) BETWEEN 3 AND 100 AND lower(x) NOT IN ('view', 'details', 'more'))"
+def _cands_sql():
+    from nomen.functions.text import ENTITIES
+    def stripped(x):
+        v = rf"regexp_replace({x}, '\s*<[^>]+>\s*', '', 'g')"
+        for ent, ch in ENTITIES:
+            v = f"replace({v}, {Q.q(ent)}, {Q.q(ch)})"
+        return f"trim({v})"
+    parts = ", ".join(f"regexp_extract_all(html, {Q.q(P.selector_regex(t, a, v))}, 1)"
+                      for t, a, v in P.CANDIDATE_SELECTORS)
+    nav = ", ".join(Q.q(w) for w in P.NAV_WORDS)
+    return (f"list_filter(list_transform(flatten([{parts}]), lambda x: {stripped('x')}), "
+            f"lambda x: length(x) BETWEEN 3 AND 100 AND lower(x) NOT IN ({nav}))")
+
+
+_CANDS = _cands_sql()
 _PAGES_SQL = f"""
 SELECT page_id, CAST(length(html) AS INTEGER) AS page_size,
   {Q.element_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,

@@ -101,3 +101,13 @@ def test_extract_company_fields_map(spark):
     assert m["AMALGAMATION DATE"] == "May 05 2001"    # date label: commas removed
     assert m["INCORPORATION DATE"] == "May 05, 2001"  # registration attribute fallback
     assert "COMPANYNAME" in m                         # alias kept: canonical key already present
+
+
+def test_company_candidates_selector_order(spark):
+    blk = ('<div class="x"><a class="viewMenu" href="#view"><span class="left"></span><span>ACME FOODS (42)</span>'
+           '<span class="right"></span></a><div class="the-name">  ACME  </div><strong>View</strong>'
+           '<b>An Unusually Long Bold Label That Wins On Length</b><h1>Hi</h1></div>')
+    r = spark.range(1).select(P.extract_company_candidates(F.lit(blk)).alias("c"),
+                              P.extract_company_candidates(F.lit(blk.replace("<b>An Unusually Long Bold Label That Wins On Length</b>", ""))).alias("d")).first()
+    assert r.c == "An Unusually Long Bold Label That Wins On Length"
+    assert r.d == "ACME FOODS (42)"          # view link text, spans glued; 'View' and 'Hi' filtered

@@ -179,9 +179,14 @@ def extract_previous_names(block) -> Column:
 
 
 def first_result_block(html) -> Column:
-    """First container by the ordered selector fallback list."""
+    """First container by the ordered selector fallback list: the first
+    three are whole class tokens, the last two class substrings. Returns the
+    page from that container's opening tag (leaf fields are searched from
+    there on)."""
     h = html if isinstance(html, Column) else F.col(html)
-    cands = [F.regexp_extract(h, r'(?s)(<div[^>]*class="[^"]*' + m + r'[^"]*".*)', 1) for m in FIRST_BLOCK_MARKERS]
+    pats = [r'(?s)(<div[^>]*class="[^"]*' + _token(m) + r'.*)' for m in FIRST_BLOCK_MARKERS[:3]]
+    pats += [r'(?s)(<div[^>]*class="[^"]*' + m + r'[^"]*".*)' for m in FIRST_BLOCK_MARKERS[3:]]
+    cands = [F.regexp_extract(h, p, 1) for p in pats]
     return F.coalesce(*[F.when(c != "", c) for c in cands])
 
 

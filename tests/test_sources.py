@@ -96,3 +96,23 @@ def test_per_record_and_append(spark, tmpdir_path):
     Wr.append_search_report(sec, rep)
     Wr.append_search_report(sec, rep)
     assert spark.read.text(rep).where("value <> ''").count() == 2  # sections end in a newline
+
+
+def test_lookup_report_split_across_tasks(spark, tmpdir_path):
+    rule = "=" * 80
+    ent = lambda n, name: (f"\n{rule}\nBUSINESS LOOKUP #{n}: {name}\n{rule}\n\nSEARCH RESULTS FOR: {name}\n"
+                           + "x" * (n % 500) + f"\n{rule}\nMATCH FOUND: NO\n{rule}\n\n\n")
+    text = f"{rule}\nBUSINESS LOOKUP DETAILS - COMPREHENSIVE REPORT\n{rule}\n\n" + "".join(ent(i, f"N{i}") for i in range(1, 400))
+    p = os.path.join(tmpdir_path, "big_report.txt")
+    _write(p, text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")    # the file is cut into many splits
+    try:
+        df = S.read_lookup_report(spark, p)
+        assert df.rdd.getNumPartitions() > 10
+        got = sorted(r.entry for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = sorted(r.entry for r in R.split_report_entries(
+        spark.createDataFrame([(0, text)], "file_no int, value string")).collect())
+    assert got == want and len(got) == 399

@@ -57,3 +57,20 @@ def test_stream_dedupe_within_watermark(spark, tmpdir_path):
     h = SL.on_result(d, lambda b, i: seen.append(b.count()), os.path.join(tmpdir_path, "ck3"))
     h.awaitTermination()
     assert sum(seen) == ev.distinct().count()
+
+
+def test_number_rows_with_hot_key(spark):
+    # a third of all rows share one sort key
+    df = spark.range(0, 6000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id") % 997).alias("k"), "id")
+    rows = W.number_rows(df, ["k"], "n").select("k", "n").collect()
+    ns = sorted(r.n for r in rows)
+    assert ns == list(range(1, 6001))
+    by_n = sorted(rows, key=lambda r: r.n)
+    assert all(a.k <= b.k for a, b in zip(by_n, by_n[1:]))
+    # the tie-break spreads the hot key over several range partitions
+    from pyspark.sql import functions as G
+    hashable = [G.col(c) for c in df.columns]
+    parts = (df.orderBy("k", G.xxhash64(*hashable)).where(G.col("k") == 500)
+             .select(G.spark_partition_id().alias("p")).distinct().count())
+    assert parts > 1

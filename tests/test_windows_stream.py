@@ -71,6 +71,8 @@ def test_number_rows_with_hot_key(spark):
     # the tie-break spreads the hot key over several range partitions
     from pyspark.sql import functions as G
     hashable = [G.col(c) for c in df.columns]
-    parts = (df.orderBy("k", G.xxhash64(*hashable)).where(G.col("k") == 500)
-             .select(G.spark_partition_id().alias("p")).distinct().count())
-    assert parts > 1
+    def spread(*keys):
+        return (df.repartitionByRange(8, *keys).where(G.col("k") == 500)
+                .select(G.spark_partition_id().alias("p")).distinct().count())
+    assert spread("k") == 1                               # without: one partition holds the hot key
+    assert spread("k", G.xxhash64(*hashable)) > 1         # with the tie-break it is split

@@ -628,3 +628,23 @@ def q_extract_company_fields(spark, sf):
         m["REGISTRY TYPE"].alias("registry_type"), m["STATUS"].alias("status"), m["ADDRESS"].alias("address"),
         m["TYPE"].alias("type"), m["BUSINESS TYPE"].alias("business_type"),
         m["INCORPORATION DATE"].alias("incorporation_date"), F.size(m).alias("n_keys"))
+
+
+_PARTIAL = ("len(list_filter(s.terms, lambda a: len(list_filter(c.terms, lambda b: contains(b, a) OR contains(a, b))) > 0)) > 0")
+_TIERS_SQL = f"""
+WITH s AS ({_S_PROFILE}), c AS ({_C_PROFILE})
+SELECT s.owner,
+  min(c.company) FILTER (WHERE len(list_intersect(s.vars, c.vars)) > 0) AS direct,
+  min(c.company) FILTER (WHERE len(list_intersect(s.terms, c.terms)) > 0) AS term,
+  min(c.company) FILTER (WHERE {_PARTIAL} OR s.coop OR c.coop) AS partial
+FROM s CROSS JOIN c GROUP BY s.owner
+"""
+
+
+@register("match_join_tiers", _TIERS_SQL)
+def q_match_join_tiers(spark, sf):
+    """match_join_direct / match_join_terms / match_join_substring, each on
+    its own: the smallest company per tier per owner (no pairs built). The
+    oracle is the brute-force cross join."""
+    return M.best_per_tier(I.search_names(spark, sf), I.registry_names(spark, sf),
+                           owner_col="search_name", company_col="company_name")

@@ -31,3 +31,10 @@ def test_stats_are_one_aggregation(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double" in p
     assert p.count("Exchange") <= 1
+
+
+def test_tier_joins_have_no_pair_join(spark):
+    df = E.queries()["match_join_tiers"](spark, SF_SMALL)
+    df.collect()
+    p = _plan(df)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -49,6 +49,7 @@ def q_classify_owner_nolen(spark, sf):
 
 @register("owner_counts", f"SELECT keep, rule, count(*) AS n_owners FROM ({_CLASSIFIED_SQL}) GROUP BY ROLLUP (keep, rule)")
 def q_owner_counts(spark, sf):
+    """owner_counts: owners per (keep, rule) with rollup totals (distinct_owners first)."""
     return O.owner_counts(O.classify_owners(_owners(spark, sf)))
 
 
@@ -56,6 +57,7 @@ def q_owner_counts(spark, sf):
           f"SELECT CAST(count_if(keep) AS BIGINT) AS n_kept, CAST(count_if(NOT keep) AS BIGINT) AS n_excluded, "
           f"CAST(count_if(reason = 'LTD/LIMITED') AS BIGINT) AS n_ltd_limited FROM ({_CLASSIFIED_SQL})")
 def q_reason_counts(spark, sf):
+    """Kept / excluded totals and the LTD/LIMITED reason group (exclusion_reason)."""
     return O.reason_counts(O.classify_owners(_owners(spark, sf)))
 
 
@@ -366,6 +368,7 @@ def q_lookup_stats(spark, sf):
           "SELECT count(*) AS n_searches, CAST(count_if(success) AS BIGINT) AS n_success, round(sum(search_time) / count(*), 6) AS avg_seconds "
           f"FROM ({_LOG_SQL})")
 def q_search_success_counts(spark, sf):
+    """search_success_counts: searches, successes, average seconds (events as a search log)."""
     return ST.search_success_counts(search_log(spark, sf))
 
 
@@ -373,6 +376,7 @@ def q_search_success_counts(spark, sf):
           f"SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS search, count(*) AS n_results "
           f"FROM ({_REG}) GROUP BY 1")
 def q_results_per_search(spark, sf):
+    """results_per_search: result blocks per search label over the rendered pages."""
     blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key", "search"))
     return ST.results_per_search(blocks)
 
@@ -422,6 +426,7 @@ def q_owner_lists(spark, sf):
 
 @register("rule_trace", f"SELECT owner FROM ({_CLASSIFIED_SQL}) WHERE rule NOT IN ('empty', 'short', 'ltd')")
 def q_rule_trace(spark, sf):
+    """write_rule_trace: names that passed the LTD/LIMITED rule."""
     return O.rule_trace(O.classify_owners(_owners(spark, sf)))
 
 

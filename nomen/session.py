@@ -49,19 +49,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (a
-    local test session) a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (as the cluster sets it), else from
+    the SparkContext's checkpoint folder. Only when neither is set, and only
+    on a local master (tests), a scratch folder is created and registered
+    with the SparkContext; the runtime conf may refuse the key, which is fine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
     if not d:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="nomen-ckpt-", dir=os.environ.get("NOMEN_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - a core conf; the SparkContext setting below suffices
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

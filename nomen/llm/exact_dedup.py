@@ -9,10 +9,11 @@ prefix groups with more than one row get the full hash:
    caller carries);
 2. lengths, then (length, prefix hash) pairs that occur once are settled as
    unique on that table, without their texts being read again;
-3. a second scan hashes the full content of the surviving groups. Survivors are
-   recognised by a slot number of their pair; the broadcast slot list holds at most
-   ``SLOTS`` numbers whatever the input. A row that shares a slot by chance is
-   hashed too and falls out as a group of one.
+3. a second scan hashes the full content of the surviving groups.
+
+Survivors of a step are recognised by a slot number of their key; the broadcast slot list
+holds at most ``SLOTS`` numbers whatever the input, and no row is shuffled to be
+settled. A row that shares a slot by chance goes on too and falls out as a group of one.
 
 Groups are counted by partially aggregated sums, so a group with a third of all
 rows sends one row per task; the join back of group results leaves its splitting
@@ -52,8 +53,14 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, carry: list[Column]) ->
                     F.xxhash64(F.left("norm", F.lit(PREFIX_CHARS))).alias("pre"))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("len", "pre"), F.lit(SLOTS))
+def _slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+
+
+def _repeated(sig: DataFrame, *keys: str) -> DataFrame:
+    """Slots of the keys that occur more than once: at most ``SLOTS`` rows, to be broadcast."""
+    found = sig.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return F.broadcast(materialize(found.select(_slot(*keys).alias("slot")).distinct(), "exact-slots"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -64,15 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     signed = _signed(docs, id_col, text_col, carry or [])
     sig = materialize(signed.select("id", "len", "pre", "row"), "exact-sig")
-    lengths = sig.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    pairs = (sig.select("len", "pre").join(lengths, "len", "left_semi")
-             .groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    slots = F.broadcast(materialize(pairs.select(_slot().alias("slot")).distinct(), "exact-slots"))
+    lengths = _repeated(sig, "len")
+    slots = _repeated(sig.select("len", "pre", _slot("len").alias("slot")).join(lengths, "slot", "left_semi"), "len", "pre")
 
-    alone = (sig.withColumn("slot", _slot()).join(slots, "slot", "left_anti")
+    alone = (sig.withColumn("slot", _slot("len", "pre")).join(slots, "slot", "left_anti")
              .select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                      F.lit(True).alias("kept"), "row"))
-    full = (signed.withColumn("slot", _slot()).join(slots, "slot", "left_semi")
+    full = (signed.withColumn("slot", _slot("len", "pre")).join(slots, "slot", "left_semi")
             .select("id", "chars", "len", F.sha2(F.col("norm").cast("binary"), 256).alias("hash"), "row",
                     F.monotonically_increasing_id().alias("n")))
     full = materialize(full, "exact-full")

@@ -36,7 +36,8 @@ CACHE = 200_000
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c"}
 COST_SIGN = 1.0      # a sign for its letter
-COST_DROP = {True: 5.0, False: 2.5}    # a digit (True) or another sign for nothing
+COST_DROP = 5.0      # a sign for nothing ...
+COST_END = 1.0       # ... or one after the last letter or digit of a word: punctuation
 COST_REPEAT = 0.7    # a letter again for nothing
 
 EDGE, OTHER, CLASSES = 0, 27, 28
@@ -78,11 +79,12 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def _arcs(word: str) -> list[tuple[list[int], float, float]]:
     """Per character: (classes it may stand for, cost of that, cost of standing for nothing)."""
     out, before = [], ""
-    for c in word:
+    end = max((i for i, c in enumerate(word) if c.isalnum()), default=-1)
+    for i, c in enumerate(word):
         if "a" <= c <= "z":
             out.append(([CLASS[ord(c)]], 0.0, COST_REPEAT if c == before else np.inf))
         elif c in LOOKS_LIKE:
-            out.append(([CLASS[ord(x)] for x in LOOKS_LIKE[c]], COST_SIGN, COST_DROP[c.isdigit()]))
+            out.append(([CLASS[ord(x)] for x in LOOKS_LIKE[c]], COST_SIGN, COST_DROP if i <= end else COST_END))
         elif ord(c) >= 128:
             out.append(([OTHER], 0.0, COST_REPEAT if c == before else np.inf))
         else:

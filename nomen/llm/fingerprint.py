@@ -43,24 +43,35 @@ LANES = SUM_LANES + 16 * COUNT_HASHES + 2
 BRANCH = 64
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(values: Column, lane, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, h: (acc + lane(h)).bitwiseAND(F.lit(mask)))
 
 
+def _sums(paragraphs: Column, seed: int) -> Column:
+    """Two lanes modulo 2**32 of one hash of the paragraphs."""
+    return _let(F.transform(paragraphs, lambda p: F.xxhash64(F.lit(seed), p)), lambda hashes: F.array(
+        _sum(hashes, lambda h: h.bitwiseAND(F.lit(MASK32)), MASK32), _sum(hashes, lambda h: F.shiftrightunsigned(h, 32), MASK32)))
+
+
+def _counters(sentences: Column, seed: int) -> Column:
+    """Sixteen lanes of four counters of the bits of one hash of the sentences."""
+    return _let(F.transform(sentences, lambda s: F.xxhash64(F.lit(seed), s)), lambda hashes: F.array(
+        *[_sum(hashes, lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BIT0)), MASK14) for k in range(16)]))
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text as array<long> of ``LANES`` lanes."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n")
-    sentences = F.split(F.coalesce(text, F.lit("")), "\n|(?<=[.!?]) ")
-    lanes = []
-    for i in range(SUM_LANES // 2):
-        hashes = F.transform(paragraphs, lambda p, i=i: F.xxhash64(F.lit(i), p))
-        lanes.append(_sum(hashes, lambda h: h.bitwiseAND(F.lit(MASK32)), MASK32))
-        lanes.append(_sum(hashes, lambda h: F.shiftrightunsigned(h, 32), MASK32))
-    for i in range(COUNT_HASHES):
-        hashes = F.transform(sentences, lambda s, i=i: F.xxhash64(F.lit(100 + i), s))
-        for k in range(16):
-            lanes.append(_sum(hashes, lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BIT0)), MASK14))
-    return F.array(*lanes, F.size(sentences).cast("long"), F.size(paragraphs).cast("long"))
+    whole = F.coalesce(text, F.lit(""))
+    by_paragraph = _let(F.split(whole, "\n"), lambda p: F.concat(
+        *[_sums(p, i) for i in range(SUM_LANES // 2)], F.array(F.size(p).cast("long"))))
+    by_sentence = _let(F.split(whole, "\n|(?<=[.!?]) "), lambda s: F.concat(
+        *[_counters(s, 100 + i) for i in range(COUNT_HASHES)], F.array(F.size(s).cast("long"))))
+    return _let(by_paragraph, lambda p: F.concat(F.slice(p, 1, SUM_LANES), by_sentence, F.slice(p, SUM_LANES + 1, 1)))
 
 
 def _lane_mask(i: Column) -> Column:
@@ -98,9 +109,11 @@ def likeness(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, v: s + v)
 
-    x, y = _centred(a), _centred(b)
-    cosine = F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
+    def cosine(x: Column, y: Column) -> Column:
+        return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+    cos = _let(F.struct(_centred(a).alias("x"), _centred(b).alias("y")), lambda z: cosine(z["x"], z["y"]))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cos, F.lit(0.0)))))
 
 
 def digest(fp: Column) -> Column:
@@ -121,8 +134,9 @@ def _range_of(x: Column, splits: list[int]) -> Column:
     return at.cast("int")
 
 
-def with_next(docs: DataFrame, key: str, tie: str, carried: list[str], ranges: int) -> DataFrame:
-    """``docs`` with ``next_<c>`` of the next row in order of (key, tie), after the last row the first."""
+def with_next(docs: DataFrame, key: str, tie: str, carried: list[str], ranges: int, derive=lambda d: d) -> DataFrame:
+    """``docs`` with ``next_<c>`` of the next row in order of (key, tie), after the last row the first. ``derive`` adds
+    columns to the rows once they are copied and before they are carried."""
     spark = docs.sparkSession
     low = -(1 << 63)
     cuts = docs.select(key).approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
@@ -132,14 +146,14 @@ def with_next(docs: DataFrame, key: str, tie: str, carried: list[str], ranges: i
     heads = sorted((r["_range"], r["k"] is None, r["k"]) for r in ranged.groupBy("_range").agg(
         F.min(F.struct(F.col(key).isNotNull().alias("z"), F.col(key).alias("k"))).alias("m")).select("_range", "m.k").collect())
     to = [(heads[(i + 1) % len(heads)][2], h[0]) for i, h in enumerate(heads)]
-    copies = spark.createDataFrame(to or [(None, 0)], "_k long, _to int") if to else None
     all_rows = ranged.withColumn("_copy", F.lit(False))
-    if copies is not None:
+    if to:
+        copies = spark.createDataFrame(to, "_k long, _to int")
         first = (docs.join(F.broadcast(copies), F.col(key).eqNullSafe(F.col("_k")))
                  .withColumn("_range", F.col("_to")).withColumn("_copy", F.lit(True)).select(all_rows.columns))
         all_rows = all_rows.unionByName(first)
     w = Window.partitionBy("_range").orderBy("_copy", F.col(key).asc_nulls_first(), tie)
-    return (all_rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried})
+    return (derive(all_rows).withColumns({f"next_{c}": F.lead(c).over(w) for c in carried})
             .where(~F.col("_copy")).drop("_copy", "_range"))
 
 
@@ -153,8 +167,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ranges = ranges or 4 * n_parts(docs.sparkSession)
     t = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    t = t.withColumn("fp", fingerprint(F.col("text")))
-    t = with_next(t, "id", "text", ["text", "fp"], ranges)
+    t = with_next(t, "id", "text", ["text", "fp"], ranges, lambda d: d.withColumn("fp", fingerprint(F.col("text"))))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     t = t.withColumns({"n_chars": n.cast("long"),

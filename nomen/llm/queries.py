@@ -97,6 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NORMAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM t, unnest(range(1, len(ws) - 11)) AS u(i)),
+        low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        hit AS (SELECT win.doc_id, win.i FROM win JOIN low USING (k) WHERE low.m < win.doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, unnest(range(0, 13)) AS v(j)),
+        word AS (SELECT doc_id, i, ws[i] AS x FROM t, unnest(range(1, len(ws) + 1)) AS u(i)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS s FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT t.doc_id, len(t.ws) AS n_words, len(t.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id)""",
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, {_NORMAL} AS norm FROM documents),
         g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM t GROUP BY norm)

@@ -85,6 +85,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), "id", "n")).alias("b"),
                  F.count(F.lit(1)).alias("group_size"))
             .select("len", "hash", F.col("b.id").alias("keep_id"), F.col("b.n").alias("keep_n"), "group_size"))
+    # a table of its own, so that the join below exchanges both sides and a hot group can be split
+    best = materialize(best, "exact-best")
     grouped = (full.join(best, ["len", "hash"])
                .select("id", "keep_id", "group_size", (F.col("n") == F.col("keep_n")).alias("kept"), "row"))
     return alone.unionByName(grouped).withColumnRenamed("id", id_col)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # so "&amp;lt;" stays "&lt;").
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-RAW_LIMIT = 2000
 NO_RESULTS_RE = r"(?i)no results found|no matches"
 DATE_FORMATS = ["MMMM d yyyy", "MMMM d, yyyy"]
 
@@ -58,9 +57,11 @@ def trailing_number(x) -> Column:
     return F.when(v != "", v)
 
 
-def truncate_raw(x, limit: int = RAW_LIMIT) -> Column:
-    """First ``limit`` characters plus ``...`` when longer."""
+def truncate_raw(x, limit: int | None = None) -> Column:
+    """The raw text; with a ``limit``, its first ``limit`` characters plus ``...`` when longer."""
     v = _c(x)
+    if limit is None:
+        return v
     return F.when(F.length(v) > limit, F.concat(F.substring(v, 1, limit), F.lit("..."))).otherwise(v)
 
 

@@ -58,35 +58,40 @@ def filtered_total(df: DataFrame) -> DataFrame:
 
 
 def prefix_partition(names: DataFrame, name: str = "name", group=(), cap: int = 200,
-                     max_depth: int = 6) -> DataFrame:
+                     max_depth: int | None = None) -> DataFrame:
     """Leaf prefixes of a name column such that each holds fewer than
     ``cap`` names (the adaptive prefix walk, re-aimed as one aggregation).
 
     The walk deepens a prefix while it holds ``cap`` names or more; a prefix
-    is a leaf when it holds fewer, when a name ends there (it cannot be
-    deepened) or at ``max_depth``. Because a prefix's count does not depend on
-    the walk, all levels are counted in one pass: every name is exploded into
-    its prefixes of depth 1 .. min(len + 1, max_depth) (at depth len + 1 the
-    "prefix" is the whole, shorter name), counted per ``(group, depth,
-    prefix)`` with map-side combining, and a prefix is kept when it is a leaf
-    and its parent (depth - 1) was saturated. The parent lookup is a join of
-    the count table with itself (fan-out bounded by the alphabet).
-    Returns ``group..., prefix, depth, n_names``; no driver loop, no data on
-    the driver.
+    is a leaf when it holds fewer or when a name ends there (it cannot be
+    deepened). There is no depth limit unless the caller sets ``max_depth``.
+    Because a prefix's count does not depend on the walk, all levels are
+    counted in one pass: every name is exploded into its prefixes of depth
+    1 .. len + 1 (at depth len + 1 the "prefix" is the whole, shorter name),
+    counted per ``(group, depth, prefix)`` with map-side combining, and a
+    prefix is kept when it is a leaf and its parent (depth - 1) was saturated.
+    The parent lookup is a join of the count table with itself (fan-out bounded
+    by the alphabet). Distinct names are counted first, so a name held by very
+    many rows is cut into prefixes once. Returns ``group..., prefix, depth,
+    n_names``; no driver loop, no data on the driver.
     """
     g = list(group)
     nm = F.lower(F.col(name))
-    base = names.select(*g, nm.alias("_nm")).where(F.col("_nm").isNotNull() & (F.col("_nm") != ""))
-    depths = F.sequence(F.lit(1), F.least(F.length("_nm") + 1, F.lit(max_depth)))
-    pref = base.select(*g, F.inline(F.transform(depths, lambda k: F.struct(
-        k.alias("depth"), F.substring(F.col("_nm"), 1, k).alias("prefix")))))
-    counts = pref.groupBy(*g, "depth", "prefix").agg(F.count(F.lit(1)).alias("n_names"))
-    parents = counts.select(*g, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_parent"),
-                            ((F.col("n_names") >= cap) & (F.length("prefix") == F.col("depth"))
-                             & (F.col("depth") < max_depth)).alias("_open"))
-    leaf = (F.col("n_names") < cap) | (F.length("prefix") < F.col("depth")) | (F.col("depth") == max_depth)
+    base = (names.select(*g, nm.alias("_nm")).where(F.col("_nm").isNotNull() & (F.col("_nm") != ""))
+            .groupBy(*g, "_nm").agg(F.count(F.lit(1)).alias("_rows")))
+    last = F.length("_nm") + 1
+    depths = F.sequence(F.lit(1), last if max_depth is None else F.least(last, F.lit(max_depth)))
+    pref = base.select(*g, "_nm", "_rows", F.explode(depths).alias("depth")) \
+        .select(*g, "_rows", "depth", F.substring(F.col("_nm"), F.lit(1), F.col("depth")).alias("prefix"))
+    counts = pref.groupBy(*g, "depth", "prefix").agg(F.sum("_rows").alias("n_names"))
+    deepest = F.lit(False) if max_depth is None else F.col("depth") == max_depth
+    parents = counts.select(*[F.col(c).alias("_g_" + c) for c in g], (F.col("depth") + 1).alias("_d"),
+                            F.col("prefix").alias("_p"),
+                            ((F.col("n_names") >= cap) & (F.length("prefix") == F.col("depth")) & ~deepest).alias("_open"))
+    leaf = (F.col("n_names") < cap) | (F.length("prefix") < F.col("depth")) | deepest
     child = counts.where(leaf).withColumn("_parent", F.expr("substring(prefix, 1, depth - 1)"))
-    j = child.join(parents, g + ["depth", "_parent"], "left")
+    on = [F.col(c).eqNullSafe(F.col("_g_" + c)) for c in g] + [F.col("depth") == F.col("_d"), F.col("_parent") == F.col("_p")]
+    j = child.join(parents, on, "left")
     keep = (F.col("depth") == 1) | F.coalesce(F.col("_open"), F.lit(False))
     return j.where(keep).select(*g, "prefix", "depth", "n_names")
 

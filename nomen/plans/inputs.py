@@ -58,18 +58,35 @@ def part_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
                     owner_form(F.col("p_name"), F.col("p_partkey")).alias("raw_owner"))
 
 
-def first_words(text, start: int, n: int) -> F.Column:
-    """Words ``start .. start+n-1`` (1-based) of a text, split on white space."""
-    # split with a limit: only the first start+n pieces are cut, the rest of a
-    # long text stays in one (dropped) piece
-    ws = F.split(F.trim(text), r"\s+", start + n)
-    return F.array_join(F.slice(ws, start, n), " ")
+# White space between words, spelled out so that Java and RE2 agree.
+WORD_RE = r"[^\x20\x09-\x0D]+"
+PIECE_RE = WORD_RE + r"(?:[\x20\x09-\x0D]+" + WORD_RE + "){0,2}"
+
+
+def text_pieces(text) -> F.Column:
+    """The whole text cut into consecutive pieces of three words (the last
+    may be shorter), words joined by one space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECE_RE), 0),
+                       lambda p: F.regexp_replace(p, r"[\x20\x09-\x0D]+", " "))
 
 
 def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, search_name)``: the first three words of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", first_words(F.col("text"), 1, 3).alias("search_name"))
+    """``(doc_id, piece_no, search_name)``: every three-word piece of every
+    whole document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text_pieces(F.col("text")).alias("ps"))
+    return d.select("doc_id", F.posexplode("ps").alias("piece_no", "search_name"))
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, piece_no, search_name, company_name)``: every piece with the
+    registry spelling of the three words that start one word later, so the
+    two overlap partly, as an owner and its registry entry do."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text_pieces(F.col("text")).alias("ps"))
+    two = d.select("doc_id", F.posexplode(F.transform("ps", lambda p, i: F.struct(
+        p.alias("search_name"), F.concat_ws(" ", p, F.get("ps", i + 1)).alias("w")))).alias("piece_no", "x"))
+    later = F.array_join(F.slice(F.split(F.col("x.w"), " "), 2, 3), " ")
+    return two.select("doc_id", "piece_no", F.col("x.search_name").alias("search_name"),
+                      company_form(later, F.col("doc_id") + F.col("piece_no")).alias("company_name"))
 
 
 def company_form(base, key) -> F.Column:
@@ -93,11 +110,10 @@ def company_form(base, key) -> F.Column:
 
 
 def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(company_id, company_name)``: words 2..4 of every document in a
-    registry spelling — overlaps the search names partly, as a registry does."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select(F.col("doc_id").alias("company_id"),
-                    company_form(first_words(F.col("text"), 2, 3), F.col("doc_id")).alias("company_name"))
+    """``(company_name)``: the name of every registry record in one of the
+    registry spellings, chosen by its part."""
+    r = registry_records(spark, sf_dir)
+    return r.select(company_form(F.col("company_name"), F.coalesce("part_key", F.lit(0))).alias("company_name"))
 
 
 # Registry vocabulary used to render synthetic result pages.
@@ -108,28 +124,36 @@ REGISTRY_TYPES = ["Corporation", "Business Name"]
 
 
 def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One registry record per part: company name from the part's name and type
-    plus its key, number, registry type, status and registration date of the
-    order with the same key, business type by customer, address from the
-    customer's nation and region. All equi joins; nation/region are the fixed
-    25/5-row dimension tables and are broadcast."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    """One registry record per ``lineitem`` row, plus one per order without
+    lines: company name from the part (name, type and key), status and
+    registration date from the order, business type by customer, address
+    from the customer's nation and region. No line and no order is dropped;
+    a line repeated in the table gives a record as often.
+
+    ``record_id`` is ``order key * 8 + line number``. All equi joins;
+    nation/region are the fixed 25/5-row dimension tables and are broadcast."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
     bt = F.array(*[F.lit(x) for x in BUSINESS_TYPES])
     st = F.create_map(*[x for kv in STATUSES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    out = (p.join(o, p.p_partkey == o.o_orderkey)
-           .join(c, o.o_custkey == c.c_custkey, "left")
+    out = (li.join(o, li.l_orderkey == o.o_orderkey, "full")
+           .join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+           .join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    order = F.coalesce("l_orderkey", "o_orderkey")
+    rid = order * LINES_PER_ORDER + F.coalesce("l_linenumber", F.lit(0))
     return out.select(
-        F.col("p_partkey").alias("record_id"),
-        F.concat_ws(" ", F.upper(F.col("p_name")), F.upper(F.col("p_type")),
-                    F.col("p_partkey").cast("string")).alias("company_name"),
-        (F.lit(1000000) + F.col("p_partkey")).cast("string").alias("corporation_number"),
-        F.when(F.pmod(F.col("p_partkey"), F.lit(5)) == 0, F.lit(REGISTRY_TYPES[1]))
+        rid.alias("record_id"),
+        F.col("p_partkey").alias("part_key"),
+        F.concat_ws(" ", F.coalesce(F.upper("p_name"), F.lit("ORDER")), F.upper("p_type"),
+                    F.coalesce("p_partkey", order).cast("string")).alias("company_name"),
+        (F.lit(1000000) + rid).cast("string").alias("corporation_number"),
+        F.when(F.pmod(rid, F.lit(5)) == 0, F.lit(REGISTRY_TYPES[1]))
          .otherwise(F.lit(REGISTRY_TYPES[0])).alias("registry_type"),
         st[F.col("o_orderstatus")].alias("status"),
         bt[F.pmod(F.col("o_custkey"), F.lit(len(BUSINESS_TYPES))).cast("int")].alias("business_type"),
@@ -138,7 +162,8 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAGE_SIZE = 50  # records per synthetic result page (bounded groups)
+LINES_PER_ORDER = 8  # line numbers are 1-7; 0 stands for an order without lines
+PAGE_SIZE = 400  # record ids per synthetic result page: 50 orders, split by search
 
 
 def search_label(name, business_type) -> F.Column:
@@ -148,8 +173,8 @@ def search_label(name, business_type) -> F.Column:
 
 def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result pages rendered from ``registry_records``: one page per
-    ``(search, record_id div 50)``, so every page holds at most 50 blocks
-    (a bounded ``collect_list``), blocks in record order."""
+    ``(search, record_id div PAGE_SIZE)``, blocks in record order: a page holds
+    the lines of 50 orders that belong to one search."""
     from nomen.operators.pages import render_page, render_result_block
     r = registry_records(spark, sf_dir)
     blk = render_result_block(F.col("company_name"), F.col("corporation_number"), F.col("registry_type"),

@@ -52,10 +52,6 @@ def py_strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def first_words(text: str, start: int, n: int) -> str:
-    return rf"array_to_string(list_slice(string_split_regex(trim({text}), '\s+'), {start}, {start + n - 1}), ' ')"
-
-
 def normalize_name(x: str) -> str:
     n = f"{py_strip(f'lower({x})')}"
     n = rf"regexp_replace({n}, '\s*[\(\[].*?[\]\)]', ' ', 'g')"
@@ -208,13 +204,29 @@ def part_owners() -> str:
     return f"SELECT p_partkey AS owner_id, {_forms(OWNER_FORMS_SQL, 'p_name', 'p_partkey')} AS raw_owner FROM part"
 
 
+W3 = r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,2}"
+
+
+def _pieces() -> str:
+    return (f"SELECT doc_id, list_transform(regexp_extract_all(text, '{W3}'), "
+            r"lambda p: regexp_replace(p, '[\x20\x09-\x0D]+', ' ', 'g')) AS ps FROM documents")
+
+
 def search_names() -> str:
-    return f"SELECT doc_id, {first_words('text', 1, 3)} AS search_name FROM documents"
+    return f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS piece_no, ps[i] AS search_name FROM ({_pieces()}), unnest(range(1, len(ps) + 1)) AS u(i)"
+
+
+def name_pairs() -> str:
+    later = "array_to_string(list_slice(string_split(concat_ws(' ', ps[i], ps[i + 1]), ' '), 2, 4), ' ')"
+    base = (f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS piece_no, ps[i] AS search_name, {later} AS later "
+            f"FROM ({_pieces()}), unnest(range(1, len(ps) + 1)) AS u(i)")
+    return (f"SELECT doc_id, piece_no, search_name, {_forms(COMPANY_FORMS_SQL, 'later', 'doc_id + piece_no')} AS company_name "
+            f"FROM ({base})")
 
 
 def registry_names() -> str:
-    return (f"SELECT doc_id AS company_id, {_forms(COMPANY_FORMS_SQL, first_words('text', 2, 3), 'doc_id')}"
-            f" AS company_name FROM documents")
+    return (f"SELECT {_forms(COMPANY_FORMS_SQL, 'company_name', 'coalesce(part_key, 0)')} AS company_name "
+            f"FROM (SELECT DISTINCT part_key, company_name FROM ({registry_records()}))")
 
 
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'Active' WHEN 'O' THEN 'Inactive' WHEN 'P' THEN 'Refer to Ministry' END"
@@ -223,16 +235,19 @@ STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'Active' WHEN 'O' THEN 'Inactive'
 def registry_records() -> str:
     from nomen.plans.inputs import BUSINESS_TYPES, REGISTRY_TYPES
     bt = in_list(BUSINESS_TYPES)
-    return f"""SELECT p.p_partkey AS record_id,
-      concat_ws(' ', {upper('p.p_name')}, {upper('p.p_type')}, CAST(p.p_partkey AS VARCHAR)) AS company_name,
-      CAST(1000000 + p.p_partkey AS VARCHAR) AS corporation_number,
-      CASE WHEN p.p_partkey % 5 = 0 THEN {q(REGISTRY_TYPES[1])} ELSE {q(REGISTRY_TYPES[0])} END AS registry_type,
+    rid = "(coalesce(l.l_orderkey, o.o_orderkey) * 8 + coalesce(l.l_linenumber, 0))"
+    return f"""SELECT {rid} AS record_id, p.p_partkey AS part_key,
+      concat_ws(' ', coalesce({upper('p.p_name')}, 'ORDER'), {upper('p.p_type')},
+                CAST(coalesce(p.p_partkey, l.l_orderkey, o.o_orderkey) AS VARCHAR)) AS company_name,
+      CAST(1000000 + {rid} AS VARCHAR) AS corporation_number,
+      CASE WHEN {rid} % 5 = 0 THEN {q(REGISTRY_TYPES[1])} ELSE {q(REGISTRY_TYPES[0])} END AS registry_type,
       {STATUS_SQL} AS status,
       ({bt})[(o.o_custkey % {len(BUSINESS_TYPES)}) + 1] AS business_type,
       concat_ws(', ', g.n_name, g.r_name, 'Canada') AS address,
       strftime(o.o_orderdate, '%B %d, %Y') AS registration_date,
       CAST(o.o_orderdate AS DATE) AS registration_day
-    FROM part p JOIN orders o ON p.p_partkey = o.o_orderkey
+    FROM lineitem l FULL JOIN orders o ON l.l_orderkey = o.o_orderkey
+    LEFT JOIN part p ON l.l_partkey = p.p_partkey
     LEFT JOIN customer c ON o.o_custkey = c.c_custkey
     LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) g
       ON c.c_nationkey = g.n_nationkey"""
@@ -258,4 +273,4 @@ def debug_variations(ns: str) -> str:
 
 
 def page_key(name: str, btype: str, rid: str) -> str:
-    return f"lower(left({name}, 1)) || ' (' || {btype} || ')' || '#' || CAST({rid} // 50 AS VARCHAR)"
+    return f"lower(left({name}, 1)) || ' (' || {btype} || ')' || '#' || CAST({rid} // 400 AS VARCHAR)"

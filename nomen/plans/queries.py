@@ -62,7 +62,7 @@ def q_reason_counts(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# name functions on the search names (first three words of every document)
+# name functions on the search names (every three-word piece of every document)
 
 _NAMES_SQL = f"SELECT DISTINCT search_name AS name FROM ({Q.search_names()})"
 
@@ -84,13 +84,13 @@ def q_normalize_name(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# match joins: search names (documents, words 1-3) against a registry
-# (documents, words 2-4 in registry spellings)
+# match joins: owner names (one per part) against the names of all registry
+# records (one per order line)
 
 from nomen.operators import match as M  # noqa: E402
 
 _S_PROFILE = Q.profile_select(
-    f"SELECT DISTINCT search_name AS owner FROM ({Q.search_names()}) WHERE search_name IS NOT NULL", "owner")
+    f"SELECT DISTINCT raw_owner AS owner FROM ({Q.part_owners()}) WHERE raw_owner IS NOT NULL", "owner")
 _C_PROFILE = Q.profile_select(
     f"SELECT DISTINCT company_name AS company FROM ({Q.registry_names()}) WHERE company_name IS NOT NULL", "company")
 _BEST_SQL = f"""
@@ -109,22 +109,22 @@ def q_match_join_best(spark, sf):
     """Flagship: blocked owner x registry match, one best company per owner
     (match_join_direct + match_join_terms + match_join_substring + best_match).
     The oracle is the brute-force cross join of all pairs."""
-    return M.best_match(I.search_names(spark, sf), I.registry_names(spark, sf),
-                        owner_col="search_name", company_col="company_name")
+    return M.best_match(I.part_owners(spark, sf), I.registry_names(spark, sf),
+                        owner_col="raw_owner", company_col="company_name")
 
 
 # ---------------------------------------------------------------------------
-# 1:1 scores (zip_results: each search name with its own registry name)
+# 1:1 scores (zip_results: each search name with its own registry name), over
+# every three-word piece of every document
 
 from nomen.functions import text as T  # noqa: E402
 from nomen.operators import pages as P  # noqa: E402
 from nomen.operators import reports as R  # noqa: E402
 from nomen.operators import windows as W  # noqa: E402
 
-_PAIRS_SQL = (f"SELECT s.doc_id, s.search_name, c.company_name FROM ({Q.search_names()}) s "
-              f"JOIN ({Q.registry_names()}) c ON s.doc_id = c.company_id")
+_PAIRS_SQL = Q.name_pairs()
 _SC_S = Q.profile_select(_PAIRS_SQL, "search_name")
-_SC_SC = ("SELECT doc_id, search_name, company_name, vars AS s_vars, terms AS s_terms, coop AS s_coop "
+_SC_SC = ("SELECT doc_id, piece_no, search_name, company_name, vars AS s_vars, terms AS s_terms, coop AS s_coop "
           f"FROM ({_SC_S})")
 _SC_ALL = Q.profile_select(_SC_SC, "company_name")
 _SW = "list_distinct(list_filter(string_split(sn, ' '), lambda w: w <> ''))"
@@ -132,7 +132,7 @@ _CW = "list_distinct(list_filter(string_split(cn, ' '), lambda w: w <> ''))"
 _OVER = f"len(list_intersect({_SW}, {_CW})) / len({_SW})"
 _NS, _NC = Q.normalize_name_simple("search_name"), Q.normalize_name_simple("company_name")
 _SCORES_SQL = f"""
-SELECT doc_id, search_name, company_name, CAST(conf AS DOUBLE) AS confidence, {Q.tier_name('conf')} AS tier,
+SELECT doc_id, piece_no, search_name, company_name, CAST(conf AS DOUBLE) AS confidence, {Q.tier_name('conf')} AS tier,
        CASE WHEN sn <> '' AND cn <> '' AND (contains(cn, sn) OR contains(sn, cn)) THEN 1.0
             WHEN len({_SW}) > 0 AND {_OVER} >= 0.7 THEN {_OVER} ELSE 0.0 END AS overlap_confidence,
        coalesce(ns <> '' AND nc <> '' AND (
@@ -149,17 +149,15 @@ FROM (SELECT *, {Q.tier_sql('s_vars', 's_terms', 's_coop', 'vars', 'terms', 'coo
 
 @register("match_scores_1to1", _SCORES_SQL)
 def q_match_scores(spark, sf):
-    """zip_results + match_score + match_score_overlap + match_loose: each
-    document's search name against its own registry spelling."""
-    pairs = I.search_names(spark, sf).join(I.registry_names(spark, sf),
-                                           F.col("doc_id") == F.col("company_id")).drop("company_id")
-    scored = M.score_pairs(pairs, "search_name", "company_name")
+    """zip_results + match_score + match_score_overlap + match_loose: every
+    three-word piece of a document against its own registry spelling."""
+    scored = M.score_pairs(I.name_pairs(spark, sf), "search_name", "company_name")
     staged = scored.select("*", N.normalize_words("search_name").alias("_sn"),
                            N.normalize_words("company_name").alias("_cn"),
                            N.normalize_name_simple("search_name").alias("_ns"),
                            N.normalize_name_simple("company_name").alias("_nc"))
     ov = S.match_score_overlap(F.col("search_name"), F.col("company_name"), "_sn", "_cn")
-    return staged.select("doc_id", "search_name", "company_name", "confidence", "tier",
+    return staged.select("doc_id", "piece_no", "search_name", "company_name", "confidence", "tier",
                          ov["confidence"].alias("overlap_confidence"),
                          S.match_loose(F.col("search_name"), F.col("company_name"), "_ns", "_nc").alias("loose_match"))
 
@@ -222,7 +220,7 @@ SELECT page_id, CAST(length(html) AS INTEGER) AS page_size,
   CAST(len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS INTEGER) AS n_items,
   CAST(len(regexp_extract_all(html, '(?i)<a\\s')) AS INTEGER) AS n_links,
   coalesce(regexp_matches(html, '(?i)no results found|no matches'), false) AS no_results,
-  CAST(length(CASE WHEN length(html) > 2000 THEN left(html, 2000) || '...' ELSE html END) AS INTEGER) AS raw_len,
+  CAST(length(html) AS INTEGER) AS raw_len,
   CASE WHEN len({_CANDS}) = 0 THEN NULL ELSE list_reduce({_CANDS}, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END) END AS best_candidate
 FROM pages
 """
@@ -231,7 +229,7 @@ FROM pages
 @register("page_features", _PAGES_SQL)
 def q_page_features(spark, sf):
     """page_size, title/h1 text, item and link counts, no_results_flag,
-    truncate_raw, extract_company_candidates on the pages table."""
+    the uncut page, extract_company_candidates on the pages table."""
     return P.page_features(I.table(spark, sf, "pages"))
 
 
@@ -245,18 +243,23 @@ from nomen.plans import pipelines as PL  # noqa: E402
 def _report_parsed(spark, sf):
     owners = _owners(spark, sf)
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
-    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
     entries = PL.owner_pipeline(owners, res)
     return PL.parsed_report(entries)
 
 
 _OWN_ALL = f"SELECT owner_id, {Q.py_strip('raw_owner')} AS owner FROM ({Q.part_owners()})"
+# the first registry record of every owner name
+_FIRST_OF_OWNER = f"""
+SELECT * EXCLUDE (rn, owner_id) FROM (
+  SELECT w.owner, w.owner_id, r.*, row_number() OVER (PARTITION BY w.owner ORDER BY r.record_id, w.owner_id) AS rn
+  FROM ({_OWN_ALL}) w JOIN ({_REG}) r ON r.part_key = w.owner_id) WHERE rn = 1
+"""
 _ENTRY_SRC = f"""
-SELECT n.lookup_number, n.owner, r.* FROM
+SELECT n.lookup_number, r.* FROM
   (SELECT owner, row_number() OVER (ORDER BY owner) AS lookup_number
      FROM (SELECT DISTINCT owner FROM ({_OWN_ALL}) WHERE owner <> '')) n
-  JOIN (SELECT owner, min(owner_id) AS rid FROM ({_OWN_ALL}) GROUP BY owner) f ON n.owner = f.owner
-  JOIN ({_REG}) r ON r.record_id = f.rid
+  JOIN ({_FIRST_OF_OWNER}) r ON r.owner = n.owner
 WHERE length(n.owner) >= 3
 """
 _E1 = Q.profile_select(_ENTRY_SRC, "owner")
@@ -314,7 +317,7 @@ def q_filter_unmatched(spark, sf):
           f"SELECT DISTINCT business_type FROM ({_PARSED_SRC}) WHERE business_type IS NOT NULL")
 def q_available_types(spark, sf):
     """available_types over all entries (limit=None)."""
-    return R.available_types(_report_parsed(spark, sf), limit=None)
+    return R.available_types(_report_parsed(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -382,31 +385,30 @@ def q_results_per_search(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# prefix partition of registry names per business type (cap 20, depth 4)
-
-PREFIX_CAP, PREFIX_DEPTH = 20, 4
-
-
-def _prefix_sql(cap=PREFIX_CAP, depth=PREFIX_DEPTH):
-    base = f"SELECT business_type, lower(company_name) AS nm FROM ({_REG}) WHERE company_name IS NOT NULL AND company_name <> ''"
-    arms = []
-    for k in range(1, depth + 1):
-        if k == 1:
-            src = f"SELECT business_type, nm FROM ({base})"
-        else:
-            src = (f"SELECT business_type, nm FROM (SELECT business_type, nm, count(*) OVER "
-                   f"(PARTITION BY business_type, left(nm, {k - 1})) AS pc FROM ({base})) "
-                   f"WHERE pc >= {cap} AND length(left(nm, {k - 1})) = {k - 1} AND {k - 1} < {depth}")
-        arms.append(f"SELECT business_type, left(nm, {k}) AS prefix, {k} AS depth, count(*) AS n_names FROM ({src}) "
-                    f"GROUP BY 1, 2 HAVING count(*) < {cap} OR length(left(nm, {k})) < {k} OR {k} = {depth}")
-    return " UNION ALL ".join(arms)
+# prefix partition of registry names per business type (cap 20, no depth limit)
+
+PREFIX_CAP = 20
+
+
+def _prefix_sql(cap=PREFIX_CAP):
+    return f"""
+WITH b AS (SELECT business_type, lower(company_name) AS nm, count(*) AS c FROM ({_REG})
+           WHERE company_name IS NOT NULL AND company_name <> '' GROUP BY 1, 2),
+p AS (SELECT business_type, left(nm, k) AS prefix, CAST(k AS INTEGER) AS depth, CAST(sum(c) AS BIGINT) AS n_names
+      FROM b, unnest(range(1, length(nm) + 2)) AS u(k) GROUP BY 1, 2, 3)
+SELECT p.business_type, p.prefix, p.depth, p.n_names
+FROM p LEFT JOIN p AS up ON up.business_type IS NOT DISTINCT FROM p.business_type AND up.depth = p.depth - 1
+  AND up.prefix = left(p.prefix, p.depth - 1)
+WHERE (p.n_names < {cap} OR length(p.prefix) < p.depth)
+  AND (p.depth = 1 OR (up.n_names >= {cap} AND length(up.prefix) = up.depth))
+"""
 
 
 @register("prefix_partition", _prefix_sql())
 def q_prefix_partition(spark, sf):
     """prefix_partition: leaf name prefixes with < cap names per business type."""
     r = I.registry_records(spark, sf)
-    return ST.prefix_partition(r, "company_name", ["business_type"], cap=PREFIX_CAP, max_depth=PREFIX_DEPTH) \
+    return ST.prefix_partition(r, "company_name", ["business_type"], cap=PREFIX_CAP) \
         .select("business_type", "prefix", "depth", "n_names")
 
 
@@ -450,7 +452,7 @@ def q_match_counts(spark, sf):
           f"SELECT owner FROM ({_BEST_SQL}) WHERE is_match")
 def q_owners_matched(spark, sf):
     """owners_matched: left_semi join of owners with their matches."""
-    owners = I.search_names(spark, sf).select(F.col("search_name").alias("owner")).distinct()
+    owners = I.part_owners(spark, sf).select(F.col("raw_owner").alias("owner")).distinct()
     return M.owners_matched(owners, q_match_join_best(spark, sf))
 
 
@@ -463,21 +465,18 @@ from nomen.operators import udf as U  # noqa: E402
 from nomen.session import checkpoint_dir  # noqa: E402
 from nomen.streaming import search_log as SL  # noqa: E402
 
-_FIRST_PER_PAGE = f"""
+_ALL_BLOCKS = f"""
 SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS business_name, true AS success,
        NULL::VARCHAR AS error_message, company_name || ' (' || corporation_number || ')' AS company_name,
        status, business_type, registration_date AS incorporation_date, address AS location
 FROM ({_REG}) r
-WHERE record_id = (SELECT min(record_id) FROM ({_REG}) r2
-                   WHERE {Q.page_key('r2.company_name', 'r2.business_type', 'r2.record_id')}
-                       = {Q.page_key('r.company_name', 'r.business_type', 'r.record_id')})
 """
 
 
-@register("parse_pages_python", _FIRST_PER_PAGE)
+@register("parse_pages_python", _ALL_BLOCKS)
 def q_parse_pages_python(spark, sf):
     """parse_pages_with(parse_business_details): the standard-library HTML
-    parser in mapInPandas, first result block of every page."""
+    parser in mapInPandas, every result block of every page."""
     return U.parse_pages_with(I.registry_pages(spark, sf))
 
 
@@ -499,10 +498,8 @@ def q_stream_listing(spark, sf):
 # cleaned results per page, registry filter, search status, JSON, dates
 
 _FIRST_REC = f"""
-SELECT r.* FROM ({_REG}) r
-WHERE record_id = (SELECT min(record_id) FROM ({_REG}) r2
-                   WHERE {Q.page_key('r2.company_name', 'r2.business_type', 'r2.record_id')}
-                       = {Q.page_key('r.company_name', 'r.business_type', 'r.record_id')})
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {Q.page_key('company_name', 'business_type', 'record_id')}
+                                            ORDER BY record_id, company_name) AS rn FROM ({_REG})) WHERE rn = 1
 """
 
 
@@ -567,7 +564,7 @@ def q_parse_json_props(spark, sf):
 
 
 @register("registry_dates",
-          f"SELECT record_id, replace(registration_date, ',', '') AS std_date, registration_day AS day_from_std, "
+          f"SELECT record_id, part_key, replace(registration_date, ',', '') AS std_date, registration_day AS day_from_std, "
           f"registration_day AS day_from_text, "
           f"CAST(round(1.0 * count(*) OVER () * 7 / (5 * 2) / 60, 6) AS DOUBLE) AS planned_minutes FROM ({_REG})")
 def q_registry_dates(spark, sf):
@@ -575,7 +572,7 @@ def q_registry_dates(spark, sf):
     r = I.registry_records(spark, sf)
     std = T.standardize_date(F.col("registration_date"))
     n = r.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated by Spark
-    return r.select("record_id", std.alias("std_date"), T.to_date_any(std).alias("day_from_std"),
+    return r.select("record_id", "part_key", std.alias("std_date"), T.to_date_any(std).alias("day_from_std"),
                     T.to_date_any(F.col("registration_date")).alias("day_from_text"),
                     F.round(T.expected_minutes(n, 5, 2), 6).alias("planned_minutes"))
 
@@ -586,7 +583,7 @@ def q_lookup_status_counts(spark, sf):
     """lookup_status / owners_with_outcome: outcome per owner, counted."""
     owners = _owners(spark, sf)
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
-    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
     return PL.owner_pipeline(owners, res).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -605,8 +602,7 @@ SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, owner, compan
        WHEN len({_OV_SW}) > 0 AND {_OV_R} >= 0.7 THEN {_OV_R} ELSE 0.0 END AS confidence
 FROM (SELECT o.owner, row_number() OVER (ORDER BY o.owner) AS n, r.company_name
       FROM (SELECT DISTINCT owner FROM ({_OWN_ALL}) WHERE owner <> '') o
-      JOIN (SELECT owner, min(owner_id) AS rid FROM ({_OWN_ALL}) GROUP BY owner) f ON o.owner = f.owner
-      JOIN ({_REG}) r ON r.record_id = f.rid)
+      JOIN ({_FIRST_OF_OWNER}) r ON r.owner = o.owner)
 """
 
 
@@ -616,7 +612,7 @@ def q_owner_pipeline_overlap(spark, sf):
     with the overlap matcher against its first registry result."""
     owners = _owners(spark, sf)
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
-    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("record_id"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
     return PL.owner_pipeline_overlap(owners, res)
 
 
@@ -651,5 +647,5 @@ def q_match_join_tiers(spark, sf):
     """match_join_direct / match_join_terms / match_join_substring, each on
     its own: the smallest company per tier per owner (no pairs built). The
     oracle is the brute-force cross join."""
-    return M.best_per_tier(I.search_names(spark, sf), I.registry_names(spark, sf),
-                           owner_col="search_name", company_col="company_name")
+    return M.best_per_tier(I.part_owners(spark, sf), I.registry_names(spark, sf),
+                           owner_col="raw_owner", company_col="company_name")

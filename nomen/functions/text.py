@@ -3,13 +3,14 @@ in brackets, percent, dates, file-safe labels."""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The named HTML entities decoded by ``unescape`` ("&amp;" last,
-# so "&amp;lt;" stays "&lt;").
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# Named character references: those of HTML 4, and apos; a non-breaking space reads as a space.
+ENTITIES = {k: chr(c) for k, c in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+ENTITY_RE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 NO_RESULTS_RE = r"(?i)no results found|no matches"
 DATE_FORMATS = ["MMMM d yyyy", "MMMM d, yyyy"]
 
@@ -27,11 +28,30 @@ def strip_tags(x) -> Column:
     return F.regexp_replace(_c(x), r"<[^>]+>", "")
 
 
+def let(x, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _decoded(part: Column) -> Column:
+    """A piece of text that starts with ``&``: its character reference decoded, if it is one."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in ENTITIES.items())), F.lit("\x02"), F.lit("\x01"))
+
+    def char(name):
+        digits = F.substring(name, F.lit(2), F.length(name))
+        point = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)) \
+            .otherwise(digits).cast("int")
+        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(F.startswith(name, F.lit("#")),
+                      F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))).otherwise(names[name])
+    return let(F.regexp_extract(part, ENTITY_RE, 1), lambda name: F.when(name == "", part).otherwise(
+        F.coalesce(F.concat(char(name), F.substring(part, F.length(name) + 3, F.length(part))), part)))
+
+
 def unescape(x) -> Column:
-    v = _c(x)
-    for ent, ch in ENTITIES:
-        v = F.replace(v, F.lit(ent), F.lit(ch))
-    return v
+    """Character references decoded once: numeric ones and the HTML names."""
+    return let(_c(x), lambda v: F.when(F.contains(v, F.lit("&")), F.array_join(
+        F.transform(F.split(v, "(?=&)"), lambda p: F.when(F.startswith(p, F.lit("&")), _decoded(p)).otherwise(p)), "")).otherwise(v))
 
 
 def escape(x) -> Column:

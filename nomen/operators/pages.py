@@ -2,9 +2,10 @@
 
 Pages arrive as a table ``(page_id, url, html)`` (or files, see
 ``nomen.sources``). Blocks are cut with a look-ahead ``split`` on the opening
-tag of a result container and exploded with their position; fields are leaf
-values found by class markers (``FieldSpec``) with ``regexp_extract`` — all
-built-in expressions, one narrow stage, no shuffle. Badly formed pages can go
+tag of a result container, each up to its own closing tag, and exploded with
+their position; fields are values found by class markers (``FieldSpec``) inside
+their container element, never beyond it — all built-in expressions, one narrow
+stage, no shuffle. Badly formed pages can go
 through ``nomen.operators.udf.parse_pages_with`` (standard-library HTML
 parser in ``mapInPandas``) instead.
 """
@@ -29,7 +30,22 @@ DATE_CLASSES = ["appMinimalAttr", "RegistrationDate"]
 ADDRESS_CLASSES = ["addressSearchResultBox"]
 VALUE_CLASS = "appMinimalValue"
 ADDRESS_VALUE_CLASS = "appAttrValue"
-PREVIOUS_CLASSES = ["previousNameSearchResult"]
+LABEL_CLASS = "appMinimalLabel"
+ATTR_CLASS = "appMinimalAttr"
+BOX_CLASS = "appMinimalBox"
+PREVIOUS_CLASSES = ["previousNameSearchResult", "previous-names", "previousNamesBox"]
+# class markers of the full field map; either of the names suffices
+LINK_LIKE = "viewMenu"
+REGISTRY_LIKE = "registerItemSearch-results-page-line-item1|registryInfo"
+STATUS_LIKE = "Status|status"
+ADDRESS_LIKE = "ItemAddress|address"
+ROW_LIKE = "row|appMinimalAttr|field-row|appMinimalBox"
+LABEL_LIKE = "appMinimalLabel|label|field-label"
+ROW_VALUE_LIKE = "appMinimalValue|value|field-value|appAttrValue"
+VALUE_LIKE = "appMinimalValue|value"
+SUBTYPE_LIKE = "EntitySubTypeCode|business-type"
+REGISTERED_LIKE = "RegistrationDate|incorporation-date"
+COMMON_VALUES = ["active", "inactive", "dissolved"]
 PAGER_CLASS = "appPagerBanner"
 NOT_AVAILABLE = "N/A"
 DEFAULT_BUSINESS_TYPE = "Not-for-Profit Corporation"
@@ -52,29 +68,84 @@ def _has_classes(classes: list[str]) -> str:
     return 'class="' + "".join('(?=[^"]*' + _token(c) + ")" for c in classes) + '[^"]*"'
 
 
+def balanced(fragment) -> Column:
+    """The ``div`` that a fragment starts with, up to its own closing tag (the
+    whole fragment when it is never closed)."""
+    def cut(pieces):
+        def step(acc, p):
+            depth = acc["depth"] + F.when(F.startswith(p, F.lit("</")), -1).otherwise(1)
+            return F.when(acc["closed"], acc).otherwise(F.struct(
+                depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth <= 0).alias("closed")))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+        return T.let(F.aggregate(pieces, start, step), lambda a: F.when(
+            a["closed"], F.concat(F.array_join(F.slice(pieces, F.lit(1), F.greatest(a["n"] - 1, F.lit(0))), ""), F.lit("</div>")))
+            .otherwise(F.array_join(pieces, "")))
+    return T.let(F.split(fragment, r"(?i)(?=</?div[\s>])"), cut)
+
+
+def first_div(block, attr: str) -> Column:
+    """The first ``div`` whose opening tag matches ``attr``, as mark-up; empty when there is none."""
+    b = block if isinstance(block, Column) else F.col(block)
+    return T.let(F.regexp_extract(b, "(?s)(<div[^>]*" + attr + ".*)", 1), lambda x: F.when(x == "", x).otherwise(balanced(x)))
+
+
+def all_elements(block: Column, tags: str, attr: str) -> Column:
+    """Mark-up of every element of ``tags`` whose opening tag matches ``attr``,
+    in page order, nested ones included."""
+    def each(parts):
+        return F.transform(F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
+                                    lambda x: x["p"].rlike("^" + opening)),
+                           lambda x: element(F.array_join(F.slice(parts, x["i"] + 1, F.size(parts)), "")))
+    opening = f"<(?:{tags})\\b[^>]*{attr}"
+    return T.let(F.split(block, f"(?={opening})"), each)
+
+
+def element(fragment: Column) -> Column:
+    """The element that a fragment starts with."""
+    return F.when(F.startswith(fragment, F.lit("<div")), balanced(fragment)).otherwise(
+        F.regexp_extract(fragment, r"(?s)^(<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>.*?(?:</\2\s*>|$))", 1))
+
+
+def glued_text(x) -> Column:
+    """Text of an element: pieces trimmed and glued, entities decoded, spaces collapsed."""
+    return T.collapse_space(T.unescape(F.regexp_replace(x, r"\s*<[^>]+>\s*", "")))
+
+
+def spaced_text(x) -> Column:
+    """Text of an element with a space between its pieces."""
+    return T.collapse_space(T.unescape(F.regexp_replace(x, r"<[^>]+>", " ")))
+
+
+def class_like(names: str) -> str:
+    """Regex for a class attribute that holds one of ``names`` (a|b|c) anywhere."""
+    return f'class="[^"]*(?:{names})[^"]*"'
+
+
 @dataclass(frozen=True)
 class FieldSpec:
-    """A leaf field: the element holding all ``container`` classes, then the
-    first element inside with ``value`` class (or the container's own text
-    when ``value`` is None). ``exclude`` skips value elements with a class."""
+    """A field: the ``div`` holding all ``container`` classes, then the first
+    element inside it with ``value`` class (or the container's own text when
+    ``value`` is None). ``exclude`` skips value elements with a class."""
     name: str
     container: tuple
     value: str | None = None
     tag: str | None = None
     exclude: tuple = ()
 
-    def pattern(self) -> str:
-        head = "<[a-zA-Z]+[^>]*" + _has_classes(list(self.container)) + "[^>]*>"
+    def raw(self, block) -> Column:
+        """The value's text, empty when absent."""
+        box = first_div(block, _has_classes(list(self.container)))
         if self.value is None and self.tag is None:
-            return "(?s)" + head + "([^<]*)<"
-        tag = self.tag or "[a-zA-Z]+"
+            return glued_text(box)
+        tag = self.tag or "[a-zA-Z][a-zA-Z0-9]*"
         excl = "".join('(?![^>]*class="[^"]*' + _token(e) + ")" for e in self.exclude)
         cls = ("[^>]*" + _has_classes([self.value])) if self.value else ""
-        return "(?s)" + head + ".*?<" + tag + r"\b" + excl + cls + "[^>]*>([^<]*)<"
+        # behind the container's own opening tag
+        found = F.regexp_extract(box, r"(?s)^<[^>]*>.*?(<(" + tag + r")\b" + excl + cls + r"[^>]*>.*?(?:</\2\s*>|$))", 1)
+        return glued_text(found)
 
     def column(self, block) -> Column:
-        v = T.element_text(F.regexp_extract(block, self.pattern(), 1))
-        return F.when(v != "", v)
+        return T.let(self.raw(block), lambda v: F.when(v != "", v))
 
 
 # Field list of the listing extractor and of the detail extractor.
@@ -104,7 +175,8 @@ def split_result_blocks(pages: DataFrame, html: str = "html", keys=("page_id",))
     d = pages.select(*keys, parts.alias("pos", "block"),
                      F.col(html).rlike(START_RE).cast("int").alias("_first"))
     return (d.where(F.col("block").rlike(START_RE))
-            .select(*keys, (F.col("pos") + F.col("_first")).cast("int").alias("pos"), "block"))
+            .select(*keys, (F.col("pos") + F.col("_first")).cast("int").alias("pos"),
+                    balanced(F.col("block")).alias("block")))
 
 
 def count_results(html) -> Column:
@@ -120,22 +192,15 @@ def page_size(html) -> Column:
 def saturated_page(html, cap: str = "200") -> Column:
     """The pager banner holds the token ``cap`` (the registry shows at most 200)."""
     h = html if isinstance(html, Column) else F.col(html)
-    banner = T.element_text(F.regexp_extract(h, FieldSpec("pager", (PAGER_CLASS,)).pattern(), 1))
+    banner = spaced_text(first_div(h, _has_classes([PAGER_CLASS])))
     return F.array_contains(F.split(banner, " "), cap)
 
 
 def extract_fields(blocks: DataFrame, specs, block: str = "block", keep_block: bool = False) -> DataFrame:
-    """Leaf values of ``specs`` as columns (NULL when absent).
-
-    Two projections: the raw texts first, then empty -> NULL, so every
-    regular expression runs once per block (Catalyst keeps the stages apart
-    instead of inlining the expensive extraction twice)."""
+    """Leaf values of ``specs`` as columns (NULL when absent)."""
     b = F.col(block)
     keep = [c for c in blocks.columns if keep_block or c != block]
-    raw = blocks.select(*keep, *[T.element_text(F.regexp_extract(b, s.pattern(), 1)).alias("_r_" + s.name)
-                                 for s in specs])
-    return raw.select(*keep, *[F.when(F.col("_r_" + s.name) != "", F.col("_r_" + s.name)).alias(s.name)
-                               for s in specs])
+    return blocks.select(*keep, *[s.column(b).alias(s.name) for s in specs])
 
 
 def extract_listing(blocks: DataFrame, block: str = "block") -> DataFrame:
@@ -145,16 +210,27 @@ def extract_listing(blocks: DataFrame, block: str = "block") -> DataFrame:
     return d.select(*keep, *[F.coalesce(F.col(s.name), F.lit(NOT_AVAILABLE)).alias(s.name) for s in LISTING_FIELDS])
 
 
+def attr_dates(block) -> Column:
+    """Incorporation and amalgamation date of a block, each from the attribute
+    boxes whose text names it (the last such box wins)."""
+    texts = F.transform(all_elements(block, "div", _has_classes([ATTR_CLASS])), lambda x: T.extract_date(spaced_text(x)))
+
+    def last(xs, field):
+        dates = F.filter(F.transform(xs, lambda x: x[field]), lambda v: v.isNotNull())
+        return T.let(dates, lambda ds: F.get(ds, F.size(ds) - 1)).alias(field)
+    return T.let(texts, lambda xs: F.struct(last(xs, "incorporation_date"), last(xs, "amalgamation_date")))
+
+
 def extract_details(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Detail fields: name without the trailing ``(digits)``, corporation
     number (from the name, else the first ``(digits)`` within the block),
-    registry type, status, address, business type, incorporation date and
-    its DATE value."""
+    registry type, status, address, business type, incorporation and
+    amalgamation date (the label decides which) and their DATE values."""
     keep = [c for c in blocks.columns if c != block]
-    d = extract_fields(blocks, LISTING_FIELDS + [REGISTRY_FIELD], block, keep_block=True)
+    d = extract_fields(blocks, [s for s in LISTING_FIELDS if s.name != "inc_date"] + [REGISTRY_FIELD], block, keep_block=True)
     any_num = F.regexp_extract(F.col(block), r"\((\d+)\)", 1)
-    d = d.select(*keep, "business_name", "business_type", "inc_date", "location", "status", "registry_type",
-                 F.when(any_num != "", any_num).alias("_num_any"))
+    d = d.select(*keep, "business_name", "business_type", "location", "status", "registry_type",
+                 F.when(any_num != "", any_num).alias("_num_any"), attr_dates(F.col(block)).alias("_dates"))
     return d.select(
         *keep,
         T.strip_number(F.col("business_name")).alias("company_name"),
@@ -163,19 +239,33 @@ def extract_details(blocks: DataFrame, block: str = "block") -> DataFrame:
         "status",
         F.col("location").alias("address"),
         "business_type",
-        F.col("inc_date").alias("incorporation_date"),
-        T.to_date_any(F.col("inc_date")).alias("incorporation_day"),
+        F.col("_dates.incorporation_date").alias("incorporation_date"),
+        F.col("_dates.amalgamation_date").alias("amalgamation_date"),
+        T.to_date_any(F.col("_dates.incorporation_date")).alias("incorporation_day"),
+        T.to_date_any(F.col("_dates.amalgamation_date")).alias("amalgamation_day"),
     )
 
 
 def extract_previous_names(block) -> Column:
-    """Previous names: values inside the previous-names section, whitespace
-    collapsed, ordered distinct."""
+    """Previous names, ordered distinct: the texts of name and value elements
+    inside the previous-names section (the first marker of the list that
+    occurs), labels left out; if there are none, the section's texts of more
+    than three characters that do not say "previously"."""
     b = block if isinstance(block, Column) else F.col(block)
-    sect = F.regexp_extract(b, "(?s)<div[^>]*" + _has_classes(PREVIOUS_CLASSES) + r"[^>]*>(.*?)</div>\s*</div>", 1)
-    vals = F.regexp_extract_all(sect, F.lit(r'<[a-z]+[^>]*class="[^"]*' + _token(VALUE_CLASS) + r'[^"]*"[^>]*>([^<]*)<'), 1)
-    vals = F.transform(vals, lambda v: T.collapse_space(T.unescape(v)))
-    return F.array_distinct(F.filter(vals, lambda v: (v != "") & ~F.lower(v).isin("previously known as", "name")))
+    marked = [first_div(b, _has_classes([c])) for c in PREVIOUS_CLASSES]
+    boxes = F.filter(all_elements(b, "div", _has_classes([BOX_CLASS])), lambda x: x.rlike(
+        r'(?is)^<div[^>]*>[^<]*<span[^>]*class="[^"]*' + _token(LABEL_CLASS) + r'[^"]*"[^>]*>[^<]*previously known as'))
+    section = F.coalesce(*[T.let(m, lambda x: F.when(x != "", x)) for m in marked], F.get(boxes, F.lit(0)), F.lit(""))
+
+    def names(sect):
+        inner = F.regexp_replace(sect, "^<[^>]*>", "")
+        entries = F.filter(all_elements(inner, "div|span", class_like("Name|" + VALUE_CLASS)),
+                           lambda x: ~x.rlike(r'^<[^>]*class="[^"]*' + _token(LABEL_CLASS)))
+        found = F.filter(F.transform(entries, glued_text), lambda v: (v != "") & ~F.lower(v).isin("previously known as", "name"))
+        texts = F.filter(F.transform(F.split(inner, "<[^>]+>"), lambda t: T.collapse_space(T.unescape(t))),
+                         lambda t: (F.length(t) > 3) & ~F.contains(F.lower(t), F.lit("previously")))
+        return T.let(F.array_distinct(found), lambda f: F.when(F.size(f) > 0, f).otherwise(texts))
+    return T.let(section, names)
 
 
 def first_result_block(html) -> Column:
@@ -278,25 +368,48 @@ def page_features(pages: DataFrame) -> DataFrame:
 # rendering registry records as result mark-up (the inverse of the extractors)
 
 
-def render_result_block(name, number, registry_type, status, business_type, date, address) -> Column:
-    """One result container in the registry's mark-up; values HTML-escaped."""
+def render_result_block(name, number, registry_type, status, business_type, date, address, form=None) -> Column:
+    """One result container in the registry's mark-up; values HTML-escaped.
+
+    ``form`` (0-7) picks the shape the container takes: 1 no status value, 2 a
+    value inside nested tags, 3 a registry type with one of its two classes, 4
+    accents as references, 5 an amalgamation date, 6 a second, longer address, 7
+    no address but previous names."""
+    k = F.lit(0) if form is None else form
+
     def v(x):
         return F.coalesce(T.escape(x), F.lit(""))
+
+    def pick(i, special, plain):
+        return F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in special])).otherwise(
+            F.concat(*[F.lit(x) if isinstance(x, str) else x for x in plain]))
+
+    def box(x):
+        return [f'<div class="appMinimalBox {" ".join(ADDRESS_CLASSES)}"><div class="{ADDRESS_VALUE_CLASS}">', x, "</div></div>"]
+    status_open = f'<div class="appMinimalBox statusSearchResult"><div class="{" ".join(STATUS_CLASSES)}">'
+    type_open = (f'<div class="{" ".join(TYPE_CLASSES)}"><span class="{LABEL_CLASS}">Type</span>'
+                 f'<span class="{VALUE_CLASS}">')
+    date_open = f'<div class="{" ".join(DATE_CLASSES)}"><span class="{LABEL_CLASS}">'
     return F.concat(
         F.lit(f'<div class="{BLOCK_CLASS} {" ".join(ITEM_BOX)}">'),
         F.lit(f'<div class="{NAME_CLASS}"><a class="viewMenu" href="#view">'
-              '<span class="left"></span><span>'), v(name), F.lit(" ("), v(number),
+              '<span class="left"></span><span>'),
+        F.when(k == 4, F.replace(v(name), F.lit("É"), F.lit("&Eacute;"))).otherwise(v(name)), F.lit(" ("), v(number),
         F.lit(')</span><span class="right"></span></a></div>'),
-        F.lit(f'<div class="{" ".join(REGISTRY_CLASSES)}">'), v(registry_type), F.lit("</div>"),
-        F.lit(f'<div class="appMinimalBox statusSearchResult"><div class="{" ".join(STATUS_CLASSES)}">'
-              f'<span class="appMinimalLabel">Status</span><span class="{VALUE_CLASS}">'), v(status),
-        F.lit("</span></div></div>"),
-        F.lit(f'<div class="{" ".join(TYPE_CLASSES)}"><span class="appMinimalLabel">Type</span>'
-              f'<span class="{VALUE_CLASS}">'), v(business_type), F.lit("</span></div>"),
-        F.lit(f'<div class="{" ".join(DATE_CLASSES)}"><span class="appMinimalLabel">Incorporation Date</span>'
-              f'<span class="{VALUE_CLASS}">'), v(date), F.lit("</span></div>"),
-        F.lit(f'<div class="appMinimalBox {" ".join(ADDRESS_CLASSES)}"><div class="{ADDRESS_VALUE_CLASS}">'),
-        v(address), F.lit("</div></div>"),
+        pick(3, [f'<div class="{REGISTRY_CLASSES[1]}">'], [f'<div class="{" ".join(REGISTRY_CLASSES)}">']),
+        v(registry_type), F.lit("</div>"),
+        pick(1, [status_open], [status_open, f'<span class="{LABEL_CLASS}">Status</span><span class="{VALUE_CLASS}">', v(status), "</span>"]),
+        F.lit("</div></div>"),
+        pick(2, [type_open, "<b><i> ", v(business_type), "</i></b>"], [type_open, v(business_type)]), F.lit("</span></div>"),
+        pick(5, [date_open, "Amalgamation"], [date_open, "Incorporation"]),
+        F.lit(f' Date</span><span class="{VALUE_CLASS}">'), v(date), F.lit("</span></div>"),
+        F.when(k == 7, F.concat(
+            F.lit(f'<div class="{PREVIOUS_CLASSES[0]}"><span class="{LABEL_CLASS}">Previously known as</span>'
+                  f'<div class="inner"><span class="{VALUE_CLASS}">OLD '), v(name),
+            F.lit(f'</span></div><span class="{VALUE_CLASS}">&#69;X&nbsp; '), v(name), F.lit("</span></div>")))
+        .when(k == 6, F.concat(*[F.lit(x) if isinstance(x, str) else x
+                                 for x in box(v(address)) + box(F.concat(v(address), F.lit(", Second Floor")))]))
+        .otherwise(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in box(v(address))])),
         F.lit("</div>\n"),
     )
 
@@ -309,7 +422,8 @@ def render_page(blocks, n_results) -> Column:
         F.lit(" of "), n_results.cast("string"), F.lit(" results</div>\n"),
         F.array_join(blocks, ""),
         F.when(n_results == 0, F.lit("<p>No results found</p>")).otherwise(F.lit("")),
-        F.lit("</body></html>"))
+        F.lit(f'<div class="footer"><div class="appMinimalBox {ADDRESS_CLASSES[0]}"><div class="{ADDRESS_VALUE_CLASS}">'
+              "FOOTER OFFICE</div></div></div></body></html>"))
 
 
 # ---------------------------------------------------------------------------
@@ -370,16 +484,22 @@ def extract_concurrent_fields(html, search_name) -> Column:
             .when(num != "", found))
 
 
-LABEL_CLASS = "appMinimalLabel"
-ATTR_ROW_RE = (r'(?s)<div[^>]*class="[^"]*(?<=["\s])appMinimalAttr(?=["\s])[^"]*"[^>]*>\s*'
-               r'<span[^>]*class="[^"]*(?<=["\s])appMinimalLabel(?=["\s])[^"]*"[^>]*>([^<]*)</span>\s*'
-               r'<span[^>]*class="[^"]*(?<=["\s])appMinimalValue(?=["\s])[^"]*"[^>]*>([^<]*)</span>')
-
-
 def _first_wins(entries: Column) -> Column:
     """Keep the first entry of every key (array<struct<k,v>>)."""
-    return F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), F.greatest(i, F.lit(1))),
-                                                    lambda y: (y["k"] == x["k"]) & (i > 0)))
+    return F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda y: y["k"] == x["k"]))
+
+
+def _first_like(box: Column, names: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> Column:
+    """The first element inside ``box`` with a class like ``names``."""
+    return F.regexp_extract(box, r"(?s)^<[^>]*>.*?(<(" + tag + r")\b[^>]*" + class_like(names) + r"[^>]*>.*?(?:</\2\s*>|$))", 1)
+
+
+def _kv(k: Column, v: Column) -> Column:
+    return F.struct(k.alias("k"), v.alias("v"))
+
+
+def _label(x: Column) -> Column:
+    return F.upper(F.regexp_replace(glued_text(x), r"^:+|:+$", ""))
 
 
 def extract_company_fields(blocks: DataFrame, block: str = "block") -> DataFrame:
@@ -391,45 +511,58 @@ def extract_company_fields(blocks: DataFrame, block: str = "block") -> DataFrame
     NAMES (joined by "; "), then every label/value row (label upper-cased,
     ':' stripped; values of date labels lose their commas), BUSINESS TYPE
     from the sub-type attribute and INCORPORATION DATE from the registration
-    attribute when still absent; aliases are renamed; the number is removed
-    from the name. Staged projections: each regular expression runs once.
+    attribute when still absent, then values not yet seen under the last label
+    before them; aliases are renamed; the number is removed from the name.
+    Staged projections: each expression runs once.
     """
     from nomen.operators import reports as R
     keep = [c for c in blocks.columns if c != block]
-    b = F.col(block)
-    addr_re = (r'(?s)<div[^>]*class="[^"]*(?<=["\s])' + ADDRESS_CLASSES[0] + r'(?=["\s])[^"]*"[^>]*>(.*?)</div>\s*</div>')
-    d = blocks.select(
-        *keep,
-        LISTING_FIELDS[0].column(b).alias("_name"),
-        REGISTRY_FIELD.column(b).alias("_reg"),
-        LISTING_FIELDS[4].column(b).alias("_status"),
-        F.transform(F.regexp_extract_all(b, F.lit(addr_re), 1), lambda x: T.element_text(x)).alias("_addrs"),
+    b = F.col("_in")
+    link = F.regexp_extract(b, r"(?s)<a\b[^>]*" + class_like(LINK_LIKE) + "[^>]*>(.*?)</a>", 1)
+    boxes = F.filter(all_elements(b, "div", class_like(ADDRESS_LIKE)), lambda x: ~(
+        x.rlike(r'^<div[^>]*class="[^"]*' + _token(ADDRESS_CLASSES[0]))
+        & ~x.rlike(r'(?s)^<[^>]*>.*<div[^>]*class="[^"]*' + _token(ADDRESS_VALUE_CLASS))))
+    rows = F.transform(all_elements(b, "div", class_like(ROW_LIKE)), lambda x: F.struct(
+        _label(_first_like(x, LABEL_LIKE)).alias("k"), spaced_text(_first_like(x, ROW_VALUE_LIKE)).alias("v")))
+    subtype = glued_text(_first_like(first_div(b, class_like(SUBTYPE_LIKE)), VALUE_LIKE))
+    reg_date = glued_text(_first_like(first_div(b, class_like(REGISTERED_LIKE)), VALUE_LIKE, "span"))
+    d = blocks.select(*keep, F.regexp_replace(F.col(block), "^<[^>]*>", "").alias("_in"))
+    d = d.select(
+        *keep, glued_text(link).alias("_name"),
+        glued_text(first_div(b, class_like(REGISTRY_LIKE))).alias("_reg"),
+        glued_text(_first_like(first_div(b, class_like(STATUS_LIKE)), VALUE_LIKE)).alias("_status"),
+        F.transform(boxes, spaced_text).alias("_addrs"),
         extract_previous_names(b).alias("_prev"),
-        F.regexp_extract_all(b, F.lit(ATTR_ROW_RE), 1).alias("_labels"),
-        F.regexp_extract_all(b, F.lit(ATTR_ROW_RE), 2).alias("_values"),
-        LISTING_FIELDS[1].column(b).alias("_subtype"),
-        LISTING_FIELDS[2].column(b).alias("_regdate"),
-    )
-    pairs = F.transform(F.arrays_zip("_labels", "_values"), lambda z: F.struct(
-        F.upper(F.regexp_replace(T.element_text(z["_labels"]), r"^:+|:+$", "")).alias("k"),
-        F.when(F.lower(T.element_text(z["_labels"])).contains("date"),
-               F.replace(T.element_text(z["_values"]), F.lit(","), F.lit("")))
-         .otherwise(T.element_text(z["_values"])).alias("v")))
-    num = T.trailing_number(F.col("_name"))
-
-    def kv(k, v):
-        return F.struct(F.lit(k).alias("k"), v.alias("v"))
+        rows.alias("_rows"), subtype.alias("_subtype"), reg_date.alias("_regdate"),
+        # labels and values in page order
+        F.transform(all_elements(b, "div|span", class_like(ROW_VALUE_LIKE + "|" + LABEL_LIKE)), lambda x: F.struct(
+            x.rlike("^<[^>]*" + class_like("appMinimalLabel|label")).alias("is_label"),
+            F.when(x.rlike("^<[^>]*" + class_like("appMinimalLabel|label")), _label(x)).otherwise(spaced_text(x)).alias("t"))).alias("_seq"))
+
+    pairs = F.transform("_rows", lambda e: _kv(e["k"], F.when(
+        F.contains(F.lower(e["k"]), F.lit("date")), F.replace(e["v"], F.lit(","), F.lit(""))).otherwise(e["v"])))
     entries = F.concat(
-        F.array(kv("COMPANY NAME", F.col("_name")), kv("CORPORATION NUMBER", num),
-                kv("REGISTRY TYPE", F.col("_reg")), kv("STATUS", F.col("_status")),
-                kv("ADDRESS", longest_address(F.col("_addrs"))),
-                kv("PREVIOUS NAMES", F.when(F.size("_prev") > 0, F.array_join("_prev", "; ")))),
+        F.array(_kv(F.lit("COMPANY NAME"), F.col("_name")), _kv(F.lit("CORPORATION NUMBER"), T.trailing_number(F.col("_name"))),
+                _kv(F.lit("REGISTRY TYPE"), F.col("_reg")), _kv(F.lit("STATUS"), F.col("_status")),
+                _kv(F.lit("ADDRESS"), longest_address(F.col("_addrs"))),
+                _kv(F.lit("PREVIOUS NAMES"), F.when(F.size("_prev") > 0, F.array_join("_prev", "; ")))),
         pairs,
-        F.array(kv("BUSINESS TYPE", F.col("_subtype")),
-                kv("INCORPORATION DATE", F.when(~F.col("_regdate").startswith("Incorporation"), F.col("_regdate")))))
-    d = d.select(*keep, F.filter(entries, lambda e: e["k"].isNotNull() & (e["k"] != "")
-                                 & e["v"].isNotNull() & (e["v"] != "")).alias("_e"))
-    d = d.select(*keep, F.map_from_entries(_first_wins(F.col("_e"))).alias("_m"))
+        F.array(_kv(F.lit("BUSINESS TYPE"), F.col("_subtype")),
+                _kv(F.lit("INCORPORATION DATE"), F.when(~F.col("_regdate").startswith("Incorporation"), F.col("_regdate")))))
+    d = d.select(*keep, "_seq", F.filter(entries, lambda e: e["k"].isNotNull() & (e["k"] != "")
+                                         & e["v"].isNotNull() & (e["v"] != "")).alias("_e"))
+    d = d.select(*keep, "_seq", _first_wins(F.col("_e")).alias("_e"))
+
+    def under(x, i):
+        before = F.filter(F.slice(F.col("_seq"), F.lit(1), i), lambda y: y["is_label"])
+        return _kv(F.when(~x["is_label"] & (F.size(before) > 0), F.get(before, F.size(before) - 1)["t"]), x["t"])
+    rest = F.filter(F.transform("_seq", under), lambda r: r["k"].isNotNull() & (r["k"] != "") & (F.length(r["v"]) > 2)
+                    & ~F.lower(r["v"]).isin(*COMMON_VALUES)
+                    & ~F.exists("_e", lambda e: (e["k"] == r["k"]) | (e["v"] == r["v"])))
+    d = d.select(*keep, "_e", rest.alias("_rest"))
+    d = d.select(*keep, F.concat("_e", F.filter(_first_wins(F.col("_rest")), lambda e, i: ~F.exists(
+        F.slice("_rest", F.lit(1), i), lambda y: y["v"] == e["v"]))).alias("_e"))
+    d = d.select(*keep, F.map_from_entries("_e").alias("_m"))
     d = d.select(*keep, R.standardize_fields(F.col("_m")).alias("_m"))
     clean = T.strip_number(F.col("_m")["COMPANY NAME"])
     return d.select(*keep, F.when(F.col("_m")["COMPANY NAME"].isNull(), F.col("_m")).otherwise(

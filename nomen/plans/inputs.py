@@ -16,6 +16,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 N_OWNER_FORMS = 16
 N_COMPANY_FORMS = 8
+N_BLOCK_FORMS = 8  # shapes of a rendered result block, chosen by record
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,7 +151,8 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         rid.alias("record_id"),
         F.col("p_partkey").alias("part_key"),
-        F.concat_ws(" ", F.coalesce(F.upper("p_name"), F.lit("ORDER")), F.upper("p_type"),
+        F.concat_ws(" ", F.when(F.pmod(rid, F.lit(N_BLOCK_FORMS)) == 4, F.lit("CAFÉ")),
+                    F.coalesce(F.upper("p_name"), F.lit("ORDER")), F.upper("p_type"),
                     F.coalesce("p_partkey", order).cast("string")).alias("company_name"),
         (F.lit(1000000) + rid).cast("string").alias("corporation_number"),
         F.when(F.pmod(rid, F.lit(5)) == 0, F.lit(REGISTRY_TYPES[1]))
@@ -179,7 +181,7 @@ def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = registry_records(spark, sf_dir)
     blk = render_result_block(F.col("company_name"), F.col("corporation_number"), F.col("registry_type"),
                               F.col("status"), F.col("business_type"), F.col("registration_date"),
-                              F.col("address"))
+                              F.col("address"), F.pmod(F.col("record_id"), F.lit(N_BLOCK_FORMS)))
     b = r.select(search_label(F.col("company_name"), F.col("business_type")).alias("search"),
                  F.floor(F.col("record_id") / PAGE_SIZE).alias("page_no"),
                  F.struct("record_id", blk.alias("block")).alias("rb"))

@@ -237,7 +237,7 @@ def registry_records() -> str:
     bt = in_list(BUSINESS_TYPES)
     rid = "(coalesce(l.l_orderkey, o.o_orderkey) * 8 + coalesce(l.l_linenumber, 0))"
     return f"""SELECT {rid} AS record_id, p.p_partkey AS part_key,
-      concat_ws(' ', coalesce({upper('p.p_name')}, 'ORDER'), {upper('p.p_type')},
+      concat_ws(' ', CASE WHEN {rid} % 8 = 4 THEN 'CAFÉ' END, coalesce({upper('p.p_name')}, 'ORDER'), {upper('p.p_type')},
                 CAST(coalesce(p.p_partkey, l.l_orderkey, o.o_orderkey) AS VARCHAR)) AS company_name,
       CAST(1000000 + {rid} AS VARCHAR) AS corporation_number,
       CASE WHEN {rid} % 5 = 0 THEN {q(REGISTRY_TYPES[1])} ELSE {q(REGISTRY_TYPES[0])} END AS registry_type,
@@ -253,8 +253,25 @@ def registry_records() -> str:
       ON c.c_nationkey = g.n_nationkey"""
 
 
+# the references that occur in the driver's pages ("&amp;" last)
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
+            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def page_records() -> str:
+    """What a page says of each record: the block forms leave out or change some fields."""
+    return f"""SELECT record_id, part_key, company_name, corporation_number, business_type, registration_date, registration_day, registry_type,
+      record_id % 8 AS form,
+      CASE WHEN record_id % 8 <> 1 THEN status END AS status,
+      CASE WHEN record_id % 8 <> 7 THEN address END AS address,
+      CASE WHEN record_id % 8 = 6 THEN address || ', Second Floor' WHEN record_id % 8 <> 7 THEN address END AS long_address,
+      CASE WHEN record_id % 8 <> 3 THEN registry_type END AS full_registry_type,
+      CASE WHEN record_id % 8 <> 5 THEN registration_date END AS incorporation_date,
+      CASE WHEN record_id % 8 = 5 THEN registration_date END AS amalgamation_date
+    FROM ({registry_records()})"""
+
+
 def element_text(x: str) -> str:
-    from nomen.functions.text import ENTITIES
     v = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
     for ent, ch in ENTITIES:
         v = f"replace({v}, {q(ent)}, {q(ch)})"

@@ -166,12 +166,13 @@ def q_match_scores(spark, sf):
 # page extraction on result pages rendered from the registry (src oracle)
 
 _REG = Q.registry_records()
+_SEEN = Q.page_records()
 
 
 @register("extract_listing",
           f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, "
           f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
-          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_SEEN})")
 def q_extract_listing(spark, sf):
     """split_result_blocks + extract_listing over rendered result pages."""
     blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
@@ -179,15 +180,26 @@ def q_extract_listing(spark, sf):
 
 
 @register("extract_details",
-          f"SELECT company_name, corporation_number, registry_type, status, address, business_type, "
-          f"registration_date AS incorporation_date, registration_day AS incorporation_day FROM ({_REG})")
+          f"SELECT company_name, corporation_number, full_registry_type AS registry_type, status, address, business_type, "
+          f"incorporation_date, amalgamation_date, CASE WHEN incorporation_date IS NOT NULL THEN registration_day END AS incorporation_day, "
+          f"CASE WHEN amalgamation_date IS NOT NULL THEN registration_day END AS amalgamation_day FROM ({_SEEN})")
 def q_extract_details(spark, sf):
     """extract_details (name without number, number, registry, status,
-    address, type, date and DATE) over rendered result pages."""
+    address, type, both dates as text and DATE) over rendered result pages."""
     blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
     return P.extract_details(blocks).drop("page_key", "pos")
 
 
+@register("extract_previous_names",
+          f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, CASE WHEN form = 7 THEN "
+          f"'OLD ' || company_name || '; EX ' || company_name ELSE '' END AS previous_names FROM ({_SEEN})")
+def q_extract_previous_names(spark, sf):
+    """extract_previous_names of every result block (name list joined by "; ")."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    return blocks.select(P.LISTING_FIELDS[0].column(F.col("block")).alias("business_name"),
+                         F.array_join(P.extract_previous_names("block"), "; ").alias("previous_names"))
+
+
 @register("count_results",
           f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, CAST(count(*) AS INTEGER) AS n_results, "
           f"false AS saturated FROM ({_REG}) GROUP BY 1")
@@ -199,10 +211,9 @@ def q_count_results(spark, sf):
 
 
 def _cands_sql():
-    from nomen.functions.text import ENTITIES
     def stripped(x):
         v = rf"regexp_replace({x}, '\s*<[^>]+>\s*', '', 'g')"
-        for ent, ch in ENTITIES:
+        for ent, ch in Q.ENTITIES:
             v = f"replace({v}, {Q.q(ent)}, {Q.q(ch)})"
         return f"trim({v})"
     parts = ", ".join(f"regexp_extract_all(html, {Q.q(P.selector_regex(t, a, v))}, 1)"
@@ -326,7 +337,7 @@ def q_available_types(spark, sf):
 @register("search_report_records",
           f"SELECT DISTINCT company_name || ' (' || corporation_number || ')' AS business_name, "
           f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
-          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_SEEN})")
 def q_search_report_records(spark, sf):
     """render search-report sections per page -> split_search_blocks ->
     keep_data_blocks -> dedupe_blocks -> parse_pairs_strict -> records."""
@@ -469,7 +480,7 @@ _ALL_BLOCKS = f"""
 SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS business_name, true AS success,
        NULL::VARCHAR AS error_message, company_name || ' (' || corporation_number || ')' AS company_name,
        status, business_type, registration_date AS incorporation_date, address AS location
-FROM ({_REG}) r
+FROM ({_SEEN}) r
 """
 
 
@@ -483,7 +494,7 @@ def q_parse_pages_python(spark, sf):
 @register("stream_listing",
           f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, "
           f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "
-          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_REG})")
+          f"coalesce(address, 'N/A') AS location, coalesce(status, 'N/A') AS status FROM ({_SEEN})")
 def q_stream_listing(spark, sf):
     """stream_search_log: pages written as files are parsed by a streaming
     query (availableNow) and appended; the appended table is returned."""
@@ -499,14 +510,14 @@ def q_stream_listing(spark, sf):
 
 _FIRST_REC = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {Q.page_key('company_name', 'business_type', 'record_id')}
-                                            ORDER BY record_id, company_name) AS rn FROM ({_REG})) WHERE rn = 1
+                                            ORDER BY record_id, company_name) AS rn FROM ({_SEEN})) WHERE rn = 1
 """
 
 
 @register("cleaned_results",
           f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, "
           f"company_name || ' (' || corporation_number || ')' AS company, status, "
-          f"replace(registration_date, ',', '') AS incorporation_date, 6 AS n_keys, company_name AS first_name "
+          f"replace(registration_date, ',', '') AS incorporation_date, 6 - (status IS NULL)::INT - (address IS NULL)::INT - (full_registry_type IS NULL)::INT AS n_keys, company_name AS first_name "
           f"FROM ({_FIRST_REC})")
 def q_cleaned_results(spark, sf):
     """extract fields per block -> min_fields -> number_valid_results ->
@@ -538,7 +549,7 @@ _NFP_TYPES = ["Co-operative Non-Share", "Co-operative with Share", "Not-for-Prof
 
 @register("filter_registry",
           f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, business_type, status "
-          f"FROM ({_REG}) WHERE business_type IN ({', '.join(Q.q(t) for t in _NFP_TYPES)}) AND status = 'Active'")
+          f"FROM ({_SEEN}) WHERE business_type IN ({', '.join(Q.q(t) for t in _NFP_TYPES)}) AND status = 'Active'")
 def q_filter_registry(spark, sf):
     """filter_registry: business type in the three non-profit types, Active."""
     blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
@@ -617,9 +628,10 @@ def q_owner_pipeline_overlap(spark, sf):
 
 
 @register("extract_company_fields",
-          f"SELECT company_name AS company, corporation_number AS number, registry_type, status, address, "
-          f"business_type AS type, business_type, replace(registration_date, ',', '') AS incorporation_date, "
-          f"8 AS n_keys FROM ({_REG})")
+          f"SELECT company_name AS company, corporation_number AS number, registry_type, status, long_address AS address, "
+          f"business_type AS type, business_type, replace(registration_date, ',', '') AS std_date, "
+          f"CASE WHEN form = 7 THEN 'OLD ' || company_name || '; EX ' || company_name END AS previous_names, "
+          f"CASE form WHEN 1 THEN 7 WHEN 5 THEN 9 WHEN 7 THEN 9 ELSE 8 END AS n_keys FROM ({_SEEN})")
 def q_extract_company_fields(spark, sf):
     """extract_company_fields: the full first-wins field map of every block."""
     blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
@@ -628,7 +640,8 @@ def q_extract_company_fields(spark, sf):
         m["COMPANY NAME"].alias("company"), m["CORPORATION NUMBER"].alias("number"),
         m["REGISTRY TYPE"].alias("registry_type"), m["STATUS"].alias("status"), m["ADDRESS"].alias("address"),
         m["TYPE"].alias("type"), m["BUSINESS TYPE"].alias("business_type"),
-        m["INCORPORATION DATE"].alias("incorporation_date"), F.size(m).alias("n_keys"))
+        T.standardize_date(F.coalesce(m["AMALGAMATION DATE"], m["INCORPORATION DATE"])).alias("std_date"),
+        m["PREVIOUS NAMES"].alias("previous_names"), F.size(m).alias("n_keys"))
 
 
 _PARTIAL = ("len(list_filter(s.terms, lambda a: len(list_filter(c.terms, lambda b: contains(b, a) OR contains(a, b))) > 0)) > 0")

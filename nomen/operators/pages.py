@@ -414,12 +414,13 @@ def render_result_block(name, number, registry_type, status, business_type, date
     )
 
 
-def render_page(blocks, n_results) -> Column:
-    """A result page: header, pager banner, the blocks (array, in order)."""
+def render_page(blocks, n_results, total=None) -> Column:
+    """A result page: header, pager banner (``total`` results in all), the blocks (array, in order)."""
+    total = n_results if total is None else total
     return F.concat(
         F.lit("<!DOCTYPE html><html><head><title>Search</title></head><body>"),
         F.lit(f'<div class="{PAGER_CLASS}">Showing 1 - '), n_results.cast("string"),
-        F.lit(" of "), n_results.cast("string"), F.lit(" results</div>\n"),
+        F.lit(" of "), total.cast("string"), F.lit(" results</div>\n"),
         F.array_join(blocks, ""),
         F.when(n_results == 0, F.lit("<p>No results found</p>")).otherwise(F.lit("")),
         F.lit(f'<div class="footer"><div class="appMinimalBox {ADDRESS_CLASSES[0]}"><div class="{ADDRESS_VALUE_CLASS}">'
@@ -473,7 +474,7 @@ def extract_concurrent_fields(html, search_name) -> Column:
 
     def na(x):
         return F.when(x != "", x).otherwise(F.lit(NOT_AVAILABLE))
-    found = F.struct(name.alias("company_name"),
+    found = F.struct(T.unescape(name).alias("company_name"),
                      F.when(has_link, F.when(status != "", status).otherwise(F.lit("Active")))
                       .otherwise(F.lit("Found")).alias("status"),
                      F.when(has_link, na(btype)).otherwise(F.lit(NOT_AVAILABLE)).alias("business_type"),

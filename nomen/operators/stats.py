@@ -49,8 +49,10 @@ def match_counts(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count_if(F.col("is_match")).alias("n_matched"), F.count(F.lit(1)).alias("n_total"))
 
 
-def results_per_search(listing: DataFrame, search: str = "search") -> DataFrame:
-    return listing.groupBy(search).agg(F.count(F.lit(1)).alias("n_results"))
+def results_per_search(pages: DataFrame, search: str = "search", html: str = "html") -> DataFrame:
+    """Result containers per search over all its pages; a search without results counts 0."""
+    from nomen.operators.pages import count_results
+    return pages.groupBy(search).agg(F.sum(count_results(html)).cast("long").alias("n_results"))
 
 
 def filtered_total(df: DataFrame) -> DataFrame:

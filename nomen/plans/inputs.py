@@ -86,6 +86,9 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = d.select("doc_id", F.posexplode(F.transform("ps", lambda p, i: F.struct(
         p.alias("search_name"), F.concat_ws(" ", p, F.get("ps", i + 1)).alias("w")))).alias("piece_no", "x"))
     later = F.array_join(F.slice(F.split(F.col("x.w"), " "), 2, 3), " ")
+    # pieces are spread before they are scored: scoring a pair costs far more than
+    # moving it, and one long document is one task's rows otherwise
+    two = two.repartition("doc_id", "piece_no")
     return two.select("doc_id", "piece_no", F.col("x.search_name").alias("search_name"),
                       company_form(later, F.col("doc_id") + F.col("piece_no")).alias("company_name"))
 
@@ -165,6 +168,7 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_PER_ORDER = 8  # line numbers are 1-7; 0 stands for an order without lines
+FULL_PAGE = 8
 PAGE_SIZE = 400  # record ids per synthetic result page: 50 orders, split by search
 
 
@@ -176,7 +180,9 @@ def search_label(name, business_type) -> F.Column:
 def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result pages rendered from ``registry_records``: one page per
     ``(search, record_id div PAGE_SIZE)``, blocks in record order: a page holds
-    the lines of 50 orders that belong to one search."""
+    the lines of 50 orders that belong to one search. Its banner says 200 (the
+    most a search shows) from ``FULL_PAGE`` blocks on. Every supplier is one
+    more search, with a page that says there are no results."""
     from nomen.operators.pages import render_page, render_result_block
     r = registry_records(spark, sf_dir)
     blk = render_result_block(F.col("company_name"), F.col("corporation_number"), F.col("registry_type"),
@@ -186,7 +192,13 @@ def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.floor(F.col("record_id") / PAGE_SIZE).alias("page_no"),
                  F.struct("record_id", blk.alias("block")).alias("rb"))
     g = b.groupBy("search", "page_no").agg(F.array_sort(F.collect_list("rb")).alias("rbs"))
-    return g.select(
+    full = F.size("rbs") >= FULL_PAGE
+    found = g.select(
         F.concat("search", F.lit("#"), F.col("page_no").cast("string")).alias("page_key"),
         "search",
-        render_page(F.transform("rbs", lambda x: x["block"]), F.size("rbs")).alias("html"))
+        render_page(F.transform("rbs", lambda x: x["block"]), F.size("rbs"),
+                    F.when(full, F.lit(200)).otherwise(F.size("rbs"))).alias("html"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("search"))
+    none = s.select(F.concat("search", F.lit("#0")).alias("page_key"), "search",
+                    render_page(F.array().cast("array<string>"), F.lit(0)).alias("html"))
+    return found.unionByName(none)

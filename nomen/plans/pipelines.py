@@ -28,7 +28,7 @@ from nomen.operators import windows as W
 ENTRIES_PER_FILE = 100
 
 
-def detail_columns(prefix: str = "") -> dict:
+def detail_columns(prefix: str = "", amalgamation: bool = False) -> dict:
     p = prefix
     return {
         "COMPANY NAME": F.col(p + "company_name"),
@@ -38,6 +38,7 @@ def detail_columns(prefix: str = "") -> dict:
         "ADDRESS": F.col(p + "address"),
         "BUSINESS TYPE": F.col(p + "business_type"),
         "INCORPORATION DATE": T.standardize_date(F.col(p + "registration_date")),
+        **({"AMALGAMATION DATE": T.standardize_date(F.col(p + "amalgamation_date"))} if amalgamation else {}),
     }
 
 
@@ -57,7 +58,7 @@ def owner_pipeline(owners: DataFrame, results: DataFrame, owner_col: str = "owne
     j = (numbered.where(F.length("owner") >= min_len)
          .join(first.withColumn("_found", F.lit(True)), "owner", "left"))
     scored = M.score_pairs(j, "owner", "company_name")
-    dc = detail_columns()
+    dc = detail_columns(amalgamation="amalgamation_date" in results.columns)
     found = F.coalesce(F.col("_found"), F.lit(False))
     entry = R.render_lookup_entry(F.col("lookup_number"), F.col("owner"), dc, found,
                                   F.col("is_match"), F.col("confidence"), R.record_pairs(dc))
@@ -92,16 +93,22 @@ def unmatched_report(parsed: DataFrame) -> DataFrame:
 
 
 def search_sections(pages: DataFrame, seconds=None) -> DataFrame:
-    """One search-report section per page: ``page_key, value``."""
+    """One search-report section per page: ``file_no, value``. A page without
+    result blocks gives a section with status ``No Data`` and no results, a
+    search without a page (``html`` NULL) one with status ``Error``."""
     blocks = P.split_result_blocks(pages, keys=("page_key", "search"))
     lst = P.extract_listing(blocks)
-    g = (lst.select("page_key", "search", F.struct("pos", *[c for c, _ in R.LISTING_LABELS]).alias("r"))
-         .groupBy("page_key", "search").agg(F.array_sort(F.collect_list("r")).alias("rs")))
+    g = (lst.select("page_key", F.struct("pos", *[c for c, _ in R.LISTING_LABELS]).alias("r"))
+         .groupBy("page_key").agg(F.array_sort(F.collect_list("r")).alias("rs")))
+    status = F.when(F.col("html").isNull(), "Error").when(P.count_results("html") > 0, "Found").otherwise("No Data")
+    all_pages = pages.select("page_key", "search", status.alias("status")).join(g, "page_key", "left")
+    row = g.schema["rs"].dataType.simpleString()
+    d = all_pages.select("page_key", "search", "status", F.coalesce("rs", F.array().cast(row)).alias("rs"))
     secs = seconds if seconds is not None else F.size("rs") / F.lit(10.0)
-    sect = R.render_search_section(F.col("search"), F.lit("Found"), secs,
+    sect = R.render_search_section(F.col("search"), F.col("status"), secs,
                                    F.concat(T.safe_name(F.col("search")), F.lit(".html")), F.col("rs"))
     head = F.lit("NON-PROFIT CORPORATION SEARCH REPORT\n" + R.RULE60 + "\n\n")
-    return g.select(F.col("page_key").alias("file_no"), F.concat(head, sect).alias("value"))
+    return d.select(F.col("page_key").alias("file_no"), F.concat(head, sect).alias("value"))
 
 
 def search_report_to_json(reports: DataFrame) -> DataFrame:
@@ -127,8 +134,8 @@ def owner_pipeline_overlap(owners: DataFrame, results: DataFrame, batch: int = 5
                     sc["confidence"].alias("confidence"))
 
 
-def lookup_stats_pipeline(log: DataFrame) -> DataFrame:
-    return ST.lookup_stats(log.where(F.col("success")))
+def lookup_stats_pipeline(log: DataFrame, by: list | None = None) -> DataFrame:
+    return ST.lookup_stats(log.where(F.col("success")), *([by] if by else []))
 
 
 __all__ = ["owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",

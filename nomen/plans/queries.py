@@ -200,14 +200,63 @@ def q_extract_previous_names(spark, sf):
                          F.array_join(P.extract_previous_names("block"), "; ").alias("previous_names"))
 
 
+_NO_PAGES = "SELECT 'supplier ' || CAST(s_suppkey AS VARCHAR) AS search FROM supplier"
+
+
 @register("count_results",
           f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, CAST(count(*) AS INTEGER) AS n_results, "
-          f"false AS saturated FROM ({_REG}) GROUP BY 1")
+          f"count(*) >= 8 AS saturated, false AS no_results FROM ({_REG}) GROUP BY 1 "
+          f"UNION ALL SELECT search || '#0', 0, false, true FROM ({_NO_PAGES})")
 def q_count_results(spark, sf):
-    """count_results + saturated_page per rendered page."""
+    """count_results + saturated_page + no_results_flag per rendered page."""
     pg = I.registry_pages(spark, sf)
     return pg.select("page_key", P.count_results("html").alias("n_results"),
-                     P.saturated_page("html").alias("saturated"))
+                     P.saturated_page("html").alias("saturated"), T.no_results_flag("html").alias("no_results"))
+
+
+@register("extract_concurrent_fields",
+          f"SELECT company_name, corporation_number, 'Found' AS status FROM ({_REG})")
+def q_extract_concurrent_fields(spark, sf):
+    """extract_concurrent_fields: name and number of the link text of every result block."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key", "search"))
+    c = P.extract_concurrent_fields("block", F.col("search"))
+    return blocks.select(c.alias("c")).select("c.company_name", "c.corporation_number", "c.status")
+
+
+@register("no_results_record",
+          f"SELECT search AS company_name, 'No Results Found' AS status, 'N/A' AS location FROM ({_NO_PAGES})")
+def q_no_results_record(spark, sf):
+    """no_results_record: the placeholder of every page that says there are no results."""
+    pg = I.registry_pages(spark, sf).where(T.no_results_flag("html"))
+    return pg.select(P.no_results_record(F.col("search")).alias("r")).select("r.company_name", "r.status", "r.location")
+
+
+@register("label_values",
+          f"SELECT record_id, part_key, 'STATUS' AS label, status AS value FROM ({_REG}) WHERE status IS NOT NULL "
+          f"UNION ALL SELECT record_id, part_key, 'REGISTERED', registration_date FROM ({_REG})")
+def q_label_values(spark, sf):
+    """extract_label_value: ``label: value`` and ``<b>label</b> value`` rows of every record."""
+    rows = I.registry_records(spark, sf).select("record_id", "part_key", F.explode(F.array(
+        F.concat(F.lit("Status: "), F.col("status")),
+        F.concat(F.lit("<b>Registered</b> "), F.col("registration_date"), F.lit("<br>")))).alias("row"))
+    x = rows.select("record_id", "part_key", P.extract_label_value("row").alias("x")).where(F.col("x").isNotNull())
+    return x.select("record_id", "part_key", "x.label", "x.value")
+
+
+@register("field_maps",
+          f"SELECT record_id, part_key, company_name AS name, coalesce(status, 'unknown') AS status, business_type AS type, "
+          f"address, 4 AS n_keys FROM ({_REG})")
+def q_field_maps(spark, sf):
+    """standardize_fields (alias keys renamed) and overlay_details (detail values win) on every record."""
+    r = I.registry_records(spark, sf)
+    info = F.create_map(F.lit("COMPANY-NAME"), F.col("company_name"), F.lit("BUSINESS-TYPE"), F.col("business_type"),
+                        F.lit("STATUS"), F.lit("unknown"), F.lit("ADDRESS"), F.lit("unknown"))
+    r = r.select("record_id", "part_key", "status", "address", R.standardize_fields(info).alias("info"))
+    detail = F.map_filter(F.create_map(F.lit("STATUS"), F.col("status"), F.lit("ADDRESS"), F.col("address")), lambda k, v: v.isNotNull())
+    r = r.select("record_id", "part_key", R.overlay_details("info", detail).alias("m"))
+    m = F.col("m")
+    return r.select("record_id", "part_key", m["COMPANY NAME"].alias("name"), m["STATUS"].alias("status"),
+                    m["BUSINESS TYPE"].alias("type"), m["ADDRESS"].alias("address"), F.size("m").alias("n_keys"))
 
 
 def _cands_sql():
@@ -354,7 +403,8 @@ def search_log(spark, sf):
     """``events`` as a search log (F6 shape)."""
     e = I.table(spark, sf, "events")
     return e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("business_name"),
-                    F.col("props").alias("html_content"),
+                    # every seventh search finds a page that says there are no results
+                    F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit("<p>No results found</p>")).otherwise(F.col("props")).alias("html_content"),
                     (F.col("event_type") != "error").alias("success"),
                     F.when(F.col("event_type") == "error", F.lit("search failed")).alias("error_message"),
                     F.col("value").alias("search_time"),
@@ -388,11 +438,29 @@ def q_search_success_counts(spark, sf):
 
 @register("results_per_search",
           f"SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS search, count(*) AS n_results "
-          f"FROM ({_REG}) GROUP BY 1")
+          f"FROM ({_REG}) GROUP BY 1 UNION ALL SELECT search, 0 FROM ({_NO_PAGES})")
 def q_results_per_search(spark, sf):
-    """results_per_search: result blocks per search label over the rendered pages."""
-    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key", "search"))
-    return ST.results_per_search(blocks)
+    """results_per_search: result blocks per search label over the rendered pages, searches without results too."""
+    return ST.results_per_search(I.registry_pages(spark, sf))
+
+
+@register("search_sections",
+          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS page_key, 'Found' AS status, "
+          f"CAST(count(*) AS INTEGER) AS n_results FROM ({_REG}) GROUP BY 1 "
+          f"UNION ALL SELECT search || '#0', 'No Data', 0 FROM ({_NO_PAGES})")
+def q_search_sections(spark, sf):
+    """search_report_sink: a section per search page, with its status; searches without results have one too."""
+    s = PL.search_sections(I.registry_pages(spark, sf))
+    return s.select(F.col("file_no").alias("page_key"), F.regexp_extract("value", "\nStatus: (.*)\n", 1).alias("status"),
+                    F.regexp_extract("value", "\nResults Found: (\\d+)\n", 1).cast("int").alias("n_results"))
+
+
+@register("lookup_stats_success",
+          "SELECT user_id, count(*) AS n_searches, CAST(count(*) AS BIGINT) AS n_success, round(sum(search_time), 6) AS total_seconds "
+          f"FROM ({_LOG_SQL}) WHERE success GROUP BY user_id")
+def q_lookup_stats_success(spark, sf):
+    """lookup_stats_pipeline: statistics of the successful searches per user."""
+    return PL.lookup_stats_pipeline(search_log(spark, sf), ["user_id"]).select("user_id", "n_searches", "n_success", "total_seconds")
 
 
 # ---------------------------------------------------------------------------
@@ -481,6 +549,7 @@ SELECT lower(left(company_name, 1)) || ' (' || business_type || ')' AS business_
        NULL::VARCHAR AS error_message, company_name || ' (' || corporation_number || ')' AS company_name,
        status, business_type, registration_date AS incorporation_date, address AS location
 FROM ({_SEEN}) r
+UNION ALL SELECT search, true, NULL, NULL, NULL, NULL, NULL, NULL FROM ({_NO_PAGES})
 """
 
 
@@ -557,7 +626,7 @@ def q_filter_registry(spark, sf):
 
 
 @register("search_status",
-          "SELECT CASE WHEN event_type = 'error' THEN 'Error' WHEN contains(props, 'No results found') THEN 'No Data' "
+          "SELECT CASE WHEN event_type = 'error' THEN 'Error' WHEN event_id % 7 = 0 THEN 'No Data' "
           "ELSE 'Found' END AS status, count(*) AS n FROM events GROUP BY 1")
 def q_search_status(spark, sf):
     """search_status (Found / No Data / Error) + filter_success counts."""
@@ -589,13 +658,27 @@ def q_registry_dates(spark, sf):
 
 
 @register("lookup_status_counts",
-          f"SELECT 'scored' AS status, count(*) AS n FROM ({_ENTRY_SRC})")
+          f"SELECT 'scored' AS status, count(*) AS n FROM ({_ENTRY_SRC}) "
+          "UNION ALL SELECT 'no_page', count(DISTINCT s_name) FROM supplier "
+          "UNION ALL SELECT 'not_parsed', count(DISTINCT c_name) FROM customer")
 def q_lookup_status_counts(spark, sf):
-    """lookup_status / owners_with_outcome: outcome per owner, counted."""
-    owners = _owners(spark, sf)
+    """lookup_status: outcome per owner, counted. Part owners have registry records,
+    suppliers no page, customers a page on which no company was found."""
+    raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
+    sup = I.table(spark, sf, "supplier").select(F.col("s_name").alias("owner"))
+    cus = I.table(spark, sf, "customer").select(F.col("c_name").alias("owner"), F.col("c_custkey").alias("record_id"))
+    res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
+    owners = _owners(spark, sf).unionByName(sup).unionByName(cus.select("owner"))
+    return PL.owner_pipeline(owners, res.unionByName(cus, allowMissingColumns=True)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("owners_without_page", "SELECT DISTINCT s_name AS owner FROM supplier")
+def q_owners_without_page(spark, sf):
+    """owners_without_page: owners (part owners and suppliers) that no registry record was found for."""
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
     res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
-    return PL.owner_pipeline(owners, res).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    sup = I.table(spark, sf, "supplier").select(F.col("s_name").alias("owner"))
+    return M.owners_without_page(_owners(spark, sf).unionByName(sup).distinct(), res)
 
 
 _OV_SN = Q.normalize_words("owner")

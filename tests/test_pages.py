@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from nomen.functions import text as T
 from nomen.operators import pages as P
 from nomen.operators import udf as U
 
@@ -112,3 +113,64 @@ def test_company_candidates_selector_order(spark):
                               P.extract_company_candidates(F.lit(blk.replace("<b>An Unusually Long Bold Label That Wins On Length</b>", ""))).alias("d")).first()
     assert r.c == "An Unusually Long Bold Label That Wins On Length"
     assert r.d == "ACME FOODS (42)"          # view link text, spans glued; 'View' and 'Hi' filtered
+
+
+BLOCK = ('<div class="registerItemSearch-results-page-line"><div class="registerItemSearch-results-page-line-ItemBox-resultLeft-viewMenu">'
+         '<a class="viewMenu"><span>CAF&eacute; L&#233;A &#x26; CO (7)</span></a></div>%s</div>'
+         '<div class="footer"><div class="appMinimalBox addressSearchResultBox"><div class="appAttrValue">FOOTER OFFICE</div></div></div>')
+
+
+def _one(spark, inner):
+    pages = spark.createDataFrame([("p", "s", BLOCK % inner)], "page_key string, search string, html string")
+    blocks = P.split_result_blocks(pages, keys=("page_key",))
+    d = P.extract_details(blocks).first()
+    py = U.parse_pages_with(pages).first()
+    assert (py.company_name, py.status, py.business_type, py.location) == (
+        f"{d.company_name} ({d.corporation_number})", d.status, d.business_type, d.address)
+    return d, P.extract_company_fields(blocks).first().info
+
+
+def test_fields_stay_inside_their_element(spark):
+    d, m = _one(spark, '<div class="appMinimalAttr Status"></div><div class="registryInfo">Corporation</div>'
+                       '<div class="appMinimalAttr EntitySubTypeCode"><p><span class="appMinimalValue">Not-for-Profit\n<b>Corporation</b></span></p></div>'
+                       '<div class="appMinimalBox addressSearchResultBox"></div>'
+                       '<div class="appMinimalAttr Date"><span>Amalgamation Date</span> <span>May 05, 2001</span></div>')
+    assert d.company_name == "CAFé LéA & CO" and d.corporation_number == "7"
+    assert d.status is None and d.address is None                 # not the next element's, not the footer's
+    assert d.registry_type is None and m["REGISTRY TYPE"] == "Corporation"
+    assert d.incorporation_date is None and d.amalgamation_date == "May 05, 2001"
+    assert "STATUS" not in m and "ADDRESS" not in m
+
+
+def test_company_fields_alternative_classes_and_values_without_row(spark):
+    _, m = _one(spark, '<div class="company-status"><em class="value">Dissolved soon</em></div><div class="address">1 Road<br>Town</div>'
+                       '<div class="business-type"><span class="value">Co-operative</span></div>'
+                       '<p><span class="label">Officer:</span><span class="value">Ann Lee</span></p>')
+    assert m["STATUS"] == "Dissolved soon" and m["ADDRESS"] == "1 Road Town" and m["BUSINESS TYPE"] == "Co-operative"
+    assert m["OFFICER"] == "Ann Lee"
+
+
+def test_previous_names_selectors(spark):
+    cases = [('<div class="previous-names"><span class="oldName">A ONE</span></div>', ["A ONE"]),
+             ('<div class="previousNamesBox"><div class="x"><div><span class="appMinimalValue">A ONE</span></div></div>'
+              '<span class="appMinimalValue">B TWO</span></div>', ["A ONE", "B TWO"]),
+             ('<div class="appMinimalBox"><span class="appMinimalLabel">Previously known as</span><span class="appMinimalValue">C</span></div>', ["C"]),
+             ('<div class="previous-names"><p>Previously</p><p>Old Firm</p><p>ab</p></div>', ["Old Firm"]),
+             ('<div class="other"></div>', []), ('', [])]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, block string")
+    got = {r.i: r.p for r in df.select("i", P.extract_previous_names("block").alias("p")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_pages_without_blocks_have_sections(spark):
+    from nomen.plans import pipelines as PL
+    pages = spark.createDataFrame([("a", "a (x)", "<p>No results found</p>"), ("b", "b (x)", None)], "page_key string, search string, html string")
+    v = {r.file_no: r.value for r in PL.search_sections(pages).collect()}
+    assert "Status: No Data" in v["a"] and "Results Found: 0" in v["a"] and "Status: Error" in v["b"]
+
+
+def test_unescape_references(spark):
+    texts = ["&amp;lt; &eacute;&#128512;&#x41;", "a & b &nosuch; &", "&#0;&#xD800;", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {0: "&lt; é😀A", 1: "a & b &nosuch; &", 2: "&#0;&#xD800;", 3: "", 4: None}

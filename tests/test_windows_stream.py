@@ -25,9 +25,11 @@ def test_batches_lanes(spark):
 
 def test_prefix_partition_caps(spark):
     names = spark.createDataFrame([(f"a{i:03d}",) for i in range(500)] + [("b",), ("a",)], "name string")
-    leaves = ST.prefix_partition(names, "name", cap=50, max_depth=4).collect()
-    assert sum(r.n_names for r in leaves) == 502                  # every name in exactly one leaf
-    assert all(r.n_names < 50 or r.depth == 4 for r in leaves)
+    names = names.unionByName(spark.createDataFrame([("zz",)] * 60, "name string"))
+    leaves = ST.prefix_partition(names, "name", cap=50).collect()
+    assert sum(r.n_names for r in leaves) == 562                  # every name in exactly one leaf
+    # full leaves are names that end there
+    assert {(r.prefix, r.n_names) for r in leaves if r.n_names >= 50} == {("zz", 60)}
 
 
 def test_stream_equals_batch(spark, tmpdir_path):

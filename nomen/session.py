@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_TABLES: list[tuple[str, str]] = []   # (application id, path) of the tables written by materialize
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -75,9 +78,23 @@ def materialize(df, name: str = "t"):
     """Write ``df`` once as a parquet table under the session's checkpoint
     folder and read it back: one computation (``Dataset.checkpoint`` runs the
     plan twice unless persisted), reliable shared storage, lineage cut, and
-    column pruning / predicate pushdown on the re-read."""
-    import uuid
+    column pruning / predicate pushdown on the re-read. The table stays until
+    :func:`release_tables`."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/nomen-{name}-{uuid.uuid4().hex}"
+    _TABLES.append((spark.sparkContext.applicationId, path))
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote for this application,
+    through the file system that holds them; returns their number. Results
+    that still read them must have been written or collected before."""
+    sc = spark.sparkContext
+    mine = [p for app, p in _TABLES if app == sc.applicationId]
+    for p in mine:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _TABLES[:] = [t for t in _TABLES if t[0] != sc.applicationId]
+    return len(mine)

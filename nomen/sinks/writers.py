@@ -39,12 +39,26 @@ def write_json_records(records: DataFrame, path: str, sort_by: str = "business_n
 
 
 def write_per_record(df: DataFrame, path: str, name_col: str = "business_name", buckets: int = 64,
-                     mode: str = "overwrite") -> None:
+                     mode: str = "overwrite", html_col: str | None = None, files_per_bucket: int = 1) -> None:
     """Raw page and JSON record per search, grouped into ``buckets`` folders
-    by a hash of the name (never one file per row)."""
+    by a hash of the name (never one file per row).
+
+    Rows are shuffled by folder first, so a folder gets ``files_per_bucket``
+    files and not one from every task; raise both numbers with the data. A
+    row's file follows from all its columns, so a name that many rows share
+    is spread over its folder's files. With ``html_col`` the raw pages go to
+    ``path/pages`` and the other columns to ``path/records`` as JSON lines;
+    without it everything is one parquet table."""
     d = df.withColumn("bucket", F.pmod(F.xxhash64(F.col(name_col)), F.lit(buckets)))
     d = d.withColumn("file_label", T.safe_name(F.col(name_col)))
-    d.write.mode(mode).partitionBy("bucket").parquet(path)
+    part = F.pmod(F.xxhash64(F.lit(1), *[F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(files_per_bucket))
+    # one shuffle partition per output file (two files share one where their hashes meet)
+    d = d.withColumn("_part", part).repartition(buckets * files_per_bucket, "bucket", "_part").drop("_part")
+    if html_col is None:
+        d.write.mode(mode).partitionBy("bucket").parquet(path)
+        return
+    d.select("bucket", "file_label", F.col(html_col)).write.mode(mode).partitionBy("bucket").parquet(f"{path}/pages")
+    (d.drop(html_col).write.mode(mode).partitionBy("bucket").option("ignoreNullFields", True).json(f"{path}/records"))
 
 
 def append_search_report(sections: DataFrame, path: str, value: str = "value") -> None:

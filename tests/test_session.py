@@ -1,6 +1,7 @@
 import os
 
-from nomen.session import checkpoint_dir, materialize
+from nomen import session
+from nomen.session import checkpoint_dir, materialize, release_tables
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
@@ -12,3 +13,13 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     assert t.count() == 10
     local = d[len("file:"):] if d.startswith("file:") else d
     assert any(p.startswith("nomen-probe-") for p in os.listdir(local))
+
+
+def test_release_removes_the_tables_written(spark, monkeypatch):
+    monkeypatch.setattr(session, "_TABLES", [])          # those of other tests stay
+    t = materialize(spark.range(5), "gone")
+    at = session._TABLES[0][1]
+    local = at[len("file:"):] if at.startswith("file:") else at
+    assert t.count() == 5 and os.path.isdir(local)
+    assert release_tables(spark) == 1 and not os.path.exists(local)
+    assert release_tables(spark) == 0

@@ -91,6 +91,12 @@ def test_per_record_and_append(spark, tmpdir_path):
     back = spark.read.parquet(out)
     assert back.count() == 40 and back.select("bucket").distinct().count() <= 4
     assert {r.file_label for r in back.collect()} >= {"name_0", "name_39"}
+    files = [f for _, _, fs in os.walk(out) for f in fs if f.endswith(".parquet")]
+    assert len(files) <= 4                                      # not one of every task and folder
+    Wr.write_per_record(recs, out + "_raw", buckets=2, html_col="html_content", files_per_bucket=3)
+    pages, js = spark.read.parquet(out + "_raw/pages"), spark.read.json(out + "_raw/records")
+    assert {(r.file_label, r.html_content) for r in pages.collect()} == {(f"name_{i}", f"<html>{i}</html>") for i in range(40)}
+    assert {r.business_name for r in js.collect()} == {f"name {i}" for i in range(40)} and "html_content" not in js.columns
     rep = os.path.join(tmpdir_path, "rep")
     sec = spark.createDataFrame([("SEARCH: a (t)\n",)], "value string")
     Wr.append_search_report(sec, rep)

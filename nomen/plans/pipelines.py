@@ -1,7 +1,7 @@
 """Composed pipelines (functions of DataFrames).
 
-* ``owner_pipeline`` — project -> classify -> distinct -> join first result ->
-  score -> number -> report entries.
+* ``owner_pipeline`` — distinct -> classify -> number -> join first result ->
+  overlay page details -> score -> report entries.
 * ``owner_pipeline_overlap`` — the same with the overlap matcher and batches.
 * ``business_type_report`` / ``unmatched_report`` — report files -> entries ->
   parse -> filter -> numbered summary.
@@ -20,6 +20,7 @@ from nomen.functions import names as N
 from nomen.functions import score as S
 from nomen.functions import text as T
 from nomen.operators import match as M
+from nomen.operators import owners as O
 from nomen.operators import pages as P
 from nomen.operators import reports as R
 from nomen.operators import stats as ST
@@ -42,24 +43,60 @@ def detail_columns(prefix: str = "", amalgamation: bool = False) -> dict:
     }
 
 
+#: record columns that the details of a result page overlay, by detail field
+OVERLAID = {"company_name": "company_name", "corporation_number": "corporation_number", "registry_type": "registry_type",
+            "status": "status", "address": "address", "business_type": "business_type",
+            "registration_date": "incorporation_date", "amalgamation_date": "amalgamation_date"}
+
+
+def overlay_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """``records`` (one per ``owner``) with the values that the owner's result
+    page gives laid over their own; an owner with a page alone becomes a
+    record. ``pages``: ``owner, html``; the first result block of a page counts,
+    of several pages of one owner the least."""
+    first = M.first_per_group(pages.select("owner", "html").where(F.col("html").isNotNull()), "owner", ["html"])
+    d = P.extract_details(P.split_result_blocks(first, keys=("owner",)).where("pos = 1"))
+    d = d.select(F.col("owner").alias("_owner"), *[F.col(f).alias("_d_" + c) for c, f in OVERLAID.items()])
+    kinds = {f.name: f.dataType for f in records.schema.fields}
+    j = records.join(d, F.col("owner") == F.col("_owner"), "full")
+    return j.select(
+        F.coalesce("owner", "_owner").alias("owner"),
+        *[F.coalesce("_d_" + c, c).alias(c) if c in kinds else F.col("_d_" + c).alias(c) for c in OVERLAID],
+        *[c for c in records.columns if c not in OVERLAID and c != "owner"])
+
+
+def lookups(owners: DataFrame, results: DataFrame, owner_col: str = "owner", order_col: str = "record_id", min_len: int = 3,
+            classify: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """Numbered owners with their record and its score: ``lookup_number, owner, found, is_match, confidence`` and
+    the record columns. See :func:`owner_pipeline`."""
+    o = owners.select(F.col(owner_col).alias("owner")).where(F.col("owner").isNotNull()).distinct()
+    if classify:
+        o = o.where(O.classify_owner("owner", min_len)["keep"])
+    numbered = W.number_rows(o, ["owner"], "lookup_number")
+    first = M.first_per_group(results, "owner", [order_col])
+    if pages is not None:
+        first = overlay_pages(first, pages)
+    j = (numbered.where(F.length("owner") >= min_len)
+         .join(first.withColumn("found", F.lit(True)), "owner", "left"))
+    return M.score_pairs(j.withColumn("found", F.coalesce("found", F.lit(False))), "owner", "company_name")
+
+
 def owner_pipeline(owners: DataFrame, results: DataFrame, owner_col: str = "owner",
-                   order_col: str = "record_id", min_len: int = 3) -> DataFrame:
+                   order_col: str = "record_id", min_len: int = 3, classify: bool = False,
+                   pages: DataFrame | None = None) -> DataFrame:
     """Numbered lookup entries: ``lookup_number, owner, status, is_match,
     confidence, entry``.
 
-    ``owners``: one owner name per row (duplicates allowed); ``results``: the
-    registry records found for each owner (``owner`` + record columns),
-    ordered by ``order_col``; the first is scored. Numbers follow the sorted
-    distinct owners (numbers of skipped short names stay unused).
+    ``owners``: one owner name per row (duplicates allowed); ``classify``
+    leaves out those that the rule chain skips before they are numbered.
+    ``results``: the registry records found for each owner (``owner`` + record
+    columns), ordered by ``order_col``; the first is scored. ``pages``: result
+    pages (``owner, html``), whose details overlay that record. Numbers follow
+    the sorted distinct owners (numbers of skipped short names stay unused).
     """
-    o = owners.select(F.col(owner_col).alias("owner")).where(F.col("owner").isNotNull()).distinct()
-    numbered = W.number_rows(o, ["owner"], "lookup_number")
-    first = M.first_per_group(results, "owner", [order_col])
-    j = (numbered.where(F.length("owner") >= min_len)
-         .join(first.withColumn("_found", F.lit(True)), "owner", "left"))
-    scored = M.score_pairs(j, "owner", "company_name")
-    dc = detail_columns(amalgamation="amalgamation_date" in results.columns)
-    found = F.coalesce(F.col("_found"), F.lit(False))
+    scored = lookups(owners, results, owner_col, order_col, min_len, classify, pages)
+    dc = detail_columns(amalgamation="amalgamation_date" in scored.columns)
+    found = F.col("found")
     entry = R.render_lookup_entry(F.col("lookup_number"), F.col("owner"), dc, found,
                                   F.col("is_match"), F.col("confidence"), R.record_pairs(dc))
     return scored.select("lookup_number", "owner", R.lookup_status(found, F.col("company_name")).alias("status"),
@@ -138,6 +175,6 @@ def lookup_stats_pipeline(log: DataFrame, by: list | None = None) -> DataFrame:
     return ST.lookup_stats(log.where(F.col("success")), *([by] if by else []))
 
 
-__all__ = ["owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",
+__all__ = ["lookups", "overlay_pages", "owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",
            "search_sections", "search_report_to_json", "single_lookup", "owner_pipeline_overlap",
            "lookup_stats_pipeline"]

@@ -672,6 +672,25 @@ def q_lookup_status_counts(spark, sf):
     return PL.owner_pipeline(owners, res.unionByName(cus, allowMissingColumns=True)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("owner_pipeline_pages",
+          "SELECT n.lookup_number, n.owner, s.company_name, s.corporation_number, coalesce(s.status, 'Listed') AS status, "
+          "coalesce(s.address, 'Listed') AS address, s.amalgamation_date FROM "
+          f"(SELECT owner, row_number() OVER (ORDER BY owner) AS lookup_number FROM ({_CLASSIFIED_SQL}) WHERE keep) n "
+          f"JOIN ({_FIRST_OF_OWNER}) r ON r.owner = n.owner JOIN (SELECT DISTINCT * FROM ({_SEEN})) s ON s.record_id = r.record_id AND s.part_key = r.part_key")
+def q_owner_pipeline_pages(spark, sf):
+    """owner_pipeline with its classify step and overlay_details: kept owners only, numbered, with the first listed record
+    of each under the details of its result page."""
+    raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
+    found = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
+    first = M.first_per_group(found, "owner", ["record_id"])
+    block = P.render_result_block(*[F.col(c) for c in ("company_name", "corporation_number", "registry_type", "status", "business_type",
+                                                       "registration_date", "address")], F.pmod("record_id", F.lit(I.N_BLOCK_FORMS)))
+    pages = first.select("owner", P.render_page(F.array(block), F.lit(1)).alias("html"))
+    listed = found.select("owner", "record_id", "company_name", F.lit("Listed").alias("status"), F.lit("Listed").alias("address"))
+    got = PL.lookups(_owners(spark, sf), listed, classify=True, pages=pages)
+    return got.select("lookup_number", "owner", "company_name", "corporation_number", "status", "address", "amalgamation_date")
+
+
 @register("owners_without_page", "SELECT DISTINCT s_name AS owner FROM supplier")
 def q_owners_without_page(spark, sf):
     """owners_without_page: owners (part owners and suppliers) that no registry record was found for."""

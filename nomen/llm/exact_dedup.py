@@ -5,11 +5,10 @@ Texts are equal when identical after deleting every character of
 hold more than one row by a hash of the normalised prefix, and only rows of
 prefix groups with more than one row get the full hash:
 
-1. one scan writes a narrow signature table (length, prefix hash, what the
-   caller carries);
+1. one scan writes a narrow signature table (length and prefix hash, no texts);
 2. lengths, then (length, prefix hash) pairs that occur once are settled as
-   unique on that table, without their texts being read again;
-3. a second scan hashes the full content of the surviving groups.
+   unique by that table; their rows go from the input straight to the result;
+3. another scan hashes the full content of the surviving groups.
 
 Survivors of a step are recognised by a slot number of their key; the broadcast slot list
 holds at most ``SLOTS`` numbers whatever the input, and no row is shuffled to be
@@ -70,11 +69,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``row`` is a struct of the ``carry`` columns (``true`` if none are carried).
     """
     signed = _signed(docs, id_col, text_col, carry or [])
-    sig = materialize(signed.select("id", "len", "pre", "row"), "exact-sig")
+    sig = materialize(signed.select("len", "pre"), "exact-sig")
     lengths = _repeated(sig, "len")
     slots = _repeated(sig.select("len", "pre", _slot("len").alias("slot")).join(lengths, "slot", "left_semi"), "len", "pre")
 
-    alone = (sig.withColumn("slot", _slot("len", "pre")).join(slots, "slot", "left_anti")
+    # rows that the caller carries are read again here and not kept in the signature table: it may hold whole texts
+    alone = (signed.withColumn("slot", _slot("len", "pre")).join(slots, "slot", "left_anti")
              .select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                      F.lit(True).alias("kept"), "row"))
     full = (signed.withColumn("slot", _slot("len", "pre")).join(slots, "slot", "left_semi")

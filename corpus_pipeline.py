@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nomen.llm._spark import col, materialize, read
 from nomen.llm.bpe import bpe_encode
 from nomen.llm.exact_dedup import exact_dedup
-from nomen.llm.mixing import mixed_rows
+from nomen.llm.mixing import mixed_structs
 from nomen.llm.queries import THRESHOLD, bpe_digest
 from nomen.llm.simhash import simhash_groups
 from nomen.llm.toxicity import toxicity_scores
@@ -49,11 +49,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as it is drawn, the last of a source cut to its first words, shards
     shuffled locally."""
-    out = mixed_rows(docs)
-    out = out.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    out = mixed_structs(docs).repartition("shard").sortWithinPartitions("shard", "place")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select([col(c) for c in docs.columns])
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return _columns(out, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,7 +163,16 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, once per draw, the cut ones with their first words only,
-    with ``_shard`` and ``_place`` to write shards by. Other columns are unchanged."""
+    with ``_shard`` and ``_place`` to write shards by (columns of ``docs`` with these names give way to
+    them). Other columns are unchanged."""
+    out = mixed_structs(docs, id_col, text_col, **options)
+    names = [c for c in docs.columns if c not in ("_shard", "_place")]
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names], F.col("shard").alias("_shard"), F.col("place").alias("_place"))
+
+
+def mixed_structs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix with each row of ``docs`` but its text in the struct ``row``, whatever its columns are called, beside
+    ``text`` (cut where the draw is), ``shard`` and ``place``."""
     _, draws = mix(docs, id_col=id_col, text_col=text_col, **options)
     # equal rows draw as one group each time: count them once per (id, key, pass)
     draws = draws.groupBy("id", "key", "pass").agg(F.min("shard").alias("_shard"), F.min("place").alias("_place"),
@@ -171,8 +180,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = draws.groupBy("id", "key").agg(F.collect_list(F.struct("pass", "_shard", "_place", "_taken")).alias("_draws"))  # 3 at most
     keyed = docs.select(F.struct("*").alias("_row"), col(id_col).alias("id"), F.xxhash64(col(id_col), col(text_col)).alias("key"))
     out = (keyed.join(per, keyed["id"].eqNullSafe(per["id"]) & (keyed["key"] == per["key"])).select("_row", F.explode("_draws").alias("_d"))
-           .select("_row.*", "_d._shard", "_d._place", "_d._taken"))
-    words = word_count(col(text_col))
-    head = F.regexp_extract(col(text_col), "^[\\x20\\x09-\\x0D]*", 0)
-    cut = F.concat(head, F.array_join(F.slice(F.regexp_extract_all(col(text_col), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.col("_taken").cast("int")), ""))
-    return out.withColumn(text_col, F.when(words > F.col("_taken"), cut).otherwise(col(text_col))).drop("_taken")
+           .select("_row", "_d._shard", "_d._place", "_d._taken"))
+    whole = F.col("_row").getField(text_col)
+    words = word_count(whole)
+    head = F.regexp_extract(whole, "^[\\x20\\x09-\\x0D]*", 0)
+    cut = F.concat(head, F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.col("_taken").cast("int")), ""))
+    return out.select(F.col("_row").dropFields(f"`{text_col}`").alias("row"), F.when(words > F.col("_taken"), cut).otherwise(whole).alias("text"),
+                      F.col("_shard").alias("shard"), F.col("_place").alias("place"))

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, carr
     """(id, fp, n): one row per input row; fp is the unsigned value's bits as a long, n numbers the rows. With
     ``carry`` also ``text`` and the struct ``row``."""
     wide = carry is not None
-    t = docs.select(col(id_col).alias("id"), *([F.struct(F.lit(True).alias("_"), *carry).alias("row")] if wide else []), col(text_col).alias("text"))
+    t = docs.select(col(id_col).alias("id"), *([F.struct(*(carry or [F.lit(True).alias("_")])).alias("row")] if wide else []), col(text_col).alias("text"))
     names = t.columns if wide else ["id"]
 
     def run(batches):

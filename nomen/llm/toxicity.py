@@ -329,7 +329,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = sc.broadcast(Classifier([(r["y"], np.frombuffer(r["b"], np.int32)) for r in rows]))
 
     wide = carry is not None
-    carried = docs.select(col(id_col).alias("doc_id"), *([F.struct(F.lit(True).alias("_"), *carry).alias("row")] if wide else []), col(text_col).alias("text"))
+    carried = docs.select(col(id_col).alias("doc_id"), *([F.struct(*(carry or [F.lit(True).alias("_")])).alias("row")] if wide else []), col(text_col).alias("text"))
     names = carried.columns if wide else ["doc_id"]
 
     def run(batches):

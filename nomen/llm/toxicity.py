@@ -1,12 +1,15 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a classifier on the restored text.
 
-**Lattice.** A word written with look-alike signs (``1d10t``), with repeated letters (``stuuupid``) or spaced
-out (``l o s e r``, ``l.o.s.e.r``) is a lattice: a sign may stand for its look-alike letters or for nothing, a
-repeated letter for itself or for nothing, separators of single letters for nothing. Each arc has a channel cost.
+**Lattice.** A word written with look-alike signs (``1d10t``), with repeated letters (``stuuupid``) or
+cut by separators (``l o s e r``, ``l.o.s.e.r``, ``lo ser``, ``id.iot``) is a lattice: a sign may stand for its look-alike
+letters or for nothing, a repeated letter for itself or for nothing, a separator for nothing or for a word edge. Each
+arc has a channel cost. Three or more single letters in a row are decoded as one run; so are neighbours of which one has at
+most ``SHORT`` letters, if the language model reads them better joined.
 
-**Language model.** Letter bigrams (a-z, one class for all other letters, and the word edge), counted over
-all documents. Viterbi finds the cheapest reading of each suspicious word; words without
-such signs have one reading and skip the decoder. Words are decoded together in numpy, once per distinct word.
+**Language model.** Letter n-grams of up to ``ORDER`` letters within words (a-z, one class for all other letters, and
+the word edge), counted over all documents by a Spark aggregation; the counts grow with the n-grams met, up to
+``CLASSES ** ORDER``. Each order backs off to the next lower one (Witten-Bell). Viterbi finds the cheapest reading of each suspicious
+span; words without such signs have one reading and skip the decoder. Spans are decoded together in numpy, once per distinct span.
 
 **Score.** Restored words, and their first ``STEM`` letters, fall into ``BUCKETS`` hash buckets. A bucket's smoothed
 log-odds of toxic documents come from a bounded labelled sample (at most ``SAMPLE`` documents); a logistic
@@ -18,13 +21,15 @@ kinds the score is the smoothed share of label 1; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomen.llm._spark import col, labelled_sample
-from nomen.llm._text import WHITE, prefix_hash, ragged, slices, span_hash, text_buffers, word_spans
+from nomen.llm._text import prefix_hash, ragged, slices, span_hash, text_buffers, word_spans
 
 BUCKETS = 1 << 18
 STEM = 4
@@ -41,6 +46,8 @@ COST_END = 1.0       # ... or one after the last letter or digit of a word: punc
 COST_REPEAT = 0.7    # a letter again for nothing
 
 EDGE, OTHER, CLASSES = 0, 27, 28
+ORDER = 5
+CONTEXTS = CLASSES ** (ORDER - 1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] = np.arange(97, 123)
 CLASS = np.zeros(256, np.int64)
@@ -54,116 +61,181 @@ for _c in LOOKS_LIKE:
 
 # ---------------------------------------------------------------- language model
 
-def _bigrams(batches):
-    total = np.zeros(CLASSES * CLASSES, np.int64)
-    for b in batches:
-        for _, _, d, _ in slices(*text_buffers(b.column(0))):
-            c = np.concatenate([[EDGE], CLASS[d], [EDGE]])
-            total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+def _contexts(c: np.ndarray) -> np.ndarray:
+    """For each class, the code of the ``ORDER - 1`` classes before it, back to the last word edge."""
+    out = np.zeros(len(c), np.int64)
+    open_ = np.ones(len(c), bool)
+    for k in range(1, ORDER):
+        before = np.zeros(len(c), np.int64)
+        before[k:] = c[:-k]
+        open_ &= before != EDGE
+        out += np.where(open_, before, 0) * CLASSES ** (k - 1)
+    return out
 
 
-def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """(CLASSES, CLASSES) costs -log P(next | previous) from all documents."""
-    rows = docs.select(col(text_col).alias("t")).mapInArrow(_bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    n = np.full(CLASSES * CLASSES, 0.5)
-    for r in rows:
-        n[r["pair"]] += r["n"]
-    n = n.reshape(CLASSES, CLASSES)
-    return -np.log(n / n.sum(axis=1, keepdims=True))
+def _ngrams(batches):
+    codes, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def merged():
+        at, back = np.unique(np.concatenate([codes, *(x for x, _ in waiting)]), return_inverse=True)
+        return at, np.bincount(back, np.concatenate([counts, *(n for _, n in waiting)]), len(at)).astype(np.int64)
+
+    for b in batches:
+        for _, _, d, o in slices(*text_buffers(b.column(0))):
+            edge = np.zeros(len(d) + 1, bool)          # texts do not run on into each other
+            edge[o] = True
+            c = np.insert(CLASS[d], np.flatnonzero(edge), EDGE)
+            c = c[np.insert((d & 0xC0) != 0x80, np.flatnonzero(edge), True)]
+            c = np.concatenate([[EDGE], c, [EDGE]])
+            c = c[np.concatenate([[True], (c[1:] != EDGE) | (c[:-1] != EDGE)])]
+            waiting.append(np.unique((_contexts(c) * CLASSES + c)[1:], return_counts=True))
+            if len(waiting) == 8:
+                (codes, counts), waiting = merged(), []
+    codes, counts = merged()
+    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "n"])
+
+
+class LetterModel:
+    """Costs -log P(class | context) from n-gram counts; the table is worked out where it is first used."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts, self._costs = codes.astype(np.int32), counts, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_costs": None}
+
+    @property
+    def costs(self) -> np.ndarray:
+        if self._costs is None:
+            p = np.full(CLASSES, 1 / CLASSES, np.float32)
+            for k in range(1, ORDER + 1):
+                size = CLASSES ** k
+                code, back = np.unique(self.codes % size, return_inverse=True)
+                n = np.bincount(back, self.counts, len(code))
+                total = np.bincount(code // CLASSES, n, size // CLASSES).astype(np.float32)
+                kinds = np.bincount(code // CLASSES, minlength=size // CLASSES).astype(np.float32)
+                kinds[total == 0] = 1                      # a context not met: all from the shorter one
+                p = (np.tile(p, CLASSES) if k > 1 else p).reshape(-1, CLASSES)
+                p *= kinds[:, None]
+                p.reshape(-1)[code] += n
+                p /= (total + kinds)[:, None]
+                p = p.reshape(-1)
+            np.log(p, out=p)
+            self._costs = np.negative(p, out=p)
+        return self._costs
+
+
+def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
+    """Letter n-grams of all documents."""
+    t = (docs.select(col(text_col).alias("t")).mapInArrow(_ngrams, "gram long, n long")
+         .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())      # at most CLASSES ** ORDER rows
+    return LetterModel(t["gram"].to_numpy(), t["n"].to_numpy())
 
 
 # ---------------------------------------------------------------- decoder
 
-def _arcs(word: str) -> list[tuple[list[int], float, float]]:
-    """Per character: (classes it may stand for, cost of that, cost of standing for nothing)."""
+def _arcs(word: str) -> list[tuple[list[int], float, float, float]]:
+    """Per character: (classes it may stand for, cost of that, cost of standing for nothing, cost of a word edge)."""
     out, before = [], ""
-    end = max((i for i, c in enumerate(word) if c.isalnum()), default=-1)
+    # signs after the last letter or digit of a word, or of the span where they stand alone
+    trailing, at = [False] * len(word), max((i for i, c in enumerate(word) if c.isalnum()), default=-1) + 1
+    for m in re.finditer(r"[^\s]+", word):
+        end = max((i for i in range(m.start(), m.end()) if word[i].isalnum()), default=max(m.start(), at) - 1)
+        trailing[end + 1: m.end()] = [True] * max(0, m.end() - end - 1)
     for i, c in enumerate(word):
+        again = np.inf if c != before else COST_REPEAT
         if "a" <= c <= "z":
-            out.append(([CLASS[ord(c)]], 0.0, COST_REPEAT if c == before else np.inf))
+            out.append(([CLASS[ord(c)]], 0.0, again, np.inf))
         elif c in LOOKS_LIKE:
-            out.append(([CLASS[ord(x)] for x in LOOKS_LIKE[c]], COST_SIGN, COST_DROP if i <= end else COST_END))
+            out.append(([CLASS[ord(x)] for x in LOOKS_LIKE[c]], COST_SIGN, COST_END if trailing[i] else COST_DROP, np.inf))
         elif ord(c) >= 128:
-            out.append(([OTHER], 0.0, COST_REPEAT if c == before else np.inf))
+            out.append(([OTHER], 0.0, again, np.inf))
         else:
-            out.append(([], 0.0, 0.0))
+            out.append(([], 0.0, 0.0, np.inf))
         before = c
     return out
 
 
-def viterbi(words: list[str], costs: np.ndarray) -> list[str]:
-    """Cheapest readings of lower-case words."""
+def viterbi(words: list[str], model: LetterModel) -> list[str]:
+    """Cheapest readings of lower-case spans; words are parted by one blank."""
     done: list[str] = [""] * len(words)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
     while at < len(order):
         width = len(words[order[at]])
-        size = max(1, min(2000, (1 << 22) // (CLASSES * max(1, 2 * width))))
+        size = max(1, min(4000, (1 << 17) // max(1, 2 * width)))
         part = [i for i in order[at: at + size] if len(words[i]) <= 2 * width + 8]
         at += len(part)
-        for i, w in zip(part, _viterbi([words[i] for i in part], costs), strict=True):
+        for i, w in zip(part, _viterbi([words[i] for i in part], model.costs), strict=True):
             done[i] = w
     return done
 
 
 def _viterbi(words: list[str], costs: np.ndarray) -> list[str]:
     n, t_max = len(words), max(map(len, words))
-    r = np.arange(n)
-    emit = np.zeros((2, n, t_max), np.int64) - 1          # up to two letters per character
+    emit = np.full((2, n, t_max), -1, np.int64)            # up to two letters per character
     cost = np.zeros((n, t_max))
     skip = np.zeros((n, t_max))                            # past the end: nothing, free
+    edge = np.full((n, t_max), np.inf)
     for i, w in enumerate(words):
-        for t, (letters, c, drop) in enumerate(_arcs(w)):
+        for t, (letters, c, drop, cut) in enumerate(_arcs(w)):
             for k, x in enumerate(letters):
                 emit[k, i, t] = x
-            cost[i, t], skip[i, t] = c, drop
-    score = np.full((n, CLASSES), np.inf)
-    score[:, EDGE] = 0.0
-    back = np.empty((t_max, n, CLASSES), np.int8)           # previous class; -1: character read as nothing
+            cost[i, t], skip[i, t], edge[i, t] = c, drop, cut
+    # the cheapest reading up to here per span and context, in order of both
+    who, ctx, score = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+    back = []                                              # per character: (reading before, class; -1: nothing)
     for t in range(t_max):
-        new = score + skip[:, t, None]
-        b = np.full((n, CLASSES), -1, np.int8)
+        parts = []
+        at = np.flatnonzero(np.isfinite(skip[who, t]))
+        parts.append((at, ctx[at], score[at] + skip[who[at], t], np.full(len(at), -1, np.int64)))
         for k in range(2):
-            has = np.flatnonzero(emit[k, :, t] >= 0)
-            if len(has):
-                e = emit[k, has, t]
-                via = score[has] + costs[:, e].T
-                prev = via.argmin(axis=1)
-                c = via[np.arange(len(has)), prev] + cost[has, t]
-                better = c < new[has, e]
-                new[has[better], e[better]] = c[better]
-                b[has[better], e[better]] = prev[better]
-        score, back[t] = new, b
-    state = (score + costs[:, EDGE][None, :]).argmin(axis=1)
+            at = np.flatnonzero(emit[k, who, t] >= 0)
+            if len(at):
+                e = emit[k, who[at], t]
+                g = ctx[at] * CLASSES + e
+                parts.append((at, g % CONTEXTS, score[at] + cost[who[at], t] + costs[g], e))
+        at = np.flatnonzero(np.isfinite(edge[who, t]))
+        if len(at):
+            closing = np.where(ctx[at] > 0, costs[ctx[at] * CLASSES + EDGE], 0.0)
+            parts.append((at, np.zeros(len(at), np.int64), score[at] + edge[who[at], t] + closing, np.full(len(at), EDGE)))
+        at, ctx, score, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+        who = who[at]
+        order = np.lexsort((score, who * CONTEXTS + ctx))
+        key = (who * CONTEXTS + ctx)[order]
+        order = order[np.concatenate([[True], key[1:] != key[:-1]])]
+        who, ctx, score = who[order], ctx[order], score[order]
+        back.append((at[order], e[order]))
+    score = score + np.where(ctx > 0, costs[ctx * CLASSES + EDGE], 0.0)
+    order = np.lexsort((score, who))
+    state = order[np.concatenate([[True], who[order][1:] != who[order][:-1]])]
     kept = np.zeros((n, t_max), np.int64)
     for t in range(t_max - 1, -1, -1):
-        prev = back[t, r, state]
-        kept[:, t] = np.where(prev >= 0, state, 0)
-        state = np.where(prev >= 0, prev, state)
-    return ["".join(chr(96 + k) if k < OTHER else c for c, k in zip(w, kept[i], strict=False) if k) for i, w in enumerate(words)]
+        kept[:, t] = back[t][1][state]
+        state = back[t][0][state]
+    return [" ".join("".join(" " if k == EDGE else chr(96 + k) if k < OTHER else c for c, k in zip(w, row, strict=False) if k >= 0).split(" ")).strip()
+            for w, row in zip(words, kept.tolist(), strict=True)]
 
 
 class Restorer:
-    """Finds suspicious words of a slice and keeps the readings of those it has met."""
+    """Finds suspicious spans of a slice and keeps the readings of those it has met."""
 
-    def __init__(self, costs: np.ndarray):
-        self.costs, self.known = costs, {}
+    def __init__(self, model: LetterModel):
+        self.model, self.known = model, {}
 
     def read(self, words: list[bytes]) -> list[bytes]:
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, list(dict.fromkeys(words))
-        for w, v in zip(new, viterbi([w.decode() for w in new], self.costs), strict=True):
+        for w, v in zip(new, viterbi([w.decode(errors="replace") for w in new], self.model), strict=True):
             self.known[w] = v.encode()
         return [self.known[w] for w in words]
 
-    def spans(self, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, row) of the suspicious spans of a slice of lower-case bytes."""
+    def spans(self, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, row, whether only joining is in question) of the suspicious spans of a slice of lower-case bytes."""
         s, e, row = word_spans(d, o)
         if not len(s):
-            return s, e, row
+            return s, e, row, np.zeros(0, bool)
         cls = CLASS[d]
         ascii_letter, letter = (cls > 0) & (cls < OTHER), cls > 0
         run = np.zeros(len(d), bool)
@@ -173,35 +245,36 @@ class Restorer:
         n_letter, n_sign, n_run, n_first = (np.concatenate([[0], np.cumsum(x)]) for x in (ascii_letter, SIGN[d], run, first))
         per = lambda c: c[e] - c[s]
         letters, signs, runs, parts = per(n_letter), per(n_sign), per(n_run), per(n_first)
-        # signs at the edges of a word alone are punctuation, unless letters stand on both sides of one
-        inner = letters.copy() * 0
-        has = np.flatnonzero((letters > 0) & (signs > 0))
-        inner[has] = 1
-        odd = (inner > 0) | (runs > 0) | ((letters >= 3) & (letters == parts) & (letters < e - s) & (letters * 2 - 1 <= e - s))
+        odd = ((letters > 0) & (signs > 0)) | (runs > 0) | ((letters >= 3) & (letters == parts) & (letters < e - s) & (letters * 2 - 1 <= e - s))
         single = (letters + signs >= 1) & (e - s <= 2) & ((letters == 1) | ((e - s == 1) & (signs == 1))) & ~((e - s == 2) & (letters + signs > 1))
-        # three or more single letters in a row of one document: one spaced-out word
+        # three or more single letters in a row of one document, and neighbours better joined: one span
         grp = np.cumsum(np.concatenate([[True], ~(single[1:] & single[:-1] & (row[1:] == row[:-1]))]))
         start = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
-        stop = np.concatenate([start[1:], [len(s)]])
-        long = (stop - start >= 3)
-        in_long = np.repeat(long, stop - start)
-        odd &= ~in_long
-        return (np.concatenate([s[odd], s[start[long]]]), np.concatenate([e[odd], e[stop[long] - 1]]), np.concatenate([row[odd], row[start[long]]]))
+        size = np.diff(np.concatenate([start, [len(s)]]))
+        spaced = np.repeat(size >= 3, size)
+        linked = np.zeros(len(s), bool)                    # with the word before
+        linked[1:] = spaced[1:] & spaced[:-1] & (grp[1:] == grp[:-1])
+        asked = spaced | odd
+        cut = asked | linked
+        begin = np.flatnonzero(~linked)
+        any_of = lambda x: np.logical_or.reduceat(x, begin)
+        take = np.flatnonzero(any_of(cut))
+        end = np.concatenate([begin[1:], [len(s)]]) - 1
+        return s[begin[take]], e[end[take]], row[begin[take]], ~any_of(asked)[take]
 
     def tokens(self, data: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, bucket) of the restored words and stems of a slice, once per row each."""
+        """(row, bucket) of the restored words and stems of a slice, once per row each. """
         d = FOLD[data]
-        s, e, row = self.spans(d, o)
+        s, e, row, joined = self.spans(d, o)
         raw = d.tobytes()
-        words = [bytes(c for c in raw[a:b] if not WHITE[c]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        restored = self.read(words)
+        restored = self.read([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
         plain = d.copy()
-        plain[ragged(s, e - s)] = 32
+        plain[ragged(s[~joined], (e - s)[~joined])] = 32
         plain[CLASS[plain] == 0] = 32
-        size = np.array([len(w) for w in restored], np.int64)
+        size = np.array([w.count(b" ") + 1 if w else 0 for w in restored], np.int64)
         extra = np.frombuffer(b" ".join(restored), np.uint8) if restored else np.zeros(0, np.uint8)
         rows, keys = [], []
-        for x, off, who in ((plain, o, None), (extra, np.array([0, len(extra)]), np.repeat(row, size > 0) if len(size) else row)):
+        for x, off, who in ((plain, o, None), (extra, np.array([0, len(extra)]), np.repeat(row, size))):
             if not len(x):
                 continue
             ws, we, wr = word_spans(x, off)
@@ -217,15 +290,15 @@ class Restorer:
         return both // BUCKETS, both % BUCKETS
 
 
-def restore(text: str, costs: np.ndarray) -> str:
-    """The text in lower case with suspicious words replaced by their readings."""
+def restore(text: str, model: LetterModel) -> str:
+    """The text in lower case with suspicious spans replaced by their readings."""
     raw = np.frombuffer(text.encode(), np.uint8)
     d = FOLD[raw]
-    r = Restorer(costs)
-    s, e, _ = r.spans(d, np.array([0, len(d)]))
+    r = Restorer(model)
+    s, e, *_ = r.spans(d, np.array([0, len(d)]))
     out, at, body = [], 0, d.tobytes()
     for a, b in sorted(zip(s.tolist(), e.tolist(), strict=True)):
-        out += [body[at:a], r.read([bytes(c for c in body[a:b] if not WHITE[c])])[0]]
+        out += [body[at:a], r.read([body[a:b]])[0]]
         at = b
     return b"".join([*out, body[at:]]).decode()
 
@@ -308,12 +381,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per row of ``docs``: ``<id_col>, score``; with ``carry``, also ``text`` and the struct ``row`` of those columns. Labels of rows with crc32(id) mod ``mod`` =
     ``remainder`` are not learnt."""
     sc = docs.sparkSession.sparkContext
-    costs = letter_model(docs, text_col)
+    letters = sc.broadcast(letter_model(docs, text_col))
     t = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     picked = labelled_sample(t, labels, label, mod, remainder, sample)
 
     def learn(batches):
-        r = Restorer(costs)
+        r = Restorer(letters.value)
         for b in batches:
             for lo, hi, d, o in slices(*text_buffers(b.column("text"))):
                 row, bucket = r.tokens(d, o)
@@ -333,7 +406,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     names = carried.columns if wide else ["doc_id"]
 
     def run(batches):
-        r = Restorer(costs)
+        r = Restorer(letters.value)
         for b in batches:
             for lo, hi, d, o in slices(*text_buffers(b.column("text"))):
                 row, bucket = r.tokens(d, o)

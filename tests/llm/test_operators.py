@@ -246,6 +246,20 @@ def test_toxic_words_are_restored(spark):
     assert toxicity.restore("nothing to see", costs) == "nothing to see"
 
 
+def letters(spark):
+    lines = ["you are a loser and a stupid idiot and I hate you", "I hate it when a letter comes, the idiot said", "all i see is a good book that will tell",
+             "stupid letter from a loser in a blue flat", "the black flag on a block is in it as if it is an inn"]
+    return toxicity.letter_model(spark.createDataFrame([(t,) for t in lines * 20], "text string"))
+
+
+def test_letter_model_has_longer_contexts(spark):
+    model = letters(spark)
+    assert [toxicity.restore(t, model) for t in ("1oser", "|oser", "b1ock", "f1ag")] == ["loser", "loser", "block", "flag"]
+    more = toxicity.letter_model(spark.createDataFrame([("other words give other runs of letters",), ("none of both",)], "text string"))
+    assert len(model.codes) > len(more.codes) > 30 and len(set(model.codes.tolist())) == len(model.codes)
+    assert np.exp(-model.costs.reshape(-1, toxicity.CLASSES).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
+
+
 def labelled(spark):
     bad = ["idiot", "1d10t", "loser", "l0ser"]
     out, labels = [], []

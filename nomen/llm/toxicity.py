@@ -44,6 +44,9 @@ COST_SIGN = 1.0      # a sign for its letter
 COST_DROP = 5.0      # a sign for nothing ...
 COST_END = 1.0       # ... or one after the last letter or digit of a word: punctuation
 COST_REPEAT = 0.7    # a letter again for nothing
+COST_WORD = 1.0      # a separator between single letters for a word edge (for nothing: free)
+COST_JOIN = 4.0      # any other separator for nothing (for a word edge: free)
+SHORT = 4            # letters of the shorter of two neighbours that may be one word
 
 EDGE, OTHER, CLASSES = 0, 27, 28
 ORDER = 5
@@ -142,6 +145,12 @@ def _arcs(word: str) -> list[tuple[list[int], float, float, float]]:
     for m in re.finditer(r"[^\s]+", word):
         end = max((i for i in range(m.start(), m.end()) if word[i].isalnum()), default=max(m.start(), at) - 1)
         trailing[end + 1: m.end()] = [True] * max(0, m.end() - end - 1)
+    solid = [c.isalnum() or ord(c) >= 128 or c in LOOKS_LIKE for c in word]
+    alone = [x and not (i and solid[i - 1]) and not (i + 1 < len(word) and solid[i + 1]) for i, x in enumerate(solid)]
+    last = -1                                              # the letter or sign before
+    after = [-1] * (len(word) + 1)                         # the one after
+    for i in range(len(word) - 1, -1, -1):
+        after[i] = i if solid[i] else after[i + 1]
     for i, c in enumerate(word):
         again = np.inf if c != before else COST_REPEAT
         if "a" <= c <= "z":
@@ -150,9 +159,15 @@ def _arcs(word: str) -> list[tuple[list[int], float, float, float]]:
             out.append(([CLASS[ord(x)] for x in LOOKS_LIKE[c]], COST_SIGN, COST_END if trailing[i] else COST_DROP, np.inf))
         elif ord(c) >= 128:
             out.append(([OTHER], 0.0, again, np.inf))
-        else:
+        elif i and not solid[i - 1]:                       # more of the same separator
             out.append(([], 0.0, 0.0, np.inf))
+        elif last >= 0 and after[i] >= 0 and alone[last] and alone[after[i]]:
+            out.append(([], 0.0, 0.0, COST_WORD))
+        else:
+            out.append(([], 0.0, COST_JOIN if last >= 0 and after[i] >= 0 else 0.0, 0.0))
         before = c
+        if solid[i]:
+            last = i
     return out
 
 
@@ -231,6 +246,38 @@ class Restorer:
             self.known[w] = v.encode()
         return [self.known[w] for w in words]
 
+    def joins(self, d: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Pairs (last byte of one, first byte of the next) of letter runs that the model reads better as one word."""
+        at = np.flatnonzero((CLASS[d] > 0) & ((d & 0xC0) != 0x80))
+        if len(at) < 2:
+            return np.zeros((0, 2), np.int64)
+        c = CLASS[d[at]]
+        letter = (CLASS[d] > 0).astype(np.int64)
+        gap = np.concatenate([[0], np.cumsum(1 - letter)])
+        inside = gap[at[1:]] == gap[at[:-1]]
+        text = np.searchsorted(o, at, "right")
+        inside &= text[1:] == text[:-1]
+        first = np.flatnonzero(np.concatenate([[True], ~inside]))
+        size = np.diff(np.concatenate([first, [len(at)]]))
+        # one edge before each run, so that contexts end there
+        spread = np.insert(c, first, EDGE)
+        ctx = _contexts(spread)[np.arange(len(at)) + np.repeat(np.arange(len(first)) + 1, size)]
+        sign = np.concatenate([[0], np.cumsum(SIGN[d])])
+        a, b = first[1:] - 1, first[1:]                    # last letter before, first letter after
+        ok = ((text[a] == text[b]) & (np.minimum(size[:-1], size[1:]) <= SHORT) & (sign[at[b]] == sign[at[a]])
+              & (gap[at[b]] - gap[at[a]] <= 3))
+        a, b, left = a[ok], b[ok], size[1:][ok]
+        costs, joined = self.model.costs, (ctx[a] * CLASSES + c[a]) % CONTEXTS
+        gain = costs[joined * CLASSES + EDGE].astype(float)     # of the word edge, then of what follows it
+        for k in range(ORDER - 1):
+            has = np.flatnonzero(left > k)
+            x = c[b[has] + k]
+            g = joined[has] * CLASSES + x
+            gain[has] += costs[ctx[b[has] + k] * CLASSES + x] - costs[g]
+            joined[has] = g % CONTEXTS
+        better = gain > COST_JOIN
+        return np.stack([at[a[better]], at[b[better]]], axis=1)
+
     def spans(self, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row, whether only joining is in question) of the suspicious spans of a slice of lower-case bytes."""
         s, e, row = word_spans(d, o)
@@ -254,8 +301,11 @@ class Restorer:
         spaced = np.repeat(size >= 3, size)
         linked = np.zeros(len(s), bool)                    # with the word before
         linked[1:] = spaced[1:] & spaced[:-1] & (grp[1:] == grp[:-1])
+        pairs = np.searchsorted(s, self.joins(d, o), "right") - 1
+        linked[pairs[pairs[:, 0] < pairs[:, 1], 1]] = True
         asked = spaced | odd
         cut = asked | linked
+        cut[pairs.ravel()] = True
         begin = np.flatnonzero(~linked)
         any_of = lambda x: np.logical_or.reduceat(x, begin)
         take = np.flatnonzero(any_of(cut))
@@ -263,7 +313,8 @@ class Restorer:
         return s[begin[take]], e[end[take]], row[begin[take]], ~any_of(asked)[take]
 
     def tokens(self, data: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, bucket) of the restored words and stems of a slice, once per row each. """
+        """(row, bucket) of the restored words and stems of a slice, once per row each. Words that were only joined
+        count as written, too."""
         d = FOLD[data]
         s, e, row, joined = self.spans(d, o)
         raw = d.tobytes()

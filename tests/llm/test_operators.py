@@ -252,6 +252,16 @@ def letters(spark):
     return toxicity.letter_model(spark.createDataFrame([(t,) for t in lines * 20], "text string"))
 
 
+def test_toxic_separators_are_decoded(spark):
+    model = letters(spark)
+    assert toxicity.restore("you are a l o s e r", model) == "you are a loser"
+    assert toxicity.restore("I h a t e it", model) == "i hate it"
+    assert toxicity.restore("s t u p i d i d i o t", model) == "stupid idiot"
+    assert toxicity.restore("s.t.u.p.i.d. i.d.i.o.t", model) == "stupid idiot"
+    assert [toxicity.restore(t, model) for t in ("a lo ser", "st upid", "id.iot", "stu pid")] == ["a loser", "stupid", "idiot", "stupid"]
+    assert toxicity.restore("a stupid idiot and a loser", model) == "a stupid idiot and a loser"
+
+
 def test_letter_model_has_longer_contexts(spark):
     model = letters(spark)
     assert [toxicity.restore(t, model) for t in ("1oser", "|oser", "b1ock", "f1ag")] == ["loser", "loser", "block", "flag"]

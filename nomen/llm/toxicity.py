@@ -1,6 +1,6 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a classifier on the restored text.
 
-**Lattice.** A word written with look-alike signs (``1d10t``), with repeated letters (``stuuupid``) or
+**Lattice.** A word written with look-alike signs (``1d10t``), with a letter once more than needed (``stuupid``) or
 cut by separators (``l o s e r``, ``l.o.s.e.r``, ``lo ser``, ``id.iot``) is a lattice: a sign may stand for its look-alike
 letters or for nothing, a repeated letter for itself or for nothing, a separator for nothing or for a word edge. Each
 arc has a channel cost. Three or more single letters in a row are decoded as one run; so are neighbours of which one has at
@@ -43,7 +43,8 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 COST_SIGN = 1.0      # a sign for its letter
 COST_DROP = 5.0      # a sign for nothing ...
 COST_END = 1.0       # ... or one after the last letter or digit of a word: punctuation
-COST_REPEAT = 0.7    # a letter again for nothing
+COST_REPEAT = 0.7    # a letter again for nothing, where it stands three times or more ...
+COST_DOUBLE = 9.0    # ... or just twice: most doubled letters are meant, also in words that the model does not know
 COST_WORD = 1.0      # a separator between single letters for a word edge (for nothing: free)
 COST_JOIN = 4.0      # any other separator for nothing (for a word edge: free)
 SHORT = 4            # letters of the shorter of two neighbours that may be one word
@@ -152,7 +153,7 @@ def _arcs(word: str) -> list[tuple[list[int], float, float, float]]:
     for i in range(len(word) - 1, -1, -1):
         after[i] = i if solid[i] else after[i + 1]
     for i, c in enumerate(word):
-        again = np.inf if c != before else COST_REPEAT
+        again = np.inf if c != before else COST_REPEAT if c in (word[i - 2: i - 1], word[i + 1: i + 2]) else COST_DOUBLE
         if "a" <= c <= "z":
             out.append(([CLASS[ord(c)]], 0.0, again, np.inf))
         elif c in LOOKS_LIKE:
@@ -286,12 +287,12 @@ class Restorer:
         cls = CLASS[d]
         ascii_letter, letter = (cls > 0) & (cls < OTHER), cls > 0
         run = np.zeros(len(d), bool)
-        run[2:] = letter[2:] & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & (d[2:] < 128)
+        run[1:] = letter[1:] & (d[1:] == d[:-1]) & (d[1:] < 128)
         first = letter.copy()
         first[1:] &= ~letter[:-1]
         n_letter, n_sign, n_run, n_first = (np.concatenate([[0], np.cumsum(x)]) for x in (ascii_letter, SIGN[d], run, first))
         per = lambda c: c[e] - c[s]
-        letters, signs, runs, parts = per(n_letter), per(n_sign), per(n_run), per(n_first)
+        letters, signs, runs, parts = per(n_letter), per(n_sign), np.where(e - s > 1, n_run[e] - n_run[np.minimum(s + 1, e)], 0), per(n_first)
         odd = ((letters > 0) & (signs > 0)) | (runs > 0) | ((letters >= 3) & (letters == parts) & (letters < e - s) & (letters * 2 - 1 <= e - s))
         single = (letters + signs >= 1) & (e - s <= 2) & ((letters == 1) | ((e - s == 1) & (signs == 1))) & ~((e - s == 2) & (letters + signs > 1))
         # three or more single letters in a row of one document, and neighbours better joined: one span

@@ -262,6 +262,12 @@ def test_toxic_separators_are_decoded(spark):
     assert toxicity.restore("a stupid idiot and a loser", model) == "a stupid idiot and a loser"
 
 
+def test_toxic_doubled_letters(spark):
+    model = letters(spark)
+    assert toxicity.restore("stuupid iddiot losser", model) == "stupid idiot loser"
+    assert toxicity.restore("a good letter will tell all", model) == "a good letter will tell all"
+
+
 def test_letter_model_has_longer_contexts(spark):
     model = letters(spark)
     assert [toxicity.restore(t, model) for t in ("1oser", "|oser", "b1ock", "f1ag")] == ["loser", "loser", "block", "flag"]

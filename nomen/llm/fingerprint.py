@@ -10,8 +10,8 @@ Lanes:
 
 * ``SUM_LANES`` sums of 32 bits of a hash of the whole paragraph, modulo 2**32: the part
   that decides equality (256 bits);
-* ``16 * COUNT_HASHES`` longs of four counters each, modulo 2**14: each sentence of
-  the paragraph adds the 64 bits of its hash to 64 counters. Centred, two such
+* ``COUNT_LANES * COUNT_HASHES`` longs of two counters each, modulo 2**30 (exact below 2**30 sentences): each
+  sentence of the paragraph adds the 64 bits of its hash to 64 counters. Centred, two such
   counter vectors have a cosine near the share of sentences in common, so
   :func:`likeness` compares texts by their fingerprints alone (the error is about
   ``1 / sqrt(64 * COUNT_HASHES)``);
@@ -37,9 +37,10 @@ from nomen.llm._spark import col, n_parts
 SUM_LANES = 8
 COUNT_HASHES = 2
 MASK32 = (1 << 32) - 1
-BIT0 = 0x0001000100010001   # one bit of each of four 16-bit counters
-MASK14 = 0x3FFF3FFF3FFF3FFF  # counters modulo 2**14: an addition never carries
-LANES = SUM_LANES + 16 * COUNT_HASHES + 2
+COUNT_LANES = 32
+BIT0 = 0x0000000100000001    # one bit of each of two 32-bit counters
+MASK30 = 0x3FFFFFFF3FFFFFFF  # counters modulo 2**30: an addition never carries
+LANES = SUM_LANES + COUNT_LANES * COUNT_HASHES + 2
 BRANCH = 64
 
 
@@ -59,9 +60,9 @@ def _sums(paragraphs: Column, seed: int) -> Column:
 
 
 def _counters(sentences: Column, seed: int) -> Column:
-    """Sixteen lanes of four counters of the bits of one hash of the sentences."""
+    """``COUNT_LANES`` lanes of two counters of the bits of one hash of the sentences."""
     return _let(F.transform(sentences, lambda s: F.xxhash64(F.lit(seed), s)), lambda hashes: F.array(
-        *[_sum(hashes, lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BIT0)), MASK14) for k in range(16)]))
+        *[_sum(hashes, lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BIT0)), MASK30) for k in range(COUNT_LANES)]))
 
 
 def fingerprint(text: Column) -> Column:
@@ -75,7 +76,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def _lane_mask(i: Column) -> Column:
-    return (F.when(i < SUM_LANES, F.lit(MASK32)).when(i < SUM_LANES + 16 * COUNT_HASHES, F.lit(MASK14))
+    return (F.when(i < SUM_LANES, F.lit(MASK32)).when(i < SUM_LANES + COUNT_LANES * COUNT_HASHES, F.lit(MASK30))
             .otherwise(F.lit((1 << 62) - 1)))
 
 
@@ -87,10 +88,10 @@ def insert(fp: Column, paragraphs: Column) -> Column:
 
 def delete(fp: Column, paragraphs: Column) -> Column:
     """Fingerprint after taking those paragraphs away again."""
-    half = SUM_LANES + 16 * COUNT_HASHES
+    half = SUM_LANES + COUNT_LANES * COUNT_HASHES
 
     def less(z: Column, i: Column) -> Column:
-        borrow = F.when(i < SUM_LANES, F.lit(1 << 32)).when(i < half, F.lit(0x4000400040004000)).otherwise(F.lit(0))
+        borrow = F.when(i < SUM_LANES, F.lit(1 << 32)).when(i < half, F.lit(0x4000000040000000)).otherwise(F.lit(0))
         return (borrow + z["a"] - z["b"]).bitwiseAND(_lane_mask(i))
 
     return F.transform(F.arrays_zip(fp.alias("a"), paragraphs.alias("b")), less)
@@ -99,9 +100,9 @@ def delete(fp: Column, paragraphs: Column) -> Column:
 def _centred(fp: Column) -> Column:
     """2 * counter - number of sentences, for each of the 64 * COUNT_HASHES counters."""
     n = F.element_at(fp, LANES - 1)
-    packed = F.slice(fp, SUM_LANES + 1, 16 * COUNT_HASHES)
+    packed = F.slice(fp, SUM_LANES + 1, COUNT_LANES * COUNT_HASHES)
     return F.flatten(F.transform(packed, lambda x: F.array(
-        *[2 * F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0x3FFF)) - n for j in range(4)])))
+        *[2 * F.shiftrightunsigned(x, 32 * j).bitwiseAND(F.lit(0x3FFFFFFF)) - n for j in range(2)])))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -211,6 +211,17 @@ def test_fingerprint(spark, docs, none):
     assert r.same and r.less and r.more and not r.other
 
 
+def test_fingerprint_of_very_long_texts(spark):
+    n = 50_000
+    a, b = ([f"line {i} of {x}" for i in range(n)] for x in "ab")
+    t = spark.createDataFrame([("\n".join(a), "\n".join(b), "\n".join(a[: n // 2] + b[n // 2:]), "same\n" * n)], "a string, b string, half string, same string")
+    t = t.select(*[fingerprint.fingerprint(F.col(c)).alias(c) for c in t.columns]).cache()
+    fp = {c: F.col(c) for c in t.columns}
+    r = t.select(fingerprint.likeness(fp["a"], fp["b"]).alias("other"), fingerprint.likeness(fp["a"], fp["half"]).alias("half"),
+                 fingerprint.likeness(fp["a"], fp["same"]).alias("same"), (fingerprint.delete(fingerprint.insert(fp["a"], fp["same"]), fp["same"]) == fp["a"]).alias("back")).first()
+    assert r.other < 0.35 and r.same < 0.35 and 0.3 < r.half < 0.7 and r.back
+
+
 def test_html():
     page = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>A</a></li>"
             "<li>A very long menu entry which reads like prose, with commas and a full stop at its end.</li></ul></nav><!-- x <p>no</p> --><div class=\"ad\">Buy this now, it is the best product there is, says everyone.</div>"

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from nomen.llm._spark import col
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")    # in order, so that no value is read as a name
 SPACE = re.compile("[\x20\x09-\x0d]+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 

@@ -231,6 +231,16 @@ def test_html():
     assert html_extract.main_text(None) == "" == html_extract.main_text("<nav>x</nav>") and html_extract.main_text("") == ""
 
 
+def test_html_attributes_are_read_by_full_name():
+    p = "<p>A paragraph of the article, long enough to count as text, with a full stop at its end.</p>"
+    want = "A paragraph of the article, long enough to count as text, with a full stop at its end."
+    for tag in ('article data-title="The hidden cost"', 'div title="Hidden valleys"', 'div data-overflow="hidden"', 'div data-id="search-12"', "div data-class='sidebar'",
+                'div title="x" data-x="id=menu class=nav hidden"', 'div class="story"title="a hidden b"'):
+        assert html_extract.main_text(f"<body><{tag}>{p}</{tag.split()[0]}></body>") == want, tag
+    for tag in ("div hidden", "div title='x' HIDDEN=''", 'div data-x="y" aria-hidden="true"', "div id=search-12", 'div style="display: none"'):
+        assert html_extract.main_text(f"<body><{tag}>{p}</div></body>") == "", tag
+
+
 def test_min_cut_is_minimal():
     for _ in range(60):
         n = rng.randrange(1, 8)

@@ -5,7 +5,7 @@ space made one space. A linear classifier gives each block its log-odds of being
 share, tags, and the names of the elements around it); these become the capacities to the source
 (text) or the sink (boilerplate). Edges carry smoothness: between neighbours in page order, and between near
 siblings of one parent element (DOM proximity), so a short paragraph among long ones stays and a long sentence in a
-menu goes. The minimum cut labels the blocks; it is found by maximum flow. Nodes whose terminal capacity exceeds the
+menu goes; the further up their common ancestor, the weaker. The minimum cut labels the blocks; it is found by maximum flow. Nodes whose terminal capacity exceeds the
 sum of their edges have the same label in every minimum cut; they are fixed first, which leaves few nodes to the flow.
 
 Scripts, styles and comments of the mark-up are no text. Pages are parsed in Arrow batches, each page
@@ -48,13 +48,15 @@ GOOD_NAMES = {"article", "body", "content", "entry", "main", "post", "story", "t
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 
 SAME_PARENT, NEIGHBOUR, SIBLING = 1.2, 0.4, 0.6
+LEVELS = 4           # steps up to a common ancestor that count
+NEAR = 2             # sibling edges of a block to earlier ones
 
 
 class Element:
-    __slots__ = ("tag", "aside", "main", "number", "good")
+    __slots__ = ("tag", "aside", "main", "number", "good", "parent")
 
     def __init__(self, tag, parent, attrs, number):
-        self.tag, self.number = tag, number
+        self.tag, self.number, self.parent = tag, number, parent
         self.aside = parent.aside if parent else False
         self.main = parent.main if parent else False
         self.good = parent.good if parent else False
@@ -180,21 +182,31 @@ def log_odds(b: Block, has_main: bool) -> float:
 
 
 def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Smoothness between neighbours in page order and near siblings of one parent."""
+    """Smoothness between neighbours in page order and near siblings of one parent, weaker by the steps up to the
+    common ancestor."""
     out: dict[tuple[int, int], float] = {}
-    last: dict[int, list[int]] = {}
+    last: dict[tuple, list[tuple[int, int]]] = {}
+    before: dict[int, int] = {}
     for i, b in enumerate(blocks):
         key = (b.element.aside, b.element.main)
-        if i:
-            p = blocks[i - 1].element
-            if key == (p.aside, p.main):
-                out[i - 1, i] = SAME_PARENT if p is b.element or p.tag == b.element.tag else NEIGHBOUR
-        group = (b.element.number - 1 if b.tag == "body" else 0, *key, b.tag)
-        near = last.setdefault(hash(group), [])
-        for j in near[-2:]:
-            if j < i - 1:
-                out[j, i] = out.get((j, i), 0.0) + SIBLING
-        near.append(i)
+        levels: dict[int, int] = {}
+        e = b.element
+        while e is not None and len(levels) <= LEVELS:
+            levels[e.number] = len(levels)
+            e = e.parent
+        if i and key == (blocks[i - 1].element.aside, blocks[i - 1].element.main):
+            steps = min((max(k, before[x]) for x, k in levels.items() if x in before), default=LEVELS + 1)
+            out[i - 1, i] = SAME_PARENT if steps <= 1 else NEIGHBOUR * 2 / steps
+        found: dict[int, int] = {}
+        for x, k in levels.items():
+            near = last.setdefault((x, *key), [])
+            for j, level in near[-NEAR - 1:]:
+                if j < i - 1:
+                    found[j] = min(found.get(j, LEVELS), max(1, k, level))
+            near.append((i, k))
+        for j, steps in sorted(found.items(), key=lambda f: (f[1], -f[0]))[:NEAR]:
+            out[j, i] = SIBLING / steps
+        before = levels
     return out
 
 

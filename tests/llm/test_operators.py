@@ -241,6 +241,19 @@ def test_html_attributes_are_read_by_full_name():
         assert html_extract.main_text(f"<body><{tag}>{p}</div></body>") == "", tag
 
 
+def test_html_siblings_have_one_parent():
+    long = ["The first paragraph of a text that is long enough to be one of its own, with a full stop at the end. " * 2, "Another paragraph, as long as that, with a full stop at its end as well. " * 3]
+    text = "".join(f"<p>{p}</p>" for p in long)
+    want = " ".join(p.strip() for p in long)
+    teaser = "<p>More on this <a href='/x'>Stories</a></p>"
+    assert html_extract.main_text(f"<body><div>{text}</div><div>{teaser}</div></body>") == want
+    assert html_extract.main_text(f"<body><div>{text}{teaser}</div></body>") == f"{want} More on this Stories"
+    blocks = html_extract.blocks_of("<body><div><h2>a</h2><p>b</p><pre>c</pre></div><div><div><p>d</p></div></div></body>")
+    edges = html_extract.edges_of(blocks)
+    assert edges[0, 2] == html_extract.SIBLING and edges[0, 1] == edges[1, 2] == html_extract.SAME_PARENT
+    assert edges[2, 3] < html_extract.NEIGHBOUR and edges[1, 3] < html_extract.SIBLING / 2
+
+
 def test_min_cut_is_minimal():
     for _ in range(60):
         n = rng.randrange(1, 8)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nomen.llm._spark import held_out, read
 from nomen.llm.bpe import bpe_encode
+from nomen.llm.context_tree import context_tree_scores
 from nomen.llm.exact_dedup import exact_dedup, normalised
 from nomen.llm.fingerprint import compare_with_edits
 from nomen.llm.html_extract import extract
@@ -90,9 +91,15 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting score of every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    out = context_tree_scores(read(spark, sf_dir, "documents"), held_out("doc_id", 5, 1), carry=[F.col("doc_id")])
+    return out.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_mixing, op4_toxicity, op5_language_id, op6_exact_dedup,
-                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint)}
+                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint, op11_context_tree)}
 
 _NORMAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 

@@ -13,7 +13,7 @@
 The counts are frozen after training, so a text's score is a sum over its byte ``depth + 1``-grams, and the work on Spark
 is a counted lookup of them all:
 
-1. The texts are written once, cut into blocks of about ``BLOCK`` bytes.
+1. The texts are written once, packed, in blocks of about ``BLOCK`` bytes.
 2. Each block asks for its distinct grams (and distinct words, for the base score), with their training counts. A
    common gram is one entry a block, however often it occurs. Asks go to buckets by a hash of the key.
 3. Buckets sum the counts. Distinct grams are dealt by their last ``TOP`` context bytes (at most 256**(depth - TOP + 1)
@@ -48,7 +48,8 @@ from nomen.llm._text import mix64, slices, text_buffers
 
 DEPTH = 5
 TOP = 3                  # contexts of this length and more are weighted inside a task
-BLOCK = 16 << 20         # bytes of text that ask together
+BLOCK = 32 << 20         # bytes of text that ask together
+PIECE = 1 << 20          # bytes of text that are packed together (a longer text is packed alone)
 CHUNK = 4 << 20          # positions worked on at a time
 LOAD = 4_000_000         # keys meant for one task
 GRAM, WORD = 0, 1
@@ -127,59 +128,91 @@ def _unpack_keys(body: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpack(body, n, np.uint64), dtype=np.uint64)
 
 
-def _block_numbers(size: int):
+def _pieces(size: int):
+    """Texts packed into compressed pieces of about ``PIECE`` bytes, and the block that each belongs to."""
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            done = total + np.cumsum(np.diff(text_buffers(b.column(b.num_columns - 1))[1]) + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((np.int64(part) << 32) | (done // size))], names=[*b.schema.names, "block"])
-            total = int(done[-1]) if len(done) else total
+            out = []
+            for lo, hi, d, o in slices(*text_buffers(b.column(2)), PIECE):
+                out.append((part << 32 | total // size, lo, hi, len(d), zlib.compress(np.diff(o).tobytes(), 1), pa.compress(d.tobytes(), "zstd", asbytes=True)))
+                total += len(d) + hi - lo
+            if out:
+                block, lo, hi, n, sizes, texts = zip(*out, strict=True)
+                at = pa.array([*lo, hi[-1]], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, b.column(0)), pa.ListArray.from_arrays(at, b.column(1)), pa.array(block, pa.int64()), pa.array(n, pa.int64()),
+                                                  pa.array(sizes, pa.binary()), pa.array(texts, pa.binary())], names=["rows", "held", "block", "n", "sizes", "texts"])
     return run
 
 
-def _asks(depth: int, buckets: int):
-    """Distinct keys of each block and their training counts, one row per bucket."""
-    def send(block, have):
+def _piece(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a piece."""
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(row["sizes"]), np.int64))])
+    return np.frombuffer(pa.decompress(row["texts"], row["n"], "zstd", asbytes=True), np.uint8), off
+
+
+class Asked:
+    """Distinct keys of a block with their training counts."""
+
+    def __init__(self, depth: int):
+        self.depth, self.waiting, self.size = depth, [], 0
+        self.have = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in (GRAM, WORD)]
+
+    def add(self, data, off, train):
+        self.waiting.append((data, np.diff(off), train))
+        self.size += len(data)
+        if self.size >= CHUNK:
+            self.merge()
+
+    def merge(self):
+        if not self.waiting:
+            return
+        data, length, train = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        off = np.concatenate([[0], np.cumsum(length)])
+        self.waiting, self.size = [], 0
+        parts = [self.have[GRAM]]
+        for g, row in grams(data, off, self.depth):
+            v = np.sort(g << np.uint64(1) | train[row].astype(np.uint64))
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            many = np.diff(np.concatenate([first, [len(v)]]))
+            parts.append((v[first] >> np.uint64(1), np.where(v[first] & np.uint64(1), many, 0)))
+        self.have[GRAM] = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        keys, at, row = words(data, off)
+        n = np.bincount(at, train[row], len(keys)).astype(np.int64)
+        self.have[WORD] = summed(np.concatenate([self.have[WORD][0], keys]), np.concatenate([self.have[WORD][1], n]))
+
+    def asks(self, block: int, buckets: int):
+        """One row per kind and bucket."""
+        self.merge()
         for kind in (GRAM, WORD):
-            keys, n = have[kind]
+            keys, n = self.have[kind]
             b = _bucket(kind, keys, buckets)
             order = np.argsort(b, kind="stable")
             cut = np.searchsorted(b[order], np.arange(buckets + 1))
             for i in np.flatnonzero(np.diff(cut)):
                 at = order[cut[i]: cut[i + 1]]
-                yield kind, int(i), int(block), len(at), _pack_keys(keys[at]), _pack(n[at])
+                yield kind, int(i), block, len(at), _pack_keys(keys[at]), _pack(n[at])
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                                          names=["kind", "bucket", "block", "n", "keys", "counts"])
 
-    def nothing():
-        return [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in (GRAM, WORD)]
+def _asks(depth: int, buckets: int):
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def batch(asked, block):
+        rows = list(asked.asks(block, buckets))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "bucket", "block", "n", "keys", "counts"])
 
     def run(batches):
-        block, have = None, nothing()
+        block, asked = None, None
         for b in batches:
-            numbers, train = b.column(0).to_numpy(), ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            data, off = text_buffers(b.column(2))
-            edges = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1)) if len(numbers) else []
-            for s, e in zip(edges, [*edges[1:], len(numbers)], strict=True):
-                if numbers[s] != block:
-                    if block is not None and (rows := list(send(block, have))):
-                        yield batch(rows)
-                    block, have = numbers[s], nothing()
-                for lo, hi, d, o in slices(data, off[s: e + 1], CHUNK):
-                    parts = [have[GRAM]]
-                    for g, row in grams(d, o, depth):
-                        v = np.sort(g << np.uint64(1) | train[s + lo + row].astype(np.uint64))
-                        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                        many = np.diff(np.concatenate([first, [len(v)]]))
-                        parts.append((v[first] >> np.uint64(1), np.where(v[first] & np.uint64(1), many, 0)))
-                    have[GRAM] = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                    keys, at, row = words(d, o)
-                    n = np.bincount(at, train[s + lo + row], len(keys)).astype(np.int64)
-                    have[WORD] = summed(np.concatenate([have[WORD][0], keys]), np.concatenate([have[WORD][1], n]))
-        if block is not None and (rows := list(send(block, have))):
-            yield batch(rows)
+            for r in b.to_pylist():
+                if r["block"] != block:
+                    if asked:
+                        yield from batch(asked, block)
+                    block, asked = r["block"], Asked(depth)
+                asked.add(*_piece(r), ~np.array(r["held"], bool))
+        if asked:
+            yield from batch(asked, block)
     return run
 
 
@@ -383,32 +416,31 @@ def _answers(batches):
 def _scores(depth: int, tokens: int, kinds: int, ends: int):
     """Adds up the texts of a block. Word values are training counts; ``ends`` training texts end."""
     def table(answers, kind, dtype):
-        rows = [(_unpack_keys(r["keys"], r["n"]), _unpack(r["values"], r["n"], dtype)) for r in answers if r["kind"] == kind]
+        rows = [(_unpack_keys(r["keys"], r["n"]), _unpack(r["values"], r["n"], dtype)) for r in answers.filter(pc.equal(answers["kind"], kind)).to_pylist()]
         keys, values = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, dtype))
         keys, first = np.unique(keys, return_index=True)
         return pd.Index(keys), values[first].astype(float)
 
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        text = docs.column("text").combine_chunks()
-        answers = told.to_pylist()
-        gram_keys, gram_values = table(answers, GRAM, np.float32)
-        word_keys, word_counts = table(answers, WORD, np.float64)
-        del answers
-        n, known, base, score = (np.zeros(len(text)) for _ in range(4))
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        gram_keys, gram_values = table(told, GRAM, np.float32)
+        word_keys, word_counts = table(told, WORD, np.float64)
         word_log = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        data, off = text_buffers(text)
-        for lo, hi, d, o in slices(data, off, CHUNK):
+        out = []
+        for b in texts.select(["held", "n", "sizes", "texts"]).to_batches(1):
+            r = b.to_pylist()[0]
+            d, o = _piece(r)
+            m = len(o) - 1
+            score = np.zeros(m)
             for g, row in grams(d, o, depth):
-                score[lo: hi] += np.bincount(row, gram_values[gram_keys.get_indexer(g)], hi - lo)
+                score += np.bincount(row, gram_values[gram_keys.get_indexer(g)], m)
             keys, at, row = words(d, o)
             c = word_counts[word_keys.get_indexer(keys)] if len(keys) else np.zeros(0)
-            n[lo: hi] += np.bincount(row, minlength=hi - lo)
-            known[lo: hi] += np.bincount(row, (c > 0)[at], hi - lo)
-            base[lo: hi] += np.bincount(row, word_log(c)[at], hi - lo)
-        out = {"row": docs.column("row"), "held_out": docs.column("held"), "n_tokens": (n + 1).astype(np.int64), "n_known": (known + (ends > 0)).astype(np.int64),
-               "train_tokens": np.full(len(text), tokens, np.int64), "base_score": base + word_log(np.float64(ends)), "score": score,
-               "bits_per_byte": -score / math.log10(2) / (np.diff(off) + 1)}
-        return pa.table(out)
+            base = np.bincount(row, word_log(c)[at], m) + word_log(np.float64(ends))
+            out.append((np.array(r["held"], bool), np.bincount(row, minlength=m) + 1, (np.bincount(row, (c > 0)[at], m) + (ends > 0)).astype(np.int64), np.full(m, tokens, np.int64),
+                        base, score, -score / math.log10(2) / (np.diff(o) + 1)))
+        rows = pa.concat_arrays([x.flatten() for x in texts.column("rows").chunks])
+        names = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+        return pa.table({"row": rows} | {k: np.concatenate(v) for k, v in zip(names, zip(*out, strict=True), strict=True)})
     return run
 
 
@@ -421,14 +453,14 @@ def context_tree_scores(docs: DataFrame, held: Column, carry: list[Column], text
     spark = docs.sparkSession
     t = docs.select(F.struct(*carry).alias("row"), F.coalesce(held, F.lit(True)).alias("held"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     row_type = t.schema["row"].dataType.simpleString()
-    t = materialize(t.mapInArrow(_block_numbers(block_bytes), f"row {row_type}, held boolean, text string, block long"), "ctw-texts")
+    t = materialize(t.mapInArrow(_pieces(block_bytes), f"rows array<{row_type}>, held array<boolean>, block long, n long, sizes binary, texts binary"), "ctw-texts")
     buckets = 4 * n_parts(spark)
-    asks = materialize(t.select("block", "held", "text").mapInArrow(_asks(depth, buckets), ASK), "ctw-asks")
+    asks = materialize(t.drop("rows").mapInArrow(_asks(depth, buckets), ASK), "ctw-asks")
     asked = asks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(n_parts(spark), min(buckets, -(-asked // LOAD)))
     counted = materialize(asks.repartition(parts, "kind", "bucket").mapInArrow(_counts, "kind int, bucket int, key long, n long"), "ctw-counts")
 
-    ends = t.where(~F.col("held")).count()
+    ends = t.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
     kinds, tokens = counted.where(f"kind = {WORD} and n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     kinds, tokens = kinds + (ends > 0), tokens + ends
 

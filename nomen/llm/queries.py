@@ -15,6 +15,7 @@ from nomen.llm.fingerprint import compare_with_edits
 from nomen.llm.html_extract import extract
 from nomen.llm.language_id import identify
 from nomen.llm.mixing import taken_words
+from nomen.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from nomen.llm.quality import quality_scores
 from nomen.llm.simhash import simhash_groups
 from nomen.llm.substring_dedup import substring_dedup_digest
@@ -97,9 +98,15 @@ def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    turns, convs = numbered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie(rebuilt(turns, convs), convs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_mixing, op4_toxicity, op5_language_id, op6_exact_dedup,
-                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint, op11_context_tree)}
+                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint, op11_context_tree, op12_prefix_trie)}
 
 _NORMAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 

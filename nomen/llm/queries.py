@@ -18,6 +18,7 @@ from nomen.llm.mixing import taken_words
 from nomen.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from nomen.llm.quality import quality_scores
 from nomen.llm.simhash import simhash_groups
+from nomen.llm.structure_repair import structure_report
 from nomen.llm.substring_dedup import substring_dedup_digest
 from nomen.llm.toxicity import toxicity_scores
 
@@ -104,9 +105,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(turns, convs), convs)
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of the damaged conversations: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    return structure_report(read(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_mixing, op4_toxicity, op5_language_id, op6_exact_dedup,
-                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint, op11_context_tree, op12_prefix_trie)}
+                            op7_simhash, op8_html_extract, op9_bpe, op10_fingerprint, op11_context_tree, op12_prefix_trie, op13_structure_repair)}
 
 _NORMAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 

@@ -470,16 +470,16 @@ PREFIX_CAP = 20
 
 
 def _prefix_sql(cap=PREFIX_CAP):
+    """Level by level; only names under a saturated prefix go on."""
     return f"""
-WITH b AS (SELECT business_type, lower(company_name) AS nm, count(*) AS c FROM ({_REG})
-           WHERE company_name IS NOT NULL AND company_name <> '' GROUP BY 1, 2),
-p AS (SELECT business_type, left(nm, k) AS prefix, CAST(k AS INTEGER) AS depth, CAST(sum(c) AS BIGINT) AS n_names
-      FROM b, unnest(range(1, length(nm) + 2)) AS u(k) GROUP BY 1, 2, 3)
-SELECT p.business_type, p.prefix, p.depth, p.n_names
-FROM p LEFT JOIN p AS up ON up.business_type IS NOT DISTINCT FROM p.business_type AND up.depth = p.depth - 1
-  AND up.prefix = left(p.prefix, p.depth - 1)
-WHERE (p.n_names < {cap} OR length(p.prefix) < p.depth)
-  AND (p.depth = 1 OR (up.n_names >= {cap} AND length(up.prefix) = up.depth))
+WITH RECURSIVE b AS (SELECT business_type, lower(company_name) AS nm, count(*) AS c FROM ({_REG})
+                     WHERE company_name IS NOT NULL AND company_name <> '' GROUP BY 1, 2),
+w AS (SELECT business_type, nm, c, 1 AS depth, CAST(sum(c) OVER (PARTITION BY business_type, left(nm, 1)) AS BIGINT) AS n FROM b
+      UNION ALL
+      SELECT business_type, nm, c, depth + 1, CAST(sum(c) OVER (PARTITION BY business_type, left(nm, depth + 1)) AS BIGINT)
+      FROM w WHERE n >= {cap} AND length(nm) >= depth)
+SELECT DISTINCT business_type, left(nm, depth) AS prefix, CAST(depth AS INTEGER) AS depth, n AS n_names
+FROM w WHERE n < {cap} OR length(nm) < depth
 """
 
 

@@ -1,5 +1,7 @@
 import os
+import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,40 @@ def test_prefix_partition_caps(spark):
     assert {(r.prefix, r.n_names) for r in leaves if r.n_names >= 50} == {("zz", 60)}
 
 
+def _walk(names, cap, max_depth=None):
+    """The prefix walk itself: deepen while a prefix holds ``cap`` names."""
+    out, todo = {}, [(g, "", 0) for g in {g for g, _ in names}]
+    while todo:
+        g, prefix, depth = todo.pop()
+        below = {}
+        for k, n in names:
+            if k == g and n[:depth] == prefix and len(prefix) == depth:
+                below[n[:depth + 1]] = below.get(n[:depth + 1], 0) + 1
+        for p, n in below.items():
+            if n >= cap and len(p) == depth + 1 and depth + 1 != max_depth:
+                todo.append((g, p, depth + 1))
+            else:
+                out[g, p, depth + 1] = n
+    return out
+
+
+@pytest.mark.parametrize(("parts", "max_depth"), [(1, None), (7, None), (7, 2)])
+def test_prefix_partition_against_walk(spark, parts, max_depth):
+    rng = random.Random(parts)
+    names = [(rng.choice(["x", "y", None]), "".join(rng.choice("aab\u00e9\U0001F600") for _ in range(rng.randrange(1, 7)))) for _ in range(600)] + [("x", "long" * 9)] * 8
+    df = spark.createDataFrame([(*n, "other") for n in names] + [("x", None, ""), ("x", "", "")], "kind string, name string, prefix string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.kind, r.prefix, r.depth): r.n_names for r in ST.prefix_partition(df, "name", ["kind"], cap=5, max_depth=max_depth).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == _walk(names, 5, max_depth)
+    assert ST.prefix_partition(df.limit(0), "name", ["kind"]).count() == 0
+
+
 def test_stream_equals_batch(spark, tmpdir_path):
     pages = I.registry_pages(spark, SF_SMALL)
     src = os.path.join(tmpdir_path, "src")

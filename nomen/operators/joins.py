@@ -29,7 +29,7 @@ def hot_hashes(probe: DataFrame, keys: list[str], min_rows: int | None = None) -
     counts = probe.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     if min_rows is None:
         loads = LOADS_PER_TASK * int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        total = probe.agg(F.count(F.lit(1))).scalar()
+        total = counts.agg(F.sum("_n")).scalar()                 # from the counts' own exchange, not from the probe again
         load = F.greatest(F.lit(MIN_HOT_ROWS), F.ceil(total / F.lit(loads)))
     else:
         load = F.lit(min_rows)

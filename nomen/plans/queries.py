@@ -764,3 +764,56 @@ def q_match_join_tiers(spark, sf):
     oracle is the brute-force cross join."""
     return M.best_per_tier(I.part_owners(spark, sf), I.registry_names(spark, sf),
                            owner_col="raw_owner", company_col="company_name")
+
+
+# ---------------------------------------------------------------------------
+# the concurrent matcher over the whole registry (many to many)
+
+from nomen.operators import overlap as OV  # noqa: E402
+
+_MM_O = f"SELECT owner, {Q.normalize_words('owner')} AS sn FROM (SELECT DISTINCT raw_owner AS owner FROM ({Q.part_owners()})) WHERE owner IS NOT NULL"
+_MM_C = f"SELECT cn, min(company_name) AS company FROM (SELECT company_name, {Q.normalize_words('company_name')} AS cn FROM (SELECT DISTINCT company_name FROM ({Q.registry_names()}))) WHERE cn <> '' GROUP BY cn"
+_MM_OVERLAP_SQL = f"""
+WITH o AS (SELECT owner, list_distinct(string_split(sn, ' ')) AS sw FROM ({_MM_O}) WHERE sn <> ''),
+c AS (SELECT company, list_distinct(string_split(cn, ' ')) AS cw FROM ({_MM_C})),
+ow AS (SELECT owner, len(sw) AS n, unnest(sw) AS word FROM o),
+cw AS (SELECT company, unnest(cw) AS word FROM c),
+p AS (SELECT owner, company, count(*) / any_value(n) AS confidence FROM ow JOIN cw USING (word) GROUP BY owner, company)
+SELECT owner, arg_min(company, (-confidence, company)) AS matched_name, max(confidence) AS confidence
+FROM p WHERE confidence >= 0.7 GROUP BY owner
+"""
+_MM_CONTAIN_SQL = f"""
+SELECT owner, min(company) AS matched_name, CAST(1.0 AS DOUBLE) AS confidence
+FROM ({_MM_O}) o, ({_MM_C}) c WHERE sn <> '' AND (contains(cn, sn) OR contains(sn, cn)) GROUP BY owner
+"""
+
+
+def _mm_owners(spark, sf):
+    return I.part_owners(spark, sf).select(F.col("raw_owner").alias("owner"))
+
+
+@register("match_join_overlap", _MM_OVERLAP_SQL)
+def q_match_join_overlap(spark, sf):
+    """match_overlap many to many: every owner's best company by shared words (0.7 or more), over the whole registry."""
+    return OV.best_overlap(_mm_owners(spark, sf), I.registry_names(spark, sf))
+
+
+@register("match_join_containment", _MM_CONTAIN_SQL)
+def q_match_join_containment(spark, sf):
+    """match_containment many to many: every owner's smallest company that contains it or lies in it."""
+    return OV.best_containment(_mm_owners(spark, sf), I.registry_names(spark, sf))
+
+
+_MM_BEST_SQL = f"""
+SELECT o.owner, b.matched_name, coalesce(b.confidence, 0.0) AS confidence,
+       CASE WHEN b.confidence = 1.0 THEN 'contains' WHEN b.confidence > 0 THEN 'overlap' ELSE 'none' END AS tier, b.confidence IS NOT NULL AS is_match
+FROM (SELECT DISTINCT owner FROM ({_MM_O})) o LEFT JOIN (
+  SELECT owner, arg_min(matched_name, (-confidence, matched_name)) AS matched_name, max(confidence) AS confidence
+  FROM (SELECT * FROM ({_MM_OVERLAP_SQL}) UNION ALL SELECT * FROM ({_MM_CONTAIN_SQL})) GROUP BY owner) b USING (owner)
+"""
+
+
+@register("match_join_concurrent", _MM_BEST_SQL)
+def q_match_join_concurrent(spark, sf):
+    """The concurrent matcher as a whole: containment either way, else word overlap, best company per owner."""
+    return OV.best_match_overlap(_mm_owners(spark, sf), I.registry_names(spark, sf))

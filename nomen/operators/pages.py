@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomen.functions import text as T
+from nomen.operators import tree as E
 
 # Class markers of the registry's result mark-up.
 BLOCK_CLASS = "registerItemSearch-results-page-line"
@@ -68,6 +69,9 @@ def _has_classes(classes: list[str]) -> str:
     return 'class="' + "".join('(?=[^"]*' + _token(c) + ")" for c in classes) + '[^"]*"'
 
 
+DIV_TAG_RE = r"(?i)(?=</?div[\s>])"
+
+
 def balanced(fragment) -> Column:
     """The ``div`` that a fragment starts with, up to its own closing tag (the
     whole fragment when it is never closed)."""
@@ -80,7 +84,10 @@ def balanced(fragment) -> Column:
         return T.let(F.aggregate(pieces, start, step), lambda a: F.when(
             a["closed"], F.concat(F.array_join(F.slice(pieces, F.lit(1), F.greatest(a["n"] - 1, F.lit(0))), ""), F.lit("</div>")))
             .otherwise(F.array_join(pieces, "")))
-    return T.let(F.split(fragment, r"(?i)(?=</?div[\s>])"), cut)
+    # most have no div inside: closed by the next div tag, and nothing behind it is looked at
+    return T.let(F.split(fragment, DIV_TAG_RE, 3), lambda near: F.when(
+        (F.size(near) > 1) & F.startswith(near[1], F.lit("</")), F.concat(near[0], F.lit("</div>")))
+        .otherwise(T.let(F.split(fragment, DIV_TAG_RE), cut)))
 
 
 def first_div(block, attr: str) -> Column:
@@ -147,6 +154,14 @@ class FieldSpec:
     def column(self, block) -> Column:
         return T.let(self.raw(block), lambda v: F.when(v != "", v))
 
+    def find(self, part: Column) -> Column:
+        """The same value from a block's slice of the element tree: quotes and case of the mark-up do not matter."""
+        box = E.first(part, E.sel("div", self.container))
+        hit = box
+        if self.value is not None or self.tag is not None:
+            hit = T.let(box, lambda b: E.first(E.inside(b), E.sel(self.tag, [self.value] if self.value else [], without=self.exclude)))
+        return T.let(E.glued(hit), lambda v: F.when(v != "", v))
+
 
 # Field list of the listing extractor and of the detail extractor.
 LISTING_FIELDS = [
@@ -247,25 +262,29 @@ def extract_details(blocks: DataFrame, block: str = "block") -> DataFrame:
 
 
 def extract_previous_names(block) -> Column:
+    """Previous names of a block's mark-up (see :func:`previous_names`)."""
+    return T.let(E.elements(block), previous_names)
+
+
+def previous_names(nodes: Column) -> Column:
     """Previous names, ordered distinct: the texts of name and value elements
     inside the previous-names section (the first marker of the list that
     occurs), labels left out; if there are none, the section's texts of more
     than three characters that do not say "previously"."""
-    b = block if isinstance(block, Column) else F.col(block)
-    marked = [first_div(b, _has_classes([c])) for c in PREVIOUS_CLASSES]
-    boxes = F.filter(all_elements(b, "div", _has_classes([BOX_CLASS])), lambda x: x.rlike(
-        r'(?is)^<div[^>]*>[^<]*<span[^>]*class="[^"]*' + _token(LABEL_CLASS) + r'[^"]*"[^>]*>[^<]*previously known as'))
-    section = F.coalesce(*[T.let(m, lambda x: F.when(x != "", x)) for m in marked], F.get(boxes, F.lit(0)), F.lit(""))
-
-    def names(sect):
-        inner = F.regexp_replace(sect, "^<[^>]*>", "")
-        entries = F.filter(all_elements(inner, "div|span", class_like("Name|" + VALUE_CLASS)),
-                           lambda x: ~x.rlike(r'^<[^>]*class="[^"]*' + _token(LABEL_CLASS)))
-        found = F.filter(F.transform(entries, glued_text), lambda v: (v != "") & ~F.lower(v).isin("previously known as", "name"))
-        texts = F.filter(F.transform(F.split(inner, "<[^>]+>"), lambda t: T.collapse_space(T.unescape(t))),
+    def labelled(box):
+        label = F.get(box, F.lit(1))
+        return F.coalesce(E.sel("span", [LABEL_CLASS])(label) & F.contains(F.lower(label["text"]), F.lit("previously known as")), F.lit(False))
+
+    def names(section):
+        found = F.filter(F.transform(E.each(E.inside(section), E.sel("div|span", like="Name|" + VALUE_CLASS, without=[LABEL_CLASS])), E.glued),
+                         lambda v: (v != "") & ~F.lower(v).isin("previously known as", "name"))
+        texts = F.filter(F.transform(E.strings(section), lambda t: T.collapse_space(T.unescape(t))),
                          lambda t: (F.length(t) > 3) & ~F.contains(F.lower(t), F.lit("previously")))
         return T.let(F.array_distinct(found), lambda f: F.when(F.size(f) > 0, f).otherwise(texts))
-    return T.let(section, names)
+
+    boxes = F.filter(E.each(nodes, E.sel("div", [BOX_CLASS])), labelled)
+    section = F.coalesce(*[E.first(nodes, E.sel("div", [c])) for c in PREVIOUS_CLASSES], F.get(boxes, F.lit(0)))
+    return T.let(section, lambda x: F.when(x.isNull(), F.array().cast("array<string>")).otherwise(names(x)))
 
 
 def first_result_block(html) -> Column:
@@ -306,8 +325,7 @@ def filter_registry(listing: DataFrame, types=None, status: str = "Active") -> D
 
 
 # Name-candidate selectors in order, as (tag, attribute, substring);
-# the positional ``:first-child`` selectors are not expressible this way and
-# are left out.
+# the positional ``:first-child`` ones follow them in ``name_candidates``.
 CANDIDATE_SELECTORS = [
     ("a", "class", "viewMenu"), ("div", "class", "name"), ("h3", None, None), ("h2", None, None),
     ("h1", None, None), ("span", "class", "title"), ("div", "class", "title"), ("a", "href", "view"),
@@ -364,6 +382,92 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# whole pages on the element tree
+
+def tree_listing(pages: DataFrame, html: str = "html", keys=("page_id",)) -> DataFrame:
+    """``keys..., pos`` and the listing fields of every result block, by the element tree: nested and
+    badly closed blocks, other quotes and upper-case tags read as the fallback parser reads them. A page
+    without blocks gives no row. The tree is made once per page; its blocks are slices of it."""
+    d = pages.select(*keys, E.elements(html).alias("_n"))
+    d = d.select(*keys, F.posexplode(E.each(F.col("_n"), E.sel("div", [BLOCK_CLASS]))).alias("pos", "_b"))
+    return d.select(*keys, (F.col("pos") + 1).alias("pos"), *[s.find(E.inside(F.col("_b"))).alias(s.name) for s in LISTING_FIELDS])
+
+
+def parse_pages(pages: DataFrame, name_col: str = "search", html_col: str = "html") -> DataFrame:
+    """The rows of ``parse_pages_with(parse_business_details)`` without Python: every result block of every page
+    with ``success``, a page without blocks as one row without fields, a missing page as one with an error."""
+    d = pages.select(F.col(name_col).alias("business_name"), F.col(html_col).isNotNull().alias("success"), E.elements(html_col).alias("_n"))
+    d = d.select("business_name", "success", F.explode_outer(E.each(F.col("_n"), E.sel("div", [BLOCK_CLASS]))).alias("_b"))
+    names = {"business_name": "company_name", "inc_date": "incorporation_date"}
+    d = d.select("business_name", "success", F.when(~F.col("success"), F.lit("no page")).alias("error_message"),
+                 *[s.find(E.inside(F.col("_b"))).alias("_" + s.name) for s in LISTING_FIELDS])
+    return d.select("business_name", "success", "error_message", *[F.col("_" + k).alias(names.get(k, k)) for k in
+                                                                  ("business_name", "status", "business_type", "inc_date", "location")])
+
+
+# The positional selectors at the end of the candidate list.
+FIRST_CHILD_TAGS = ["div", "a"]
+# Selectors of rows that may hold a label and a value, in order; "div > div" comes last.
+ROW_SELECTORS = [("div", "row"), ("tr", None), ("div", "item"), ("div", "field"), ("div", "detail"), ("p", None)]
+LINK_SKIPPED = ["http", "www", "mailto:"]
+
+
+def _piece_text(part: Column) -> Column:
+    """Text pieces trimmed and glued, references decoded."""
+    return F.trim(T.unescape(F.array_join(E.strings(part), "")))
+
+
+def name_candidates(nodes: Column) -> Column:
+    """Texts of the ordered selector list, the positional ones included (an element without an element
+    before it under its parent), ordered distinct, longer than two characters, no navigation words."""
+    found = []
+    for tag, attr, sub in CANDIDATE_SELECTORS:
+        found.append(E.each(nodes, E.sel(tag, like=sub if attr == "class" else None, href=sub if attr == "href" else None)))
+    firsts = E.first_children(nodes)
+    for tag in FIRST_CHILD_TAGS:
+        found.append(F.transform(F.filter(firsts, E.sel(tag)), lambda n: E.content(nodes, n)))
+    texts = F.array_distinct(F.flatten(F.array(*[F.transform(f, _piece_text) for f in found])))
+    return F.filter(texts, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*NAV_WORDS))
+
+
+def label_value_rows(nodes: Column) -> Column:
+    """``array<struct<label, value>>`` of every row that the row selectors find, in selector and page order;
+    a row that reads both ways (colon, bold) gives two. ``nodes`` with their closing tags."""
+    rows = [E.each(nodes, E.sel(tag, like=like)) for tag, like in ROW_SELECTORS]
+    children = F.array_sort(F.flatten(F.transform(E.each(nodes, E.sel("div")), lambda part: F.filter(
+        part, lambda n: (n["depth"] == part[0]["depth"] + 1) & (n["tag"] == "div")))))
+    rows.append(F.transform(children, lambda n: E.content(nodes, n)))
+    marks = F.transform(F.flatten(F.array(*rows)), E.mark_up)
+    pairs = F.transform(marks, lambda m: F.array(label_value_pair(m, COLON_RE), label_value_pair(m, BOLD_RE)))
+    return F.filter(F.flatten(pairs), lambda x: x.isNotNull())
+
+
+def first_link_text(nodes: Column) -> Column:
+    """Text of the first link with an address and nothing but a text of more than two characters that is no address itself."""
+    def text(part):
+        alone = (F.size(part) == 1) & (part[0]["href"] != "")
+        t = _piece_text(part)
+        return T.let(t, lambda x: F.when(alone & (F.length(x) > 2) & ~F.lower(x).rlike("^(" + "|".join(LINK_SKIPPED) + ")"), x))
+    return F.get(F.filter(F.transform(E.each(nodes, E.sel("a")), text), lambda x: x.isNotNull()), F.lit(0))
+
+
+def company_candidate(pages: DataFrame, html: str = "html", keys=("page_id",)) -> DataFrame:
+    """``keys..., company_name, source, details`` of a page by the general flow: the longest candidate of
+    3 to 100 characters, else the first link's text (``source`` tells which), and the label/value rows as a
+    map in which a later row wins."""
+    d = pages.select(*keys, E.elements(html, closing=True).alias("_n"))
+    n = F.col("_n")
+    plain = F.filter(n, lambda x: (x["tag"] != "") | (x["text"] != ""))
+    fit = F.filter(name_candidates(n), lambda x: F.length(x).between(3, 100))
+    d = d.select(*keys, F.aggregate(fit, F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc)), x).otherwise(acc)).alias("_best"),
+                 T.let(F.transform(plain, lambda x, i: x.withField("i", i)), first_link_text).alias("_link"), label_value_rows(n).alias("_rows"))
+    last = F.filter("_rows", lambda x, i: ~F.exists(F.slice("_rows", i + 2, F.size("_rows")), lambda y: y["label"] == x["label"]))
+    return d.select(*keys, F.coalesce("_best", "_link").alias("company_name"),
+                    F.when(F.col("_best").isNotNull(), "candidate").when(F.col("_link").isNotNull(), "link").alias("source"),
+                    F.map_from_entries(last).alias("details"))
+
+
 # ---------------------------------------------------------------------------
 # rendering registry records as result mark-up (the inverse of the extractors)
 
@@ -436,19 +540,24 @@ CONCURRENT_STATUS_RE = r"Active|Inactive|Refer to Ministry"
 CONCURRENT_TYPE_RE = r"Co-operative|Corporation|Credit Union"
 
 
+COLON_RE = r"(?is)^(.*?)[:：]\s*(.*)$"
+BOLD_RE = r"(?is)<b>(.*?)</b>\s*(.*?)(?=<br|<p|$)"
+
+
+def label_value_pair(row: Column, pattern: str) -> Column:
+    """struct(label upper-cased, value) of one mark-up row read by ``pattern``, NULL outside the limits
+    (row 10-1000 chars, label < 50, value < 200)."""
+    def pair(lbl, val):
+        ok = ((F.length(row) >= ROW_MIN) & (F.length(row) <= ROW_MAX) & (lbl != "") & (val != "")
+              & (F.length(lbl) < LABEL_MAX) & (F.length(val) < VALUE_MAX))
+        return F.when(ok, F.struct(lbl.alias("label"), val.alias("value")))
+    return pair(F.upper(F.trim(F.regexp_extract(row, pattern, 1))), F.trim(F.regexp_extract(row, pattern, 2)))
+
+
 def extract_label_value(row) -> Column:
-    """``label: value`` (ASCII or full-width colon) or ``<b>label</b> value``
-    of one mark-up row -> struct(label upper-cased, value), NULL outside the
-    limits (row 10-1000 chars, label < 50, value < 200)."""
+    """``label: value`` (ASCII or full-width colon), else ``<b>label</b> value`` of one mark-up row."""
     r = row if isinstance(row, Column) else F.col(row)
-    colon = r"(?is)^(.*?)[:：]\s*(.*)$"
-    bold = r"(?is)<b>(.*?)</b>\s*(.*?)(?=<br|<p|$)"
-    has_colon = r.rlike(colon)
-    lbl = F.upper(F.trim(F.when(has_colon, F.regexp_extract(r, colon, 1)).otherwise(F.regexp_extract(r, bold, 1))))
-    val = F.trim(F.when(has_colon, F.regexp_extract(r, colon, 2)).otherwise(F.regexp_extract(r, bold, 2)))
-    ok = ((F.length(r) >= ROW_MIN) & (F.length(r) <= ROW_MAX) & (lbl != "") & (val != "")
-          & (F.length(lbl) < LABEL_MAX) & (F.length(val) < VALUE_MAX))
-    return F.when(ok, F.struct(lbl.alias("label"), val.alias("value")))
+    return F.when(r.rlike(COLON_RE), label_value_pair(r, COLON_RE)).otherwise(label_value_pair(r, BOLD_RE))
 
 
 def longest_address(addresses) -> Column:
@@ -490,17 +599,34 @@ def _first_wins(entries: Column) -> Column:
     return F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda y: y["k"] == x["k"]))
 
 
-def _first_like(box: Column, names: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> Column:
-    """The first element inside ``box`` with a class like ``names``."""
-    return F.regexp_extract(box, r"(?s)^<[^>]*>.*?(<(" + tag + r")\b[^>]*" + class_like(names) + r"[^>]*>.*?(?:</\2\s*>|$))", 1)
+def _first_like(part: Column, names: str, tag: str | None = None) -> Column:
+    """The first element inside a slice with a class like ``names``; null when there is none."""
+    return E.first(E.inside(part), E.sel(tag, like=names))
+
+
+def _row_pair(row: Column) -> Column:
+    """Label and value of a row: its first label-like and value-like elements;
+    when either is missing, the first of its classed elements that is a
+    ``label`` and the one after it."""
+    def either(label, value):
+        classed = F.filter(E.inside(row), lambda n: E.sel("span|div")(n) & (F.trim(n["cls"]) != ""))
+
+        def search(ns):
+            at = F.array_position(F.transform(ns, lambda n: F.contains(n["cls"], F.lit(" label ")) | F.contains(n["cls"], F.lit(" Label "))), True).cast("int")
+            return T.let(at, lambda p: F.when((p > 0) & (F.size(ns) > 1), F.struct(
+                _label(E.content(row, ns[p - 1])).alias("k"),
+                F.when(p < F.size(ns), E.spaced(E.content(row, F.get(ns, p)))).otherwise(E.spaced(value)).alias("v")))
+                .otherwise(F.struct(F.lit("").alias("k"), F.lit("").alias("v"))))
+        return F.when(label.isNotNull() & value.isNotNull(), F.struct(_label(label).alias("k"), E.spaced(value).alias("v"))).otherwise(T.let(classed, search))
+    return T.let(_first_like(row, LABEL_LIKE), lambda label: T.let(_first_like(row, ROW_VALUE_LIKE), lambda value: either(label, value)))
 
 
 def _kv(k: Column, v: Column) -> Column:
     return F.struct(k.alias("k"), v.alias("v"))
 
 
-def _label(x: Column) -> Column:
-    return F.upper(F.regexp_replace(glued_text(x), r"^:+|:+$", ""))
+def _label(part: Column) -> Column:
+    return F.upper(F.regexp_replace(E.glued(part), r"^:+|:+$", ""))
 
 
 def extract_company_fields(blocks: DataFrame, block: str = "block") -> DataFrame:
@@ -518,27 +644,23 @@ def extract_company_fields(blocks: DataFrame, block: str = "block") -> DataFrame
     """
     from nomen.operators import reports as R
     keep = [c for c in blocks.columns if c != block]
-    b = F.col("_in")
-    link = F.regexp_extract(b, r"(?s)<a\b[^>]*" + class_like(LINK_LIKE) + "[^>]*>(.*?)</a>", 1)
-    boxes = F.filter(all_elements(b, "div", class_like(ADDRESS_LIKE)), lambda x: ~(
-        x.rlike(r'^<div[^>]*class="[^"]*' + _token(ADDRESS_CLASSES[0]))
-        & ~x.rlike(r'(?s)^<[^>]*>.*<div[^>]*class="[^"]*' + _token(ADDRESS_VALUE_CLASS))))
-    rows = F.transform(all_elements(b, "div", class_like(ROW_LIKE)), lambda x: F.struct(
-        _label(_first_like(x, LABEL_LIKE)).alias("k"), spaced_text(_first_like(x, ROW_VALUE_LIKE)).alias("v")))
-    subtype = glued_text(_first_like(first_div(b, class_like(SUBTYPE_LIKE)), VALUE_LIKE))
-    reg_date = glued_text(_first_like(first_div(b, class_like(REGISTERED_LIKE)), VALUE_LIKE, "span"))
-    d = blocks.select(*keep, F.regexp_replace(F.col(block), "^<[^>]*>", "").alias("_in"))
+    n = F.col("_n")
+    boxes = F.filter(E.each(n, E.sel("div", like=ADDRESS_LIKE)), lambda x: ~(
+        F.contains(x[0]["cls"], F.lit(f" {ADDRESS_CLASSES[0]} ")) & ~F.exists(E.inside(x), E.sel("div", [ADDRESS_VALUE_CLASS]))))
+    d = blocks.select(*keep, E.inside(E.elements(block)).alias("_n"))
     d = d.select(
-        *keep, glued_text(link).alias("_name"),
-        glued_text(first_div(b, class_like(REGISTRY_LIKE))).alias("_reg"),
-        glued_text(_first_like(first_div(b, class_like(STATUS_LIKE)), VALUE_LIKE)).alias("_status"),
-        F.transform(boxes, spaced_text).alias("_addrs"),
-        extract_previous_names(b).alias("_prev"),
-        rows.alias("_rows"), subtype.alias("_subtype"), reg_date.alias("_regdate"),
+        *keep, E.glued(E.first(n, E.sel("a", like=LINK_LIKE))).alias("_name"),
+        E.glued(E.first(n, E.sel("div", like=REGISTRY_LIKE))).alias("_reg"),
+        E.glued(_first_like(E.first(n, E.sel("div", like=STATUS_LIKE)), VALUE_LIKE)).alias("_status"),
+        F.transform(boxes, E.spaced).alias("_addrs"),
+        previous_names(n).alias("_prev"),
+        F.transform(E.each(n, E.sel("div", like=ROW_LIKE)), _row_pair).alias("_rows"),
+        E.glued(_first_like(E.first(n, E.sel("div", like=SUBTYPE_LIKE)), VALUE_LIKE)).alias("_subtype"),
+        E.glued(_first_like(E.first(n, E.sel("div", like=REGISTERED_LIKE)), VALUE_LIKE, "span")).alias("_regdate"),
         # labels and values in page order
-        F.transform(all_elements(b, "div|span", class_like(ROW_VALUE_LIKE + "|" + LABEL_LIKE)), lambda x: F.struct(
-            x.rlike("^<[^>]*" + class_like("appMinimalLabel|label")).alias("is_label"),
-            F.when(x.rlike("^<[^>]*" + class_like("appMinimalLabel|label")), _label(x)).otherwise(spaced_text(x)).alias("t"))).alias("_seq"))
+        F.transform(E.each(n, E.sel("div|span", like=ROW_VALUE_LIKE + "|" + LABEL_LIKE)), lambda x: T.let(
+            E.sel(like="appMinimalLabel|label")(x[0]), lambda is_label: F.struct(
+                is_label.alias("is_label"), F.when(is_label, _label(x)).otherwise(E.spaced(x)).alias("t")))).alias("_seq"))
 
     pairs = F.transform("_rows", lambda e: _kv(e["k"], F.when(
         F.contains(F.lower(e["k"]), F.lit("date")), F.replace(e["v"], F.lit(","), F.lit(""))).otherwise(e["v"])))

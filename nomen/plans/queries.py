@@ -560,6 +560,18 @@ def q_parse_pages_python(spark, sf):
     return U.parse_pages_with(I.registry_pages(spark, sf))
 
 
+@register("parse_pages_tree", _ALL_BLOCKS)
+def q_parse_pages_tree(spark, sf):
+    """parse_business_details on the element tree: every result block of every page, no Python."""
+    return P.parse_pages(I.registry_pages(spark, sf))
+
+
+@register("page_candidates")
+def q_page_candidates(spark, sf):
+    """The general flow on every page: candidate name (all selectors, else the first link) and label/value rows."""
+    return P.company_candidate(I.table(spark, sf, "pages")).select("page_id", "company_name", "source", F.map_entries("details").alias("details"))
+
+
 @register("stream_listing",
           f"SELECT company_name || ' (' || corporation_number || ')' AS business_name, "
           f"coalesce(business_type, 'N/A') AS business_type, coalesce(registration_date, 'N/A') AS inc_date, "

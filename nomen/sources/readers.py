@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from nomen.functions.names import py_strip
 from nomen.operators import reports as R
+from nomen.sources.geojson import feature_texts
 
 PROPS = T.MapType(T.StringType(), T.StringType())
 FEATURE = T.StructType([
@@ -48,13 +49,18 @@ ENTRY_SEP = "\n" + R.RULE + "\nBUSINESS LOOKUP #"
 RESULT_SEP = "--- Result #"
 
 
-def read_geojson_features(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_geojson_features(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Features of GeoJSON files: a FeatureCollection's ``features``, or a
-    bare Feature as a one-element list; features without properties skipped.
+    bare Feature; features without properties skipped.
 
-    ``multiline=True`` reads whole documents (one task per file); for large
-    inputs write one Feature per line and pass ``multiline=False`` (splittable).
+    By default a file is cut at byte ranges, so that one large document is
+    read by many tasks (:mod:`nomen.sources.geojson`). ``multiline=True`` reads
+    every document whole (one task per file), ``multiline=False`` files with one
+    Feature per line.
     """
+    if multiline is None:
+        d = feature_texts(spark, path).select(F.from_json("text", FEATURE).alias("f")).select("f.*")
+        return d.where((F.col("type") == "Feature") & F.col("properties").isNotNull())
     if not multiline:
         d = spark.read.schema(FEATURE).json(path)
         return d.where(F.col("properties").isNotNull())
@@ -66,7 +72,7 @@ def read_geojson_features(spark: SparkSession, path: str, multiline: bool = True
     return d.select(F.inline(feats)).where(F.col("properties").isNotNull())
 
 
-def read_owners(spark: SparkSession, path: str, owner_field: str = "OWNERNAME", multiline: bool = True) -> DataFrame:
+def read_owners(spark: SparkSession, path: str, owner_field: str = "OWNERNAME", multiline: bool | None = None) -> DataFrame:
     """``owner`` = stripped ``properties[owner_field]``; NULL / empty skipped."""
     f = read_geojson_features(spark, path, multiline)
     o = py_strip(F.col("properties")[owner_field])

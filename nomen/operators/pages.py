@@ -225,6 +225,18 @@ def extract_listing(blocks: DataFrame, block: str = "block") -> DataFrame:
     return d.select(*keep, *[F.coalesce(F.col(s.name), F.lit(NOT_AVAILABLE)).alias(s.name) for s in LISTING_FIELDS])
 
 
+def page_listing(html) -> Column:
+    """The listing rows of a page as ``array<struct<pos, ...>>``, in page order: one narrow
+    expression for flows that keep a page's rows together. Empty for null."""
+    h = html if isinstance(html, Column) else F.col(html)
+    blocks = F.filter(F.split(F.coalesce(h, F.lit("")), BLOCK_OPEN_RE), lambda p: p.rlike(START_RE))
+
+    def row(p, i):
+        return T.let(balanced(p), lambda b: F.struct((i + 1).cast("int").alias("pos"), *[
+            F.coalesce(s.column(b), F.lit(NOT_AVAILABLE)).alias(s.name) for s in LISTING_FIELDS]))
+    return F.transform(blocks, row)
+
+
 def attr_dates(block) -> Column:
     """Incorporation and amalgamation date of a block, each from the attribute
     boxes whose text names it (the last such box wins)."""

@@ -25,6 +25,8 @@ from nomen.operators import pages as P
 from nomen.operators import reports as R
 from nomen.operators import stats as ST
 from nomen.operators import windows as W
+from nomen.sinks import writers as WR
+from nomen.sources import readers as RD
 
 ENTRIES_PER_FILE = 100
 
@@ -133,14 +135,9 @@ def search_sections(pages: DataFrame, seconds=None) -> DataFrame:
     """One search-report section per page: ``file_no, value``. A page without
     result blocks gives a section with status ``No Data`` and no results, a
     search without a page (``html`` NULL) one with status ``Error``."""
-    blocks = P.split_result_blocks(pages, keys=("page_key", "search"))
-    lst = P.extract_listing(blocks)
-    g = (lst.select("page_key", F.struct("pos", *[c for c, _ in R.LISTING_LABELS]).alias("r"))
-         .groupBy("page_key").agg(F.array_sort(F.collect_list("r")).alias("rs")))
-    status = F.when(F.col("html").isNull(), "Error").when(P.count_results("html") > 0, "Found").otherwise("No Data")
-    all_pages = pages.select("page_key", "search", status.alias("status")).join(g, "page_key", "left")
-    row = g.schema["rs"].dataType.simpleString()
-    d = all_pages.select("page_key", "search", "status", F.coalesce("rs", F.array().cast(row)).alias("rs"))
+    status = F.when(F.col("html").isNull(), "Error").when(F.size("rs") > 0, "Found").otherwise("No Data")
+    # a page's rows stay in its own row: nothing is exploded, grouped or joined
+    d = pages.select("page_key", "search", "html", P.page_listing("html").alias("rs")).select("page_key", "search", "rs", status.alias("status"))
     secs = seconds if seconds is not None else F.size("rs") / F.lit(10.0)
     sect = R.render_search_section(F.col("search"), F.col("status"), secs,
                                    F.concat(T.safe_name(F.col("search")), F.lit(".html")), F.col("rs"))
@@ -148,10 +145,26 @@ def search_sections(pages: DataFrame, seconds=None) -> DataFrame:
     return d.select(F.col("page_key").alias("file_no"), F.concat(head, sect).alias("value"))
 
 
+def search_report_sink(pages: DataFrame, path: str, batch_id: int, seconds=None) -> bool:
+    """Sections of a batch of pages appended to the report at ``path``; a batch run twice is there once."""
+    return WR.append_search_report(search_sections(pages, seconds), path, batch_id=batch_id)
+
+
 def search_report_to_json(reports: DataFrame) -> DataFrame:
     return R.report_to_records(reports)
 
 
+def latest_search_report_to_json(spark, folder: str, out: str, prefix: str = "", suffix: str = ".txt") -> DataFrame:
+    """The newest report file of a folder as sorted, de-duplicated records, written as JSON lines to ``out``
+    and read back."""
+    newest = RD.latest_file(spark, folder, prefix, suffix).first()
+    if newest is None:
+        raise FileNotFoundError(f"no report {prefix}*{suffix} in {folder}")
+    records = R.blocks_to_records(RD.read_search_report(spark, newest["path"]))
+    WR.write_json_records(records, out)
+    return spark.read.schema(records.schema).json(out)
+
+
 def single_lookup(owners: DataFrame, results: DataFrame, name: str, owner_col: str = "owner") -> DataFrame:
     return owner_pipeline(owners.where(F.col(owner_col) == name), results.where(F.col("owner") == name), owner_col)
 
@@ -176,5 +189,5 @@ def lookup_stats_pipeline(log: DataFrame, by: list | None = None) -> DataFrame:
 
 
 __all__ = ["lookups", "overlay_pages", "owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",
-           "search_sections", "search_report_to_json", "single_lookup", "owner_pipeline_overlap",
+           "search_sections", "search_report_sink", "search_report_to_json", "latest_search_report_to_json", "single_lookup", "owner_pipeline_overlap",
            "lookup_stats_pipeline"]

@@ -566,6 +566,12 @@ def q_parse_pages_tree(spark, sf):
     return P.parse_pages(I.registry_pages(spark, sf))
 
 
+@register("parse_pages_mixed", _ALL_BLOCKS)
+def q_parse_pages_mixed(spark, sf):
+    """parse_pages_with only for pages with ill-fitting tags, expressions for the rest."""
+    return U.parse_irregular_with(I.registry_pages(spark, sf))
+
+
 @register("page_candidates")
 def q_page_candidates(spark, sf):
     """The general flow on every page: candidate name (all selectors, else the first link) and label/value rows."""

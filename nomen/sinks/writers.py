@@ -3,11 +3,12 @@ from a range-partitioned sort, never from gathering rows on the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nomen.functions import text as T
 from nomen.operators import windows as W
+from nomen.sinks.batches import append_batch
 
 
 def write_owner_lists(classified: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
@@ -24,6 +25,24 @@ def write_owner_lists(classified: DataFrame, out_dir: str, mode: str = "overwrit
         .write.mode(mode).partitionBy("list", "reason").text(out_dir))
 
 
+def write_rule_trace(classified: DataFrame, path: str, debug: bool = False) -> tuple[DataFrame, dict | None]:
+    """The debug switch of the classifier: ``(classified, counts)``.
+
+    With ``debug`` every name is written to ``path`` in one pass, a folder per rule
+    (the names past the LTD/LIMITED rule are those folders but ``empty``, ``short`` and
+    ``ltd``), the totals are observed in that same pass, and later steps read
+    what was written: the input is scanned once. Without it nothing is written
+    and the frame is handed on as it is."""
+    if not debug:
+        return classified, None
+    seen = Observation()
+    passed = ~F.col("rule").isin("empty", "short", "ltd")
+    watched = classified.observe(seen, F.count(F.lit(1)).alias("owners"), F.count_if("keep").alias("kept"),
+                                 F.count_if(~F.col("keep")).alias("excluded"), F.count_if(passed).alias("past_ltd"))
+    watched.write.mode("overwrite").partitionBy("rule").parquet(path)
+    return classified.sparkSession.read.schema(classified.schema).parquet(path).select(*classified.columns), dict(seen.get)
+
+
 def write_report(entries: DataFrame, path: str, n_col: str = "lookup_number", entry_col: str = "entry",
                  mode: str = "overwrite") -> None:
     """Entries in number order as text part files (range partitioned)."""
@@ -61,9 +80,15 @@ def write_per_record(df: DataFrame, path: str, name_col: str = "business_name",
     (d.drop(html_col).write.mode(mode).partitionBy("bucket").option("ignoreNullFields", True).json(f"{path}/records"))
 
 
-def append_search_report(sections: DataFrame, path: str, value: str = "value") -> None:
-    """Append sections to the report folder (one write per batch)."""
-    sections.select(F.col(value).alias("value")).write.mode("append").text(path)
+def append_search_report(sections: DataFrame, path: str, value: str = "value", batch_id: int | None = None) -> bool:
+    """Append sections to the report folder. With a ``batch_id`` the batch is there
+    once, however often it is run (text under ``path/batch=<id>``); without one
+    every call adds its rows. ``False`` when the batch was there already."""
+    out = sections.select(F.col(value).alias("value"))
+    if batch_id is not None:
+        return append_batch(out, path, batch_id, "text")
+    out.write.mode("append").text(path)
+    return True
 
 
 def write_ordered_text(header: DataFrame, lines: DataFrame, path: str, order: str = "i", mode: str = "overwrite") -> None:

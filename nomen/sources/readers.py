@@ -81,10 +81,10 @@ def read_owners(spark: SparkSession, path: str, owner_field: str = "OWNERNAME",
 
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: ``path, value`` (whole text)."""
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:

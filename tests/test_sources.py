@@ -2,6 +2,7 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
 
 from nomen.operators import reports as R
 from nomen.sinks import writers as Wr
@@ -122,3 +123,17 @@ def test_lookup_report_split_across_tasks(spark, tmpdir_path):
     want = sorted(r.entry for r in R.split_report_entries(
         spark.createDataFrame([(0, text)], "file_no int, value string")).collect())
     assert got == want and len(got) == 399
+
+
+def test_cleaned_results_and_whole_files(spark, tmpdir_path):
+    """One row per file, however many lines it has; the first result's pairs."""
+    from nomen.operators import reports as R
+    body = "RESULT #1\n" + "-" * 40 + "\nCOMPANY NAME: A & Co\nSTATUS: Active\n\nRESULT #2\n" + "-" * 40 + "\nCOMPANY NAME: B\n"
+    _write(os.path.join(tmpdir_path, "x_cleaned.txt"), body)
+    _write(os.path.join(tmpdir_path, "y_cleaned.txt"), "no result\n\n")
+    _write(os.path.join(tmpdir_path, "z.log"), "other")
+    files = {os.path.basename(r.path): r.value for r in S.read_text_files(spark, tmpdir_path, "*_cleaned.txt").collect()}
+    assert files == {"x_cleaned.txt": body, "y_cleaned.txt": "no result\n\n"}
+    got = {os.path.basename(r.path): r.detail for r in S.read_cleaned_results(spark, tmpdir_path, "*_cleaned.txt").collect()}
+    want = spark.createDataFrame([(body,)], "value string").select(R.parse_result_sections(F.col("value")).alias("d")).first().d
+    assert got["x_cleaned.txt"] == want and want["COMPANY NAME"] == "A & Co"

@@ -102,3 +102,16 @@ def test_alternative_label_search(spark):
              "<DIV class='appMinimalAttr'><SPAN class='appMinimalLabel'>Kind</SPAN><SPAN class='appMinimalValue'>Quoted</SPAN></DIV></div>")
     info = P.extract_company_fields(spark.createDataFrame([(block,)], "block string")).first().info
     assert info["OFFICE"] == "Ottawa" and info["KIND"] == "Quoted"
+
+
+def test_only_irregular_pages_reach_python(spark):
+    pages = spark.createDataFrame([(f"s{i}", h) for i, h in enumerate(ODD)], "search string, html string")
+    regular = {r.search for r in pages.where(E.regular("html")).collect()}
+
+    def parser(name, html):
+        if name in regular:
+            raise AssertionError(name)
+        return U.parse_business_details(name, html)
+    got = sorted(map(str, (tuple(r) for r in U.parse_irregular_with(pages, parser).collect())))
+    cols = U.DETAILS_SCHEMA.fieldNames()
+    assert got == sorted(map(str, (tuple(r) for r in U.parse_pages_with(pages).select(*cols).collect()))) and 0 < len(regular) < len(ODD)

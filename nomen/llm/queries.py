@@ -116,6 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _NORMAL = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
+def _crc32(x: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL: a byte, then eight single-bit steps."""
+    steps = f"flatten(list_transform(string_split({x}, ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), "
+            "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
+
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": r"""
         WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -132,4 +139,23 @@ ORACLES: dict[str, str] = {
         g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op12_prefix_trie": f"""
+        WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+                     PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM r GROUP BY conv_id),
+        cc AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        f AS (SELECT cc.conv_id, r.pos AS depth, role, text FROM cc JOIN r ON r.conv_id = cc.base AND r.pos <= cc.h
+              UNION ALL SELECT cc.conv_id, r.pos - cc.h + cc.taken, role, text FROM cc JOIN r ON r.conv_id = cc.conv_id AND r.pos > cc.h),
+        s AS (SELECT c.conv_id, coalesce(list(length(role) || ':' || role || text ORDER BY depth) FILTER (depth IS NOT NULL), []) AS t,
+                     coalesce(list(length(text) ORDER BY depth) FILTER (depth IS NOT NULL), []) AS l FROM c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id),
+        pre AS (SELECT conv_id, d, t[1:d] AS p, CASE WHEN d > 0 THEN l[d] ELSE 0 END AS size, d = len(t) AS at_end FROM s, unnest(range(0, len(t) + 1)) AS u(d)),
+        node AS (SELECT p, d, size, min(conv_id) AS conv, count(*) AS n,
+                        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (at_end), '')) AS e FROM pre GROUP BY p, d, size),
+        kid AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+        full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kid USING (p)),
+        sub AS (SELECT p[1:a] AS p, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * size) AS saved
+                FROM full_node, unnest(range(0, d + 1)) AS v(a) GROUP BY 1)
+        SELECT x.conv AS conv_id, x.d AS depth, up.conv AS parent_conv_id, x.n AS n_convs, x.k AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.e AS ends_sha256
+        FROM full_node x JOIN sub ON sub.p = x.p LEFT JOIN node up ON x.d > 0 AND up.p = x.p[1:x.d - 1]""",
 }

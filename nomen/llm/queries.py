@@ -123,6 +123,26 @@ def _crc32(x: str) -> str:
             "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
 
 
+def _repair_step() -> str:
+    """One row further towards the start of a conversation: per state of the pattern (start, after s, after u, after a)
+    the least (cost, edits, lines) of the rest, first with the row used up, then with turns inserted before it."""
+    def took(letter, cost, after, line="''"):
+        return f"{{'c': {cost} + a{after}.c, 's': '{letter}' || a{after}.s, 't': {line} || a{after}.t}}"
+
+    def state(q, keeps, after, role):
+        may, extra = "f NOT IN ('b', 'd')", "CASE WHEN f = 't' THEN 5 ELSE 0 END"
+        kept = "".join(f", CASE WHEN {may} AND ini = '{i}' THEN {took('K', extra, to, 'role || chr(58) || text || chr(10)')} END" for i, to in keeps)
+        line = f"'{role}:' || text || chr(10)"
+        return f"list_min([{took('D', 2, q)}{kept}, CASE WHEN {may} THEN {took('R', '1 + ' + extra, after, line)} END]) AS b{q}"
+
+    def insert(q, after, role):
+        return f"list_min([b{q}, {{'c': 5 + b{after}.c, 's': 'I' || b{after}.s, 't': '{role}:' || chr(10) || b{after}.t}}]) AS "
+    rows = ", ".join([state(0, [("s", 1), ("u", 2)], 2, "user"), state(1, [("u", 2)], 2, "user"), state(2, [("a", 3)], 3, "assistant"), state(3, [("u", 2)], 2, "user")])
+    return (f"SELECT conv_id, i, {insert(0, 2, 'user')}a0, {insert(1, 2, 'user')}a1, b2 AS a2, b3 AS a3 FROM ("
+            f"SELECT conv_id, i, b0, b1, {insert(2, 3, 'assistant')}b2, {insert(3, 2, 'user')}b3 FROM ("
+            f"SELECT m.conv_id, m.i, {rows} FROM v JOIN m ON m.conv_id IS NOT DISTINCT FROM v.conv_id AND m.i = v.i - 1))")
+
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": r"""
         WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -158,4 +178,25 @@ ORACLES: dict[str, str] = {
         SELECT x.conv AS conv_id, x.d AS depth, up.conv AS parent_conv_id, x.n AS n_convs, x.k AS n_children,
                CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.e AS ends_sha256
         FROM full_node x JOIN sub ON sub.p = x.p LEFT JOIN node up ON x.d > 0 AND up.p = x.p[1:x.d - 1]""",
+    "op13_structure_repair": f"""
+        WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS x FROM conversations),
+        dm AS (SELECT row_number() OVER () AS uid, conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role,
+                      CASE x WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+               FROM o, unnest(range(0, CASE WHEN x = 3 THEN 2 ELSE 1 END)) AS u(k) WHERE x <> 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, uid) AS i,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, uid) AS seen, count(*) OVER (PARTITION BY conv_id) AS n,
+                     rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS ini FROM dm),
+        m AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+                     lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM r),
+        st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 'b') AS blank, count_if(f = 'd') AS duplicate,
+                      count_if(f = 't') AS truncated, count_if(prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+        v AS (SELECT DISTINCT conv_id, n + 1 AS i, {{'c': 0, 's': '', 't': ''}} AS a0, {{'c': 10, 's': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS a1,
+                     {{'c': 5, 's': 'I', 't': 'assistant:' || chr(10)}} AS a2, {{'c': 0, 's': '', 't': ''}} AS a3 FROM r
+              UNION ALL {_repair_step()})
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.a0.c, 0)::BIGINT AS cost, coalesce(v.a0.s, '') AS audit,
+               sha256(coalesce(CASE WHEN v.a0.t <> '' THEN left(v.a0.t, length(v.a0.t) - 1) END, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1""",
 }

@@ -69,16 +69,20 @@ def py_split(x) -> Column:
     return F.filter(F.split(py_strip(x), r"(?U)\s+"), lambda w: F.length(w) > 0)
 
 
-def normalize_name(x) -> Column:
+def normalize_name(x, coop_first: bool = False) -> Column:
     """Normalise an organisation name for comparison.
 
     lower + strip, drop bracketed text, drop entity words anywhere, unify the
     co-op spellings, literal replacements, everything but ``[a-z0-9]``, white
     space and hyphens becomes a space, hyphen/space clean-up, strip `` -``.
     NULL in, empty string out (NULL means "no name", scored as no match).
+    By default ``co`` is dropped before the co-op spellings are unified, so that
+    only the solid ones give ``co-op``; ``coop_first`` makes all of them solid first.
     """
     n = py_strip(F.lower(_c(x)))
     n = F.regexp_replace(n, r"(?U)\s*[(\[].*?[\])]", " ")
+    if coop_first:
+        n = F.regexp_replace(n, COOP_RE, "coop")
     n = F.regexp_replace(n, SUFFIX_RE, "")
     n = F.regexp_replace(n, COOP_RE, "co-op")
     for old, new in REPLACEMENTS:
@@ -133,14 +137,14 @@ def name_kept(ws) -> Column:
     return F.filter(_c(ws), lambda w: ~w.isin(*STOP_WORDS))
 
 
-def with_name_profile(df, col: str, prefix: str = ""):
+def with_name_profile(df, col: str, prefix: str = "", coop_first: bool = False):
     """Add ``{prefix}norm, vars, terms, coop`` for ``col`` as staged
     projections: each stage reads the previous stage's column, so no
     sub-expression is evaluated twice (Catalyst keeps expensive projections
     apart instead of inlining them)."""
     p = prefix
     keep = [F.col(c) for c in df.columns]
-    d = df.select(*keep, normalize_name(col).alias(p + "norm"))
+    d = df.select(*keep, normalize_name(col, coop_first).alias(p + "norm"))
     d = d.select("*", name_words(p + "norm").alias(p + "_ws"))
     d = d.select("*", name_kept(p + "_ws").alias(p + "_kept"), name_acronym(p + "_ws").alias(p + "_acr"))
     d = d.select("*", name_variations(p + "norm", p + "_ws", p + "_kept", p + "_acr").alias(p + "vars"))

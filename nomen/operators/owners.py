@@ -138,3 +138,8 @@ def sample_owners(classified: DataFrame, k: int = 5, keep: bool = True) -> tuple
     d = classified.where(F.col("keep") == keep)
     more = F.greatest(d.agg(F.count(F.lit(1))).scalar() - k, F.lit(0))
     return d.orderBy("owner").limit(k), more
+
+
+def take_sample(owners: DataFrame, n: int, col: str = "owner") -> DataFrame:
+    """The first ``n`` distinct names in sort order, NULL left out (a top-k: ``orderBy.limit`` is the feature)."""
+    return owners.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(n)

@@ -325,11 +325,13 @@ def search_status(success, html) -> Column:
             .otherwise("Found"))
 
 
-def filter_registry(listing: DataFrame, types=None, status: str = "Active") -> DataFrame:
-    """Registry filters as column predicates: business type in a list and status."""
+def filter_registry(listing: DataFrame, types=None, status: str = "Active", registry: str | None = None) -> DataFrame:
+    """Registry filters as column predicates: business type in a list, status, and with ``registry`` given
+    the registry itself (``registry_type``, which :func:`extract_details` finds; a record without one is dropped)."""
     from nomen.plans.inputs import BUSINESS_TYPES
     types = types or [t for t in BUSINESS_TYPES if t.startswith("Co-operative") or t == DEFAULT_BUSINESS_TYPE]
-    return listing.where(F.col("business_type").isin(*types) & (F.col("status") == status))
+    kept = F.col("business_type").isin(*types) & (F.col("status") == status)
+    return listing.where(kept if registry is None else kept & (F.col("registry_type") == registry))
 
 
 # ---------------------------------------------------------------------------

@@ -202,3 +202,31 @@ def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = s.select(F.concat("search", F.lit("#0")).alias("page_key"), "search",
                     render_page(F.array().cast("array<string>"), F.lit(0)).alias("html"))
     return found.unionByName(none)
+
+
+N_SEARCH_FORMS = 6
+
+
+def owner_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(search_no, business_name, html_content, success, error_message, search_time)``: a search by its part's owner
+    name per registry record, with one of six outcomes: a page with a plain link and all fields (0), with a link
+    alone (1), in the registry's own mark-up (2), without a company (3) or results (4), or a failure (5)."""
+    from nomen.functions import text as T
+    from nomen.functions.names import py_strip
+    from nomen.operators.pages import ADDRESS_VALUE_CLASS, VALUE_CLASS, render_page, render_result_block
+    o = part_owners(spark, sf_dir).select("owner_id", py_strip(F.col("raw_owner")).alias("business_name"))
+    r = o.join(registry_records(spark, sf_dir), F.col("owner_id") == F.col("part_key"))
+    k = F.pmod(F.col("record_id"), F.lit(N_SEARCH_FORMS))
+
+    def v(x):
+        return F.coalesce(T.escape(x), F.lit(""))
+    link = F.concat(F.lit('<p><a href="#view">'), v(F.col("company_name")), F.lit(" ("), v(F.col("corporation_number")), F.lit(")</a></p>"))
+    fields = F.concat(F.lit(f'<span class="{VALUE_CLASS}">'), v(F.col("status")), F.lit("</span><span>"), v(F.col("business_type")),
+                      F.lit("</span><span>"), v(F.col("registration_date")), F.lit(f'</span><div class="{ADDRESS_VALUE_CLASS}">'),
+                      v(F.replace(F.col("address"), F.lit(", Canada"), F.lit(", Ontario, Canada"))), F.lit("</div>"))
+    block = render_result_block(*[F.col(c) for c in ("company_name", "corporation_number", "registry_type", "status", "business_type",
+                                                     "registration_date", "address")])
+    html = (F.when(k == 0, F.concat(link, fields)).when(k == 1, link).when(k == 2, render_page(F.array(block), F.lit(1)))
+            .when(k == 3, F.lit("<p>Please try again later</p>")).when(k == 4, render_page(F.array().cast("array<string>"), F.lit(0))))
+    return r.select(F.col("record_id").alias("search_no"), "business_name", html.alias("html_content"), (k != 5).alias("success"),
+                    F.when(k == 5, F.lit("timeout")).alias("error_message"), (F.col("record_id") / F.lit(100.0)).alias("search_time"))

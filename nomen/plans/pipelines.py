@@ -3,6 +3,8 @@
 * ``owner_pipeline`` — distinct -> classify -> number -> join first result ->
   overlay page details -> score -> report entries.
 * ``owner_pipeline_overlap`` — the same with the overlap matcher and batches.
+* ``owner_pipeline_concurrent`` — classify -> number -> batches and lanes -> searches with their
+  pages -> concurrent fields -> overlap matcher -> report entries.
 * ``business_type_report`` / ``unmatched_report`` — report files -> entries ->
   parse -> filter -> numbered summary.
 * ``search_report_to_json`` — search report files -> blocks -> distinct ->
@@ -92,16 +94,18 @@ def owner_pipeline(owners: DataFrame, results: DataFrame, owner_col: str = "owne
     ``owners``: one owner name per row (duplicates allowed); ``classify``
     leaves out those that the rule chain skips before they are numbered.
     ``results``: the registry records found for each owner (``owner`` + record
-    columns), ordered by ``order_col``; the first is scored. ``pages``: result
+    columns), ordered by ``order_col``; the first is scored, or, where it has a message
+    in an ``error`` column, reported as an error. ``pages``: result
     pages (``owner, html``), whose details overlay that record. Numbers follow
     the sorted distinct owners (numbers of skipped short names stay unused).
     """
     scored = lookups(owners, results, owner_col, order_col, min_len, classify, pages)
     dc = detail_columns(amalgamation="amalgamation_date" in scored.columns)
     found = F.col("found")
+    error = F.col("error") if "error" in scored.columns else None
     entry = R.render_lookup_entry(F.col("lookup_number"), F.col("owner"), dc, found,
-                                  F.col("is_match"), F.col("confidence"), R.record_pairs(dc))
-    return scored.select("lookup_number", "owner", R.lookup_status(found, F.col("company_name")).alias("status"),
+                                  F.col("is_match"), F.col("confidence"), R.record_pairs(dc), error)
+    return scored.select("lookup_number", "owner", R.lookup_status(found, F.col("company_name"), error).alias("status"),
                          "is_match", "confidence", entry.alias("entry"))
 
 
@@ -184,10 +188,41 @@ def owner_pipeline_overlap(owners: DataFrame, results: DataFrame, batch: int = 5
                     sc["confidence"].alias("confidence"))
 
 
+def owner_pipeline_concurrent(owners: DataFrame, searches: DataFrame, batch: int = 5, lanes: int = 3, owner_col: str = "owner",
+                              order_col: str = "search_no", min_len: int = 3, classify: bool = True) -> DataFrame:
+    """The concurrent flow as a whole, one row per owner: the rule chain (``classify``), numbers in sort order with batch, place in the
+    batch and lane, the owner's search (the first by ``order_col`` of several), the company that its page names, the overlap
+    matcher's verdict and the report entry.
+
+    ``searches``: ``business_name, html_content, success, error_message, search_time`` and ``order_col``; ``success`` NULL counts
+    as a failure, and an owner without a search is kept as ``not_searched``. Pages are parsed where they lie; only fields travel."""
+    o = owners.select(F.col(owner_col).alias("owner")).where(F.col("owner").isNotNull()).distinct()
+    if classify:
+        o = o.where(O.classify_owner("owner", min_len)["keep"])
+    numbered = W.number_rows(o, ["owner"], "n")
+    parsed = searches.select(F.col("business_name").alias("owner"), F.col(order_col).alias("_order"), F.coalesce("success", F.lit(False)).alias("success"),
+                             "error_message", "search_time",
+                             F.when(F.col("success"), P.extract_concurrent_fields("html_content", F.col("business_name"))).alias("_c"))
+    got = parsed.select("owner", "_order", "success", "error_message", "search_time", F.col("_c.company_name"), F.col("_c.corporation_number"),
+                        F.col("_c.status").alias("company_status"), F.col("_c.business_type"), F.col("_c.incorporation_date"), F.col("_c.location"))
+    j = numbered.join(M.first_per_group(got, "owner", ["_order"]), "owner", "left")
+    j = j.select("*", R.search_outcome("success", "company_name").alias("status"),
+                 N.normalize_words("owner").alias("_sn"), N.normalize_words("company_name").alias("_cn"))
+    j = j.select("*", S.match_score_overlap(F.col("owner"), F.col("company_name"), "_sn", "_cn").alias("_m"))
+    j = j.select("*", F.col("_m.is_match").alias("is_match"), F.col("_m.confidence").alias("confidence"))
+    company = {"COMPANY NAME": F.col("company_name"), "STATUS": F.col("company_status"), "BUSINESS TYPE": F.col("business_type"),
+               "INCORPORATION DATE": F.col("incorporation_date")}
+    entry = R.render_search_entry(F.col("n"), F.col("owner"), F.col("status"), F.col("error_message"), F.col("search_time"), company,
+                                  F.col("is_match"), F.col("confidence"))
+    return j.select("n", W.batch_number("n", batch).alias("batch"), W.batch_position("n", batch).alias("batch_pos"), W.round_robin("n", lanes).alias("lane"),
+                    "owner", "status", "company_name", "corporation_number", "company_status", "business_type", "incorporation_date", "location",
+                    "is_match", "confidence", entry.alias("entry"))
+
+
 def lookup_stats_pipeline(log: DataFrame, by: list | None = None) -> DataFrame:
     return ST.lookup_stats(log.where(F.col("success")), *([by] if by else []))
 
 
 __all__ = ["lookups", "overlay_pages", "owner_pipeline", "parsed_report", "business_type_report", "unmatched_report",
-           "search_sections", "search_report_sink", "search_report_to_json", "latest_search_report_to_json", "single_lookup", "owner_pipeline_overlap",
+           "search_sections", "search_report_sink", "search_report_to_json", "latest_search_report_to_json", "single_lookup", "owner_pipeline_overlap", "owner_pipeline_concurrent",
            "lookup_stats_pipeline"]

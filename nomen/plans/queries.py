@@ -455,6 +455,17 @@ def q_search_sections(spark, sf):
                     F.regexp_extract("value", "\nResults Found: (\\d+)\n", 1).cast("int").alias("n_results"))
 
 
+@register("search_report_sections",
+          f"SELECT {Q.page_key('company_name', 'business_type', 'record_id')} AS file_no, lower(left(company_name, 1)) AS prefix, business_type, "
+          f"'Found' AS status, round(count(*) / 10, 2) AS seconds, CAST(count(*) AS INTEGER) AS n_results, CAST(count(*) AS INTEGER) AS n_blocks "
+          f"FROM ({_REG}) GROUP BY ALL UNION ALL SELECT search || '#0', NULL, NULL, 'No Data', 0.0, 0, 0 FROM ({_NO_PAGES})")
+def q_search_report_sections(spark, sf):
+    """A search report written and read back by section: label taken apart, status, time, and the number of results as
+    stated and as found."""
+    s = R.split_search_sections(PL.search_sections(I.registry_pages(spark, sf)))
+    return s.select("file_no", "prefix", "business_type", "status", "seconds", "n_results", F.size("blocks").alias("n_blocks"))
+
+
 @register("lookup_stats_success",
           "SELECT user_id, count(*) AS n_searches, CAST(count(*) AS BIGINT) AS n_success, round(sum(search_time), 6) AS total_seconds "
           f"FROM ({_LOG_SQL}) WHERE success GROUP BY user_id")
@@ -643,6 +654,16 @@ def q_filter_registry(spark, sf):
     return P.filter_registry(P.extract_listing(blocks), _NFP_TYPES).select("business_name", "business_type", "status")
 
 
+@register("filter_registry_corporations",
+          f"SELECT company_name, corporation_number, business_type, status FROM ({_SEEN}) "
+          f"WHERE full_registry_type = 'Corporation' AND business_type IN ({', '.join(Q.q(t) for t in _NFP_TYPES)}) AND status = 'Active'")
+def q_filter_registry_corporations(spark, sf):
+    """filter_registry with all three predicates: the registry of corporations, the three non-profit types, Active."""
+    blocks = P.split_result_blocks(I.registry_pages(spark, sf), keys=("page_key",))
+    kept = P.filter_registry(P.extract_details(blocks), _NFP_TYPES, registry="Corporation")
+    return kept.select("company_name", "corporation_number", "business_type", "status")
+
+
 @register("search_status",
           "SELECT CASE WHEN event_type = 'error' THEN 'Error' WHEN event_id % 7 = 0 THEN 'No Data' "
           "ELSE 'Found' END AS status, count(*) AS n FROM events GROUP BY 1")
@@ -678,16 +699,19 @@ def q_registry_dates(spark, sf):
 @register("lookup_status_counts",
           f"SELECT 'scored' AS status, count(*) AS n FROM ({_ENTRY_SRC}) "
           "UNION ALL SELECT 'no_page', count(DISTINCT s_name) FROM supplier "
-          "UNION ALL SELECT 'not_parsed', count(DISTINCT c_name) FROM customer")
+          "UNION ALL SELECT 'not_parsed', count(DISTINCT c_name) FROM customer "
+          "UNION ALL SELECT 'error', count(DISTINCT user_id) FROM events WHERE event_type = 'error' HAVING count(*) > 0")
 def q_lookup_status_counts(spark, sf):
     """lookup_status: outcome per owner, counted. Part owners have registry records,
-    suppliers no page, customers a page on which no company was found."""
+    suppliers no page, customers a page on which no company was found, users of the search log a failed search."""
     raw = I.part_owners(spark, sf).select("owner_id", N.py_strip("raw_owner").alias("owner"))
     sup = I.table(spark, sf, "supplier").select(F.col("s_name").alias("owner"))
     cus = I.table(spark, sf, "customer").select(F.col("c_name").alias("owner"), F.col("c_custkey").alias("record_id"))
     res = raw.join(I.registry_records(spark, sf), F.col("owner_id") == F.col("part_key"))
-    owners = _owners(spark, sf).unionByName(sup).unionByName(cus.select("owner"))
-    return PL.owner_pipeline(owners, res.unionByName(cus, allowMissingColumns=True)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    bad = search_log(spark, sf).where(~F.col("success")).select(F.col("business_name").alias("owner"), F.col("error_message").alias("error")).distinct()
+    owners = _owners(spark, sf).unionByName(sup).unionByName(cus.select("owner")).unionByName(bad.select("owner"))
+    found = res.unionByName(cus, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
+    return PL.owner_pipeline(owners, found).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("owner_pipeline_pages",
@@ -747,6 +771,64 @@ def q_owner_pipeline_overlap(spark, sf):
     return PL.owner_pipeline_overlap(owners, res)
 
 
+# what the page of a search says, by the form of its search (see inputs.owner_searches)
+_SEARCHED_SQL = f"""
+SELECT owner, record_id, k = 5 AS failed, k = 3 AS unparsed,
+  CASE WHEN k < 3 THEN company_name WHEN k = 4 THEN owner END AS company_name,
+  CASE WHEN k < 3 THEN corporation_number WHEN k = 4 THEN 'N/A' END AS corporation_number,
+  CASE k WHEN 0 THEN coalesce(status, 'Active') WHEN 1 THEN 'Active' WHEN 2 THEN 'Found' WHEN 4 THEN 'No Results Found' END AS company_status,
+  CASE WHEN k = 0 THEN coalesce(business_type, 'N/A') WHEN k < 3 OR k = 4 THEN 'N/A' END AS business_type,
+  CASE WHEN k = 0 THEN coalesce(registration_date, 'N/A') WHEN k < 3 OR k = 4 THEN 'N/A' END AS incorporation_date,
+  CASE WHEN k = 0 THEN replace(address, ', Canada', ', Ontario, Canada') WHEN k < 3 OR k = 4 THEN 'N/A' END AS location
+FROM (SELECT *, record_id % 6 AS k FROM ({_FIRST_OF_OWNER}))
+"""
+_CONCURRENT_SQL = f"""
+SELECT n, (n - 1) // 5 + 1 AS batch, (n - 1) % 5 + 1 AS batch_pos, CAST((n - 1) % 3 AS INTEGER) AS lane, owner,
+  CASE WHEN record_id IS NULL THEN 'not_searched' WHEN failed THEN 'search_failed' WHEN unparsed THEN 'not_parsed' ELSE 'scored' END AS status,
+  company_name, corporation_number, company_status, business_type, incorporation_date, location,
+  confidence > 0 AS is_match, confidence,
+  CASE WHEN company_name IS NOT NULL THEN CASE WHEN confidence > 0 THEN 'YES' ELSE 'NO' END END AS entry_match,
+  CASE WHEN record_id IS NULL THEN 'No search result' WHEN failed THEN 'timeout'
+       WHEN unparsed THEN 'Search completed but could not parse company details' ELSE '' END AS entry_reason,
+  CASE WHEN failed OR unparsed THEN CAST(record_id / 100 AS DOUBLE) END AS entry_seconds
+FROM (SELECT o.owner, o.n, s.* EXCLUDE (owner),
+        CASE WHEN company_name IS NULL OR company_name = '' THEN 0.0
+             WHEN {_OV_SN.replace('owner', 'o.owner')} <> '' AND {_OV_CN} <> ''
+                  AND (contains({_OV_CN}, {_OV_SN.replace('owner', 'o.owner')}) OR contains({_OV_SN.replace('owner', 'o.owner')}, {_OV_CN})) THEN 1.0
+             WHEN len({_OV_SW.replace('owner', 'o.owner')}) > 0 AND {_OV_R.replace('owner', 'o.owner')} >= 0.7 THEN {_OV_R.replace('owner', 'o.owner')}
+             ELSE 0.0 END AS confidence
+      FROM (SELECT owner, row_number() OVER (ORDER BY owner) AS n FROM ({_CLASSIFIED_SQL}) WHERE keep) o
+      LEFT JOIN ({_SEARCHED_SQL}) s ON s.owner = o.owner)
+"""
+
+
+@register("owner_pipeline_concurrent", _CONCURRENT_SQL)
+def q_owner_pipeline_concurrent(spark, sf):
+    """owner_pipeline_overlap with all its steps: classify, numbers, batches and lanes, one search per owner, the
+    company of its page by extract_concurrent_fields (link, span, placeholder, none), the overlap matcher, and of the
+    report entry the verdict, reason and time read back."""
+    got = PL.owner_pipeline_concurrent(_owners(spark, sf), I.owner_searches(spark, sf))
+    verdict = F.regexp_extract("entry", "\nMATCH FOUND: (.*)\n", 1)
+    seconds = F.regexp_extract("entry", "\nSEARCH TIME: (.*) seconds\n", 1)
+    return got.select(*[c for c in got.columns if c != "entry"], F.when(verdict != "", verdict).alias("entry_match"),
+                      F.regexp_extract("entry", "\nREASON: (.*)\n", 1).alias("entry_reason"),
+                      F.when(seconds != "", seconds).cast("double").alias("entry_seconds"))
+
+
+@register("take_sample", f"SELECT owner FROM ({_OWNERS_SQL}) ORDER BY owner LIMIT 10")
+def q_take_sample(spark, sf):
+    """take_sample: the first ten distinct owner names (a top-k report)."""
+    return O.take_sample(_owners(spark, sf), 10)
+
+
+@register("sample_owners",
+          f"SELECT owner, (SELECT greatest(count(*) - 5, 0) FROM ({_CLASSIFIED_SQL}) WHERE keep) AS more FROM ({_CLASSIFIED_SQL}) WHERE keep ORDER BY owner LIMIT 5")
+def q_sample_owners(spark, sf):
+    """sample_owners: the first five kept names and how many more there are (a top-k report)."""
+    top, more = O.sample_owners(O.classify_owners(_owners(spark, sf)), 5)
+    return top.select("owner", more.alias("more"))
+
+
 @register("extract_company_fields",
           f"SELECT company_name AS company, corporation_number AS number, registry_type, status, long_address AS address, "
           f"business_type AS type, business_type, replace(registration_date, ',', '') AS std_date, "

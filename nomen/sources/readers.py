@@ -46,7 +46,7 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 ENTRY_SEP = "\n" + R.RULE + "\nBUSINESS LOOKUP #"
-RESULT_SEP = "--- Result #"
+SECTION_SEP = "\n" + R.RULE60 + "\n\n"
 
 
 def read_geojson_features(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
@@ -116,16 +116,19 @@ def read_lookup_report(spark: SparkSession, path: str) -> DataFrame:
     return t.where(keep).select(F.col("_metadata.file_path").alias("path"), py_strip(e).alias("entry"))
 
 
+def read_search_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of search report files, cut at their closing rule in the reader: ``path`` and the fields of
+    ``parse_search_section`` (label, status, time, result blocks). One section holds one search's results."""
+    t = spark.read.option("lineSep", SECTION_SEP).text(path)
+    d = t.where(F.col("value").rlike(R.RESULT_RE) | F.startswith("value", F.lit("SEARCH: ")))
+    return d.select(F.col("_metadata.file_path").alias("path"), R.parse_search_section("value").alias("s")).select("path", "s.*")
+
+
 def read_search_report(spark: SparkSession, path: str) -> DataFrame:
-    """Result blocks of search report files, cut at ``--- Result #`` in the
-    reader, each block ended at its section's closing rule: ``path, block``."""
-    t = spark.read.option("lineSep", RESULT_SEP).text(path)
-    v = F.col("value")
-    body = F.regexp_replace(v, r"^\d+ ---", "")
-    cut = F.element_at(F.split(body, r"\n={60}\n", 2), 1)
-    return (t.where(v.rlike(r"^\d+ ---"))
-            .select(F.col("_metadata.file_path").alias("path"), py_strip(cut).alias("block"))
-            .where(F.col("block") != ""))
+    """Result blocks of search report files with their search: ``path, search, prefix, business_type, status,
+    seconds, block`` (blocks outside a section have no search)."""
+    d = read_search_sections(spark, path)
+    return d.select("path", "search", "prefix", "business_type", "status", "seconds", F.explode("blocks").alias("block"))
 
 
 def latest_file(spark: SparkSession, folder: str, prefix: str, suffix: str) -> DataFrame:

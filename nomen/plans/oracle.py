@@ -9,9 +9,37 @@ syntax of DuckDB 2.
 
 from __future__ import annotations
 
-from nomen.functions.names import (COOP_TERMS, ENTITY_SUFFIXES, REPLACEMENTS, SIMPLE_SUFFIXES,
-                                   STOP_WORDS)
-from nomen.operators.owners import VOWELS, YEAR_MAX, YEAR_MIN
+# Fixed values, written out here and not taken from the code under test, so that a wrong
+# entry there shows.
+ENTITY_SUFFIXES = [
+    "inc", "llc", "ltd", "llp", "corp", "corporation", "limited", "incorporated",
+    "llc.", "ltd.", "inc.", "corp.", "limited.", "incorporated.",
+    "gmbh", "ag", "sarl", "srl", "pte", "ltee", "bv", "nv", "oyj", "ab", "as",
+    "company", "co", "lp", "plc", "llp", "lllp", "lc", "p c", "pc", "pa",
+    "professional corporation", "professional association",
+    "societe", "société", "societe en nom collectif", "société en nom collectif",
+    "societe en commandite", "société en commandite", "societe anonyme", "société anonyme",
+]
+REPLACEMENTS = [
+    ("&", "and"), ("+", "and"), ("@", "at"), ("w/", "with"), ("w /", "with"), ("w.o.", "without"), ("vs.", "versus"),
+    ("'s", ""), ("'", ""), ('"', ""), (",", " "), (".", " "), (";", " "), (":", " "), ("  ", " "),
+]
+STOP_WORDS = ["the", "and", "of", "for", "in", "at", "on", "by", "to", "with", "a", "an"]
+SIMPLE_SUFFIXES = ["inc", "llc", "ltd", "llp", "co", "corp", "corporation", "cooperative", "co-op", "coop"]
+COOP_TERMS = ["coop", "co-op"]
+VOWELS = "AEIOU"
+YEAR_MIN, YEAR_MAX = 1900, 2100
+BUSINESS_TYPES = ["Not-for-Profit Corporation", "Ontario Business Corporation", "Co-operative Non-Share", "Co-operative with Share",
+                  "Extra-Provincial Corporation"]
+REGISTRY_TYPES = ["Corporation", "Business Name"]
+NAV_WORDS = ["view", "details", "more"]
+# name candidates: opening tags in the order in which they are tried, each with its closing tag
+CANDIDATE_TAGS = [
+    (r'<a\b[^>]*\bclass="[^"]*viewMenu[^"]*"[^>]*>', "a"), (r'<div\b[^>]*\bclass="[^"]*name[^"]*"[^>]*>', "div"),
+    (r"<h3\b[^>]*>", "h3"), (r"<h2\b[^>]*>", "h2"), (r"<h1\b[^>]*>", "h1"),
+    (r'<span\b[^>]*\bclass="[^"]*title[^"]*"[^>]*>', "span"), (r'<div\b[^>]*\bclass="[^"]*title[^"]*"[^>]*>', "div"),
+    (r'<a\b[^>]*\bhref="[^"]*view[^"]*"[^>]*>', "a"), (r"<strong\b[^>]*>", "strong"), (r"<b\b[^>]*>", "b"),
+]
 
 
 def q(s: str) -> str:
@@ -233,7 +261,6 @@ STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'Active' WHEN 'O' THEN 'Inactive'
 
 
 def registry_records() -> str:
-    from nomen.plans.inputs import BUSINESS_TYPES, REGISTRY_TYPES
     bt = in_list(BUSINESS_TYPES)
     rid = "(coalesce(l.l_orderkey, o.o_orderkey) * 8 + coalesce(l.l_linenumber, 0))"
     return f"""SELECT {rid} AS record_id, p.p_partkey AS part_key,

@@ -265,9 +265,8 @@ def _cands_sql():
         for ent, ch in Q.ENTITIES:
             v = f"replace({v}, {Q.q(ent)}, {Q.q(ch)})"
         return f"trim({v})"
-    parts = ", ".join(f"regexp_extract_all(html, {Q.q(P.selector_regex(t, a, v))}, 1)"
-                      for t, a, v in P.CANDIDATE_SELECTORS)
-    nav = ", ".join(Q.q(w) for w in P.NAV_WORDS)
+    parts = ", ".join(f"regexp_extract_all(html, {Q.q(f'(?is){start}(.*?)</{tag}>')}, 1)" for start, tag in Q.CANDIDATE_TAGS)
+    nav = ", ".join(Q.q(w) for w in Q.NAV_WORDS)
     return (f"list_filter(list_transform(flatten([{parts}]), lambda x: {stripped('x')}), "
             f"lambda x: length(x) BETWEEN 3 AND 100 AND lower(x) NOT IN ({nav}))")
 

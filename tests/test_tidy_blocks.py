@@ -80,3 +80,18 @@ def test_page_rows_travel_without_mark_up(spark):
 def test_concurrent_fields(spark, link, want):
     r = spark.createDataFrame([(link,)], "h string").select(P.extract_concurrent_fields("h", F.lit("s")).alias("c")).first()["c"]
     assert (r and (r["company_name"], r["status"], r["corporation_number"])) == want
+
+
+def test_orders_without_a_customer(spark, tmp_path):
+    """Null customer keys, and lines without an order: a record each, without a business type."""
+    for t in ["part", "customer", "nation", "region"]:
+        I.table(spark, "/root/testdata/sf0.001", t).write.parquet(f"{tmp_path}/{t}.parquet")
+    o = I.table(spark, "/root/testdata/sf0.001", "orders").limit(3).collect()
+    schema = I.table(spark, "/root/testdata/sf0.001", "orders").schema
+    rows = [dict(r.asDict(), o_orderkey=i + 1, o_custkey=None if i else r["o_custkey"]) for i, r in enumerate(o)]
+    spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, None, 1), (9, 1, 1), (None, 1, 2)], "l_orderkey long, l_partkey long, l_linenumber long") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = I.registry_records(spark, str(tmp_path)).collect()
+    assert sorted((r["record_id"] or 0, r["business_type"] is None, r["address"] == "Canada") for r in got) == [
+        (0, True, True), (9, False, False), (17, True, True), (24, True, True), (73, True, True)]

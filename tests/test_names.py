@@ -49,3 +49,39 @@ def test_simple_forms(spark):
     assert r.s == "acme op"  # corp and co are suffix words
     assert r.a == "UN"
     assert set(r.d) == {"john smith", "smith john", "john s", "js"}
+
+
+def _normalised_step_by_step(x):
+    """The rules one after the other, as the normaliser's text lists them."""
+    F = N.F
+    n = N.py_strip(F.lower(x))
+    n = F.regexp_replace(n, r"(?U)\s*[(\[].*?[\])]", " ")
+    n = F.regexp_replace(F.regexp_replace(n, N.SUFFIX_RE, ""), N.COOP_RE, "co-op")
+    for old, new in N.REPLACEMENTS:
+        n = F.replace(n, F.lit(old), F.lit(new))
+    n = F.regexp_replace(n, r"(?U)[^a-z0-9\s-]", " ")
+    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(n, r"(?U)\s+-\s+", "-"), r"-+", "-"), r"(?U)\s+", " ")
+    return F.coalesce(F.regexp_replace(n, r"^[ -]+|[ -]+$", ""), F.lit(""))
+
+
+def test_fewer_passes_give_the_same_names(spark):
+    import random
+    rng = random.Random(4)
+    parts = ["Co", "coop", "co-op", "p", "c", "(x)", "[y", "z)", "-", " - ", "--", " ", "  ", "\t", "\n", " ", " ", "é", "😀", "w /", "w/",
+             "vs.", "O'Neil's", '"q"', "&", "+", "w.o.", "Ltd.", "société", "a", "9", ",", ";", ".", "_", "İ"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(4000)] + [None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    d = N.with_name_profile(df, "name").select("*", _normalised_step_by_step(N.F.col("name")).alias("slow"), N.name_terms("vars").alias("all_terms"),
+                                               N.normalize_name_simple("name").alias("simple"))
+    F = N.F
+    n = F.regexp_replace(F.regexp_replace(F.lower("name"), r"\([^)]*\)", ""), r"(?U)[^a-z0-9\s]", " ")
+    d = d.select("*", F.array_join(F.filter(N.py_split(n), lambda w: ~w.isin(*N.SIMPLE_SUFFIXES)), " ").alias("slow_simple"),
+                 N.abbreviation("simple").alias("abbr"), N.initials(F.split("simple", " ")).alias("ini"))
+    for r in d.collect():
+        assert r.norm == r.slow and r.terms == r.all_terms, r.name
+        assert r.simple == r.slow_simple and r.abbr == r.ini, r.name
+
+
+def test_a_name_is_normalised_in_few_passes(spark):
+    plan = spark.range(1).select(N.normalize_name(N.F.col("id").cast("string")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 5

@@ -38,3 +38,22 @@ def test_tier_joins_have_no_pair_join(spark):
     df.collect()
     p = _plan(df)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_label_rows_are_read_once(spark):
+    """Before: each pattern group as often as its limits name it, and all of them again in a filter."""
+    from nomen.plans import queries as Q
+    plan = Q.q_label_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4
+
+
+def test_records_are_not_sorted_for_orders_and_owners(spark):
+    """Orders and owners are the hashed sides: before, both joins sorted all the records."""
+    from nomen.plans import queries as Q
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q._owner_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "Join" in x and ("FullOuter" in x or "owner_id" in x)]
+    assert len(joins) == 2 and all("ShuffledHashJoin" in x for x in joins), plan

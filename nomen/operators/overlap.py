@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from nomen.functions import names as N
 from nomen.functions.score import OVERLAP_MIN
 from nomen.operators.joins import lookup_join
+from nomen.operators.windows import number_rows
 from nomen.session import materialize
 
 Q = 4  # code points of a gram
+AT_BITS = 26    # of a gram's place in a name, in a long with the number of its occurrences
+RANK_BITS = 40  # of a company's place in order of name, in a long with the words it lacks
 
 
 def _forms(df: DataFrame, name: str, out: str) -> DataFrame:
@@ -28,10 +31,17 @@ def _forms(df: DataFrame, name: str, out: str) -> DataFrame:
     return d.withColumn("norm", N.normalize_words(out)).where("norm <> ''")
 
 
-def _smallest(companies: DataFrame, name: str, form: Column, out: str) -> DataFrame:
-    """One row per normal form: the form and its smallest company."""
-    c = _forms(companies, name, "company")
-    return c.select(form.alias(out), "company").groupBy(out).agg(F.min("company").alias("company"))
+def _smallest(companies: DataFrame, name: str) -> DataFrame:
+    """``norm, company, rank``: one row per normal form with its smallest company and that company's place in
+    order of name. Pairs carry the place: the smallest number is kept in a hash table, while the smallest text
+    makes Spark sort the pairs."""
+    c = _forms(companies, name, "company").groupBy("norm").agg(F.min("company").alias("company"))
+    return materialize(number_rows(c, ["company"], "rank"), "ranked-companies")
+
+
+def _named(best: DataFrame, companies: DataFrame) -> DataFrame:
+    """``best`` with the company of its ``rank``."""
+    return best.join(companies.select("rank", F.col("company").alias("matched_name")), "rank")
 
 
 def words_of(norm) -> Column:
@@ -54,11 +64,15 @@ def best_overlap(owners: DataFrame, companies: DataFrame, owner_col: str = "owne
     split over several tasks (``lookup_join`` with the list as the spread
     side). A pair is checked where it meets and only the best company of an
     owner's word set leaves the task."""
-    o = _forms(owners, owner_col, "owner").select("owner", words_of("norm").alias("sw"))
-    o = materialize(o, "overlap-owners")
-    c = materialize(_smallest(companies, company_col, words_of("norm"), "cw"), "overlap-companies")
+    return _best_overlap(materialize(_forms(owners, owner_col, "owner"), "match-owners"), _smallest(companies, company_col), min_overlap, min_hot_rows)
+
+
+def _best_overlap(owners: DataFrame, companies: DataFrame, min_overlap: float, min_hot_rows: int | None = None) -> DataFrame:
+    """:func:`best_overlap` of ``owner, norm`` and ``norm, company, rank``."""
+    o = materialize(owners.select("owner", words_of("norm").alias("sw")), "overlap-owners")
+    c = materialize(companies.groupBy(words_of("norm").alias("cw")).agg(F.min("rank").alias("rank")), "overlap-companies")
 
-    listed = c.select("cw", "company", F.explode("cw").alias("word"))
+    listed = c.select("cw", "rank", F.explode("cw").alias("word"))
     rarity = materialize(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "overlap-words")
     sets = o.select("sw").distinct()
     words = lookup_join(sets.select("sw", F.explode("sw").alias("word")), rarity, ["word"], how="left", min_hot_rows=min_hot_rows)
@@ -69,11 +83,13 @@ def best_overlap(owners: DataFrame, companies: DataFrame, owner_col: str = "owne
     keys = materialize(keys, "overlap-keys")
 
     lists = materialize(listed.join(keys.select("word").distinct(), "word", "left_semi"), "overlap-lists")
-    ratio = F.size(F.array_intersect("sw", "cw")) / n
-    hits = lookup_join(lists, keys, ["word"], salt_by="company", min_hot_rows=min_hot_rows).select("sw", "company", ratio.alias("confidence"))
-    best = (hits.where(F.col("confidence") >= min_overlap).groupBy("sw")
-            .agg(F.min(F.struct((-F.col("confidence")).alias("c"), "company")).alias("b")))
-    return o.join(best, "sw").select("owner", F.col("b.company").alias("matched_name"), (-F.col("b.c")).alias("confidence"))
+    hits = lookup_join(lists, keys, ["word"], salt_by="rank", min_hot_rows=min_hot_rows).select("sw", "rank", F.size(F.array_intersect("sw", "cw")).alias("k"))
+    # of one owner's companies the one that lacks fewest words, then the smallest: one number
+    best = (hits.where(F.col("k") / n >= min_overlap).groupBy("sw")
+            .agg(F.min(F.shiftleft((n - F.col("k")).cast("long"), RANK_BITS) + F.col("rank")).alias("b")))
+    best = best.select("sw", F.col("b").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("rank"),
+                       ((n - F.shiftright("b", RANK_BITS).cast("int")) / n).alias("confidence"))
+    return _named(o.join(best, "sw"), companies).select("owner", "matched_name", "confidence")
 
 
 def _grams(text: str) -> Column:
@@ -95,8 +111,11 @@ def _inside(needles: DataFrame, hays: DataFrame, min_hot_rows: int | None) -> Da
     own = needles.where(F.char_length("needle") >= Q)
     found = lookup_join(own.select("needle", F.inline(_grams("needle"))), df, ["gram"], how="left", min_hot_rows=min_hot_rows)
     # a gram that no hay has is the rarest: such a needle has no key and lies in none
-    rarest = found.groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "at")).alias("k")).where("k.df > 0")
-    keys = materialize(own.join(rarest.select("needle", F.col("k.gram").alias("gram"), F.col("k.at").alias("key_at")), "needle"), "inside-keys")
+    packed = F.min(F.shiftleft(F.coalesce("df", F.lit(0)).cast("long"), AT_BITS) + F.col("at"))    # one number: nothing is sorted for it
+    rarest = found.groupBy("needle").agg(packed.alias("k")).where(F.shiftright("k", AT_BITS) > 0)
+    rarest = rarest.select("needle", F.col("k").bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int").alias("key_at"))
+    rarest = rarest.select("needle", F.substring(F.col("needle"), F.col("key_at"), F.lit(Q)).alias("gram"), "key_at")
+    keys = materialize(own.join(rarest, "needle"), "inside-keys")
     lists = materialize(long.join(keys.select("gram").distinct(), "gram", "left_semi"), "inside-lists")
     met = lookup_join(lists, keys, ["gram"], salt_by="hay", min_hot_rows=min_hot_rows)
     start = F.col("at") - F.col("key_at") + 1
@@ -119,13 +138,27 @@ def best_containment(owners: DataFrame, companies: DataFrame, owner_col: str = "
     one are left out. Both directions are substring joins on the rarest
     gram of the contained name; the smallest company is a map-side
     combined minimum, so no list of pairs is kept."""
-    o = materialize(_forms(owners, owner_col, "owner"), "inside-owners")
-    c = materialize(_smallest(companies, company_col, F.col("norm"), "cn"), "inside-companies")
-    sn = o.select("norm").distinct()
-    a = _inside(sn.select(F.col("norm").alias("needle")), c.select(F.col("cn").alias("hay"), "company"), min_hot_rows).select(F.col("needle").alias("norm"), "company")
-    b = _inside(c.select(F.col("cn").alias("needle"), "company"), sn.select(F.col("norm").alias("hay")), min_hot_rows).select(F.col("hay").alias("norm"), "company")
-    best = a.unionByName(b).groupBy("norm").agg(F.min("company").alias("matched_name"))
-    return o.join(best, "norm").select("owner", "matched_name", F.lit(1.0).alias("confidence"))
+    return _best_containment(materialize(_forms(owners, owner_col, "owner"), "match-owners"), _smallest(companies, company_col), min_hot_rows)
+
+
+def _known_words(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """The needles that can lie in a hay by their words: all but the first and the last, which may be parts of
+    longer ones there, are words of some hay. Most needles go before they are cut into grams."""
+    known = hays.select(F.explode(F.split("hay", " ")).alias("word")).distinct()
+    ws = F.split("needle", " ")
+    inner = needles.select("needle", F.explode(F.array_distinct(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))).alias("word"))
+    unknown = inner.join(known, "word", "left_anti").select("needle").distinct()
+    return materialize(needles.join(unknown, "needle", "left_anti"), "inside-needles")
+
+
+def _best_containment(o: DataFrame, companies: DataFrame, min_hot_rows: int | None = None) -> DataFrame:
+    """:func:`best_containment` of ``owner, norm`` and ``norm, company, rank``."""
+    sn = materialize(o.select("norm").distinct(), "inside-owners")
+    own, all_names = sn.select(F.col("norm").alias("hay")), companies.select(F.col("norm").alias("needle"), "rank")
+    a = _inside(sn.select(F.col("norm").alias("needle")), companies.select(F.col("norm").alias("hay"), "rank"), min_hot_rows).select(F.col("needle").alias("norm"), "rank")
+    b = _inside(_known_words(all_names, own), own, min_hot_rows).select(F.col("hay").alias("norm"), "rank")
+    best = a.unionByName(b).groupBy("norm").agg(F.min("rank").alias("rank"))
+    return _named(o.join(best, "norm"), companies).select("owner", "matched_name", F.lit(1.0).alias("confidence"))
 
 
 def best_match_overlap(owners: DataFrame, companies: DataFrame, owner_col: str = "owner",
@@ -134,8 +167,9 @@ def best_match_overlap(owners: DataFrame, companies: DataFrame, owner_col: str =
     matcher: 1.0 for containment either way, else the word overlap.
     ``owner, matched_name, confidence, tier, is_match``; ties go to the
     smallest company."""
-    a = best_containment(owners, companies, owner_col, company_col).withColumn("tier", F.lit("contains"))
-    b = best_overlap(owners, companies, owner_col, company_col, min_overlap).withColumn("tier", F.lit("overlap"))
+    names, ranked = materialize(_forms(owners, owner_col, "owner"), "match-owners"), _smallest(companies, company_col)    # once for both
+    a = _best_containment(names, ranked).withColumn("tier", F.lit("contains"))
+    b = _best_overlap(names, ranked, min_overlap).withColumn("tier", F.lit("overlap"))
     best = a.unionByName(b).groupBy("owner").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "matched_name", "tier")).alias("b"))
     o = owners.select(F.col(owner_col).alias("owner")).distinct()
     # the 1:1 matcher calls every pair of confidence 1.0 a containment
